@@ -8,7 +8,9 @@ ranked by the hash of their first 50 bytes, and only where it counts:
    unique repeats nothing and is dropped.
 2. Runs are sorted by (rank of the anchor, rank of the text that the run covers). A run that is not the first of its
    pair repeats an earlier one wholly. The first of a pair is settled too, unless its anchor has other pairs.
-3. The strings of the runs that are left are sorted by (rank of the first 50 bytes, rank of the 50 bytes at offset 50); all but
+3. The runs that are left are cut into cells of up to 13 starts at fixed distances from the anchor. All strings of a
+   cell share 88 bytes; cells are sorted by (rank of those, rank of the text that the cell covers) and settled likewise.
+4. The strings of the cells that are left are sorted by (rank of the first 50 bytes, rank of the 50 bytes at offset 50); all but
    the first of a pair are repeats.
 
 A rank is a 64-bit hash, so a pair of equal ranks is 128 bits of evidence. Every byte is looked at; nothing is sampled.
@@ -30,7 +32,10 @@ from .shared import materialize, require, whole_text
 LENGTH, HALF = 100, 50
 #: Hashes in a string: its anchor is the least of them.
 SPAN = LENGTH - HALF + 1
-#: Strings of a text that are hashed at once; runs end at the cuts, which moves work to step 3 and changes no result.
+#: Starts in a cell, and the bytes that all strings of a cell share.
+CELL = 13
+CORE = LENGTH - CELL + 1
+#: Strings of a text that are hashed at once; runs end at the cuts, which moves work to later steps and changes no result.
 SEGMENT = 1 << 18
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -68,8 +73,18 @@ def _segments(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield at, np.frombuffer(data, np.uint8, min(SEGMENT + LENGTH - 1, len(data) - at), at)
 
 
-def anchor_runs(data: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rank of the anchor, rank of the covered text, first start, number of starts) of each run, by segment."""
+#: A run or cell as one number: first start, distance from there to the anchor (12 bits hold that and the count), count, and whether it repeats.
+def pack(start, to_anchor, count, repeats=0):
+    return start << 13 | to_anchor << 7 | count << 1 | repeats
+
+
+def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, distance to the anchor, count)."""
+    return packed >> 13, packed >> 7 & 63, packed >> 1 & 63
+
+
+def anchor_runs(data: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rank of the anchor, rank of the covered text, packed run) of each run, by segment."""
     out = []
     for at, part in _segments(data):
         sums = _sums(part)
@@ -88,7 +103,32 @@ def anchor_runs(data: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, n
         anchor = where[starts]
         text = _mixed((sums[starts + count + LENGTH - 1] - sums[starts]) * _powers()[1][starts])
         shape = (count << 8 | (anchor - starts)).astype(np.uint64)
-        out.append((first[anchor], _mixed(text * np.uint64(31) + shape), starts + at, count))
+        out.append((first[anchor], _mixed(text * np.uint64(31) + shape), pack(starts + at, anchor - starts, count)))
+    return out
+
+
+def cells(data: bytes, runs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rank of the shared bytes, rank of the covered text, packed cell) of each cell of the packed runs, by segment."""
+    out = []
+    starts, to_anchor, counts = unpack(runs)
+    for at, part in _segments(data):
+        own = (starts >= at) & (starts < at + SEGMENT)
+        if not own.any():
+            continue
+        start, far, count = starts[own] - at, to_anchor[own], counts[own]
+        low_cell, high_cell = (far - count + 1) // CELL, far // CELL
+        n = high_cell - low_cell + 1
+        r = np.repeat(np.arange(len(n)), n)
+        cell = high_cell[r] - (np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n))
+        anchor = start[r] + far[r]
+        x = np.maximum(start[r], anchor - cell * CELL - CELL + 1)
+        end = np.minimum(start[r] + count[r], anchor - cell * CELL + 1)
+        sums, down = _sums(part), _powers()[1]
+        core_at = anchor - cell * CELL
+        core = _mixed(_mixed((sums[core_at + CORE] - sums[core_at]) * down[core_at]) + cell.astype(np.uint64))
+        text = _mixed((sums[end + LENGTH - 1] - sums[x]) * down[x])
+        shape = ((end - x) << 8 | (core_at - x)).astype(np.uint64)
+        out.append((core, _mixed(text * np.uint64(31) + shape), pack(x + at, anchor - x, end - x)))
     return out
 
 
@@ -122,33 +162,72 @@ def _bytes(text) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def repeated_runs(texts: DataFrame) -> DataFrame:
-    """Steps 1 and 2 for ``(_doc, _tie, _text)``: packed runs that repeat (odd) or are left for step 3 (even), by document."""
-
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            docs, ties, cols = [], [], []
-            for doc, tie, text in zip(b["_doc"], b["_tie"], b["_text"], strict=True):
-                for run in anchor_runs(_bytes(text)):
-                    cols.append(run)
-                    docs.append(np.full(len(run[0]), doc))
-                    ties.append(np.full(len(run[0]), tie))
-            if cols:
-                rank, cover, start, count = (np.concatenate(c) for c in zip(*cols, strict=True))
-                yield pd.DataFrame({"rank": rank.view(np.int64), "cover": cover.view(np.int64), "_doc": np.concatenate(docs), "_tie": np.concatenate(ties), "start": start, "count": count})
-
-    runs = texts.mapInPandas(anchors, "rank long, cover long, _doc long, _tie int, start int, count int")
-    by_pair = Window.partitionBy("rank", "cover").orderBy("_doc", "_tie", "start")
+RANKED = "rank long, cover long, _doc long, _tie int, run long, more_docs array<long>, more_ties array<int>, more_runs array<long>"
+
+
+def gathered(parts: list[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> pd.DataFrame:
+    """RANKED rows of (doc, tie, ranked runs). Those of one pair within the batch are one row: the first, with the others in its lists."""
+    rank, cover, run = (np.concatenate([p[2][k] for p in parts]) for k in range(3))
+    sizes = [len(p[2][0]) for p in parts]
+    docs, ties = (np.repeat(np.array([p[k] for p in parts], kind), sizes) for k, kind in ((0, np.int64), (1, np.int32)))
+    order = np.lexsort((run, ties, docs, cover, rank))
+    rank, cover, run, docs, ties = (x[order] for x in (rank, cover, run, docs, ties))
+    same = np.logical_and.reduce([x[1:] == x[:-1] for x in (rank, cover, run, docs, ties)])  # rows that are wholly repeated
+    rank, cover, run, docs, ties = (x[np.concatenate([[True], ~same])] for x in (rank, cover, run, docs, ties))
+    new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (cover[1:] != cover[:-1])])
+    first = np.flatnonzero(new)
+    stop = np.append(first[1:], len(rank))
+    more = {name: np.full(len(first), None, object) for name in ("more_docs", "more_ties", "more_runs")}
+    for k in np.flatnonzero(stop - first > 1):
+        for name, values in (("more_docs", docs), ("more_ties", ties), ("more_runs", run | 1)):
+            more[name][k] = values[first[k] + 1 : stop[k]]
+    return pd.DataFrame({"rank": rank[first].view(np.int64), "cover": cover[first].view(np.int64), "_doc": docs[first], "_tie": ties[first], "run": run[first], **more})
+
+
+def settled(ranked: DataFrame) -> DataFrame:
+    """Of RANKED rows, by document: packed runs that repeat an earlier one (odd), and those that another round must judge (even)."""
+    place = F.struct("_doc", "_tie", "run")
+    by_pair = Window.partitionBy("rank", "cover").orderBy("_doc", "_tie", "run")
     by_rank = Window.partitionBy("rank")
-    place = F.struct("_doc", "_tie", "start")
-    runs = (
-        runs.withColumn("first", F.first(place).over(by_pair))
+    judged = (
+        ranked.withColumn("first", F.first(place).over(by_pair))
         .withColumn("others", F.min("cover").over(by_rank) != F.max("cover").over(by_rank))
         .withColumn("repeats", place != F.col("first"))
-        .where("repeats or others")
+        .where("repeats or others or more_runs is not null")
     )
-    packed = F.shiftleft(F.col("start").cast("long"), 7) + F.col("count") * 2 + F.col("repeats").cast("long")
-    return runs.select("_doc", "_tie", packed.alias("run")).groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
+    own = F.when(F.col("repeats") | F.col("others"), F.array(F.struct("_doc", "_tie", (F.col("run") + F.col("repeats").cast("long")).alias("run"))))
+    more = F.arrays_zip("more_docs", "more_ties", "more_runs").cast("array<struct<_doc: bigint, _tie: int, run: bigint>>")
+    none = F.array().cast("array<struct<_doc: bigint, _tie: int, run: bigint>>")
+    all_ = judged.select(F.explode(F.concat(F.coalesce(own, none), F.coalesce(more, none))).alias("r")).select("r.*")
+    return all_.groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
+
+
+def repeated_runs(texts: DataFrame) -> DataFrame:
+    """Steps 1 and 2 for ``(_doc, _tie, _text)``."""
+
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = [(doc, tie, run) for doc, tie, text in zip(b["_doc"], b["_tie"], b["_text"], strict=True) for run in anchor_runs(_bytes(text))]
+            if parts:
+                yield gathered(parts)
+
+    return settled(texts.mapInPandas(anchors, RANKED))
+
+
+def repeated_cells(known: DataFrame) -> DataFrame:
+    """Step 3 for ``(_doc, _tie, _text, _runs)``."""
+
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = []
+            for doc, tie, text, runs in zip(b["_doc"], b["_tie"], b["_text"], b["_runs"], strict=True):
+                left = np.sort(runs[runs % 2 == 0])
+                if len(left):
+                    parts += [(doc, tie, c) for c in cells(_bytes(text), left)]
+            if parts:
+                yield gathered(parts)
+
+    return settled(known.mapInPandas(ranked, RANKED))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,25 +246,29 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).alias("_id"), doc.alias("_doc"), tie.alias("_tie"), text.alias("_text"))
     runs = materialize(repeated_runs(texts.select("_doc", "_tie", "_text")), "runs")
     known = texts.join(runs, ["_doc", "_tie"], "left")
+    left = known.where("_runs is not null").select("_doc", "_tie", "_text", "_runs")
+    with_cells = known.join(repeated_cells(left).withColumnRenamed("_runs", "_cells"), ["_doc", "_tie"], "left")
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, tie, text, packed in zip(b["_doc"], b["_tie"], b["_text"], b["_runs"], strict=True):
+            for doc, tie, text, packed in zip(b["_doc"], b["_tie"], b["_text"], b["_cells"], strict=True):
                 left = np.sort(packed[packed % 2 == 0])
                 if len(left):
-                    pos, one, two = string_ranks(_bytes(text), left >> 7, left >> 1 & 63)
+                    start, _, count = unpack(left)
+                    pos, one, two = string_ranks(_bytes(text), start, count)
                     out.append((one.view(np.int64), two.view(np.int64), np.full(len(pos), doc), np.full(len(pos), tie), pos))
             if out:
                 yield pd.DataFrame(dict(zip(("one", "two", "_doc", "_tie", "pos"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
-    ranked = known.where("_runs is not null").select("_doc", "_tie", "_text", "_runs").mapInPandas(strings, "one long, two long, _doc long, _tie int, pos int")
+    ranked = with_cells.where("_cells is not null").select("_doc", "_tie", "_text", "_cells").mapInPandas(strings, "one long, two long, _doc long, _tie int, pos int")
     place = F.struct("_doc", "_tie", "pos")
     first = F.first(place).over(Window.partitionBy("one", "two").orderBy("_doc", "_tie", "pos"))
     again = ranked.withColumn("first", first).where(place != F.col("first")).groupBy("_doc", "_tie").agg(F.collect_set("pos").alias("_again"))
 
     none = F.array().cast("array<long>")
-    judged = known.join(again, ["_doc", "_tie"], "left").withColumns({"_runs": F.coalesce("_runs", none), "_again": F.coalesce(F.col("_again").cast("array<long>"), none)})
+    runs = F.concat(F.coalesce("_runs", none), F.coalesce("_cells", none))
+    judged = with_cells.join(again, ["_doc", "_tie"], "left").withColumns({"_runs": runs, "_again": F.coalesce(F.col("_again").cast("array<long>"), none)})
     copy = F.lit(0) if unique else F.row_number().over(Window.partitionBy("_doc", "_tie").orderBy("_doc")) - 1
 
     @F.pandas_udf("spans array<struct<start: long, stop: long>>, kept binary")
@@ -194,11 +277,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             spans, kept = [], []
             for text, packed, pos, copy in zip(texts, runs, again, copies, strict=True):
                 data = _bytes(text)
-                gone = packed[packed % 2 == 1]
+                start, _, count = unpack(packed[packed % 2 == 1])
                 if copy and len(data) >= LENGTH:
                     own = [(0, len(data))]
-                elif len(gone) or len(pos):
-                    own = spans_of(len(data), np.concatenate([gone >> 7, pos]).astype(np.int64), np.concatenate([gone >> 1 & 63, np.ones(len(pos), np.int64)]).astype(np.int64))
+                elif len(start) or len(pos):
+                    own = spans_of(len(data), np.concatenate([start, pos]).astype(np.int64), np.concatenate([count, np.ones(len(pos))]).astype(np.int64))
                 else:
                     own = []
                 at, rest = 0, []

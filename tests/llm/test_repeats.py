@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from cairn.llm import repeated_text as rt
 
 
@@ -21,7 +23,9 @@ def brute(rows, length=rt.LENGTH):
     return out
 
 
-def test_against_brute_force(spark, docs):
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_against_brute_force(spark, docs, partitions):
+    docs = docs.repartition(partitions)
     rows = [(r.doc_id, 0, r.text) for r in docs.select("doc_id", "text").distinct().collect()]
     # ids that occur with two texts are ordered by a hash; take it from Spark
     from pyspark.sql import functions as F
@@ -65,7 +69,9 @@ def test_segments_change_nothing(monkeypatch):
     starts = np.arange(0, len(data) - 99)
     cut = {int(a): (int(b), int(c)) for a, b, c in zip(*rt.string_ranks(data, starts, np.ones(len(starts), int)))}
     assert cut == whole
-    covered = np.concatenate([s + np.arange(c) for r in rt.anchor_runs(data) for s, c in zip(r[2], r[3])])
+    covered = np.concatenate([s + np.arange(c) for r in rt.anchor_runs(data) for s, _, c in zip(*rt.unpack(r[2]))])
+    cells = np.concatenate([s + np.arange(c) for q in rt.anchor_runs(data) for r in rt.cells(data, q[2]) for s, _, c in zip(*rt.unpack(r[2]))])
+    assert sorted(cells.tolist()) == starts.tolist()
     assert sorted(covered.tolist()) == starts.tolist()
     rt._powers.cache_clear()
 
