@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import require, whole_text
+from .shared import require, text_batches, whole_text
 
 WINDOW = 13
 #: Bytes of benchmark text that one set of matchers holds; a larger benchmark is searched in several passes.
@@ -135,6 +135,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     """
     require(docs, [text_col])
     require(benchmark, [item_col, item_text_col])
+    text_batches(docs.sparkSession)
     out = docs
     for k, block in enumerate(benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)):
         found = search_udf(block)(F.col(text_col))

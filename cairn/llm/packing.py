@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize, require
+from .shared import materialize, require, text_batches
 from .tokens import encode_in_parts, public_tokenizer_path
 
 WINDOW, END_ID = 4096, 2
@@ -153,6 +153,7 @@ def pack(
     of its own. Repeated rows are packed as often as they occur. An empty table gives an empty result.
     """
     require(docs, [id_col, text_col, source_col])
+    text_batches(docs.sparkSession)
     rows = tokenize(docs, id_col, text_col, source_col, tokenizer or public_tokenizer_path(), end_id)
     by_source = rows.groupBy("_source").agg(F.sum("_n").alias("t")).orderBy(F.desc("t"), "_source")
     top = [(r["_source"], r["t"]) for r in by_source.limit(MAX_QUEUES - 1).collect()]

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, materialize, require
+from .shared import held_out, materialize, require, text_batches
 
 FEATURES = (
     "log_bytes", "upper", "digit", "symbol", "exclamation", "pipe", "sentence_end", "comma", "line_break",
@@ -139,6 +139,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     """The classifier, and the statistics of all documents ``(id, features)`` in a scratch table."""
     require(docs, [id_col, text_col])
     require(labels, [id_col, label_col])
+    text_batches(docs.sparkSession)
     features = materialize(docs.select(id_col, statistics_udf()(text_col).alias("features")), "quality")
     return fit(training_rows(features, labels, id_col, label_col)), features
 

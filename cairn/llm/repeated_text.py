@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize, require, whole_text
+from .shared import materialize, require, text_batches, whole_text
 
 LENGTH, HALF = 100, 50
 #: Hashes in a string: its anchor is the least of them.
@@ -239,6 +239,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     character. An empty table gives an empty result.
     """
     require(docs, [id_col, text_col])
+    text_batches(docs.sparkSession)
     text = whole_text(text_col)
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     unique = docs.groupBy(doc.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()

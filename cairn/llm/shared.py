@@ -76,3 +76,10 @@ def finish_groups(part: DataFrame, keys: list[str], merge: Column) -> DataFrame:
     """Second step of :func:`salted_groups`: totals of each key, repeated for its own salts only."""
     total = part.groupBy(*keys).agg(F.sum("_n").alias("_n"), merge.alias("_first"), F.collect_list("_salt").alias("_salts"))
     return total.withColumn("_salt", F.explode("_salts")).drop("_salts")
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers of this session get so many rows at a time at most: whole texts are long, and two workers share an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)

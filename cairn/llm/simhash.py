@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import finish_groups, materialize, require, salted_groups, tagged
+from .shared import finish_groups, materialize, require, salted_groups, tagged, text_batches
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Two bits for each covering pivot; 32 of them in GROUPS groups.
@@ -169,12 +169,14 @@ def simhash_components(rows: DataFrame, *, id_col: str = "doc_id", fp_col: str =
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for each row; see :func:`simhash_components`."""
     require(docs, [id_col, text_col])
+    text_batches(docs.sparkSession)
     rows = materialize(docs.select(F.col(id_col), fingerprint_udf()(text_col).alias("fp")), "simhash")
     return simhash_components(rows, id_col=id_col)
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id (of repeated rows any one). Every column stays as it is."""
+    text_batches(docs.sparkSession)
     numbered = tagged(docs.withColumn("_fp", fingerprint_udf()(text_col)), "near-input", "_row")
     linked = simhash_components(numbered.select(id_col, F.col("_fp").alias("fp"), "_row"), id_col=id_col)
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")))

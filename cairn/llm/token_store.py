@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import require, scratch_folder
+from .shared import require, scratch_folder, text_batches
 from .tokens import encode_in_parts, public_tokenizer_path
 
 END_ID, LEVEL = 1, 3
@@ -96,6 +96,7 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
     Null and empty texts are the end id alone. An empty table gives a store without blocks.
     """
     require(docs, [id_col, text_col])
+    text_batches(docs.sparkSession)
     spark, path = docs.sparkSession, tokenizer or public_tokenizer_path()
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 

@@ -15,7 +15,7 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Words kept by a worker, and pre-tokens in one call of the library.
-CACHE_WORDS, CALL_WORDS = 600_000, 1000
+CACHE_WORDS, CALL_WORDS = 250_000, 1000
 #: Latin characters below U+0250, without white space other than the four usual ones and without U+0130, which grows in lower case.
 _LATIN = [c for c in map(chr, range(0x250)) if c != "İ"]
 _LETTERS = "".join(c for c in _LATIN if c.isalpha())
@@ -35,24 +35,26 @@ class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        self.full = Tokenizer.from_file(path)
+        self.path, self.full = path, None
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.full.get_vocab(True)
+        vocabulary = self.bare.get_vocab(True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
+        if self.full is None:  # few workers need it
+            self.full = Tokenizer.from_file(self.path)
         return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: Iterable[str]) -> None:
         """Add words to the cache: their pre-tokens are encoded together and cut at the ends that the vocabulary marks."""
         cut = [(w, _PRETOKENS.findall(w)) for w in words]
-        fresh = list({p for _, parts in cut for p in parts})
+        known = {p: self.words[p] for p in {p for _, parts in cut for p in parts} & self.words.keys()}
+        fresh = list({p for _, parts in cut for p in parts} - known.keys())
         calls = [fresh[i : i + CALL_WORDS] for i in range(0, len(fresh), CALL_WORDS)]
-        known: dict[str, bytes] = {}
         for parts, encoded in zip(calls, self.bare.encode_batch_fast([" ".join(c) for c in calls], add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
@@ -84,8 +86,9 @@ class WordEncoder:
         out = [b""] * len(texts)
         for i, words in plain.items():
             out[i] = b"".join(map(self.words.__getitem__, words))
-        for i, b in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = b
+        if odd:
+            for i, b in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
+                out[i] = b
         return out
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, materialize, require
+from .shared import held_out, materialize, require, text_batches
 
 #: Labelled texts in training and calibration, at most, for each class: those with the smallest hashes.
 MAX_PER_CLASS = 4000
@@ -224,6 +224,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """Two thirds of the sample train, one third calibrates. Without texts of both classes every raw score is the same, below the threshold unless all labels are 1."""
     require(docs, [id_col, text_col])
     require(labels, [id_col, label_col])
+    text_batches(docs.sparkSession)
     rows = training_texts(docs, labels, id_col, text_col, label_col, max_per_class)
     y = np.array([r[1] for r in rows], np.float64)
     if len(set(y)) < 2:
