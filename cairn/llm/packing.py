@@ -39,13 +39,16 @@ class Phase:
     begin: tuple[int, ...]
     take: tuple[int, ...]
 
-    def taken(self, k: np.ndarray, s: int) -> np.ndarray:
-        """Tokens of queue ``s`` in the first ``k`` windows of the phase."""
-        filler = int(np.argmax(self.take))
-        part = lambda q: [int(x) * self.take[q] // self.windows for x in k]  # noqa: E731  whole numbers of any size
-        if s != filler:
-            return np.array(part(s), np.int64)
-        return np.asarray(k, np.int64) * self.tokens - sum((np.array(part(q), np.int64) for q in range(len(self.take)) if q != filler), np.zeros(len(k), np.int64))
+    def edges(self, k: np.ndarray) -> np.ndarray:
+        """For each number ``k`` of windows the tokens taken, one column for each queue."""
+        take = np.array(self.take, np.int64)
+        if int(take.max()) * self.windows < 1 << 62:
+            taken = k[:, None] * take // self.windows
+        else:
+            taken = np.array([[int(x) * t // self.windows for t in self.take] for x in k], np.int64)
+        filler = int(take.argmax())
+        taken[:, filler] += k * self.tokens - taken.sum(1)
+        return taken
 
 
 def share_out(total: int, weights: list[float], most: list[int]) -> list[int]:
@@ -116,14 +119,13 @@ def pieces(queue: int, start: int, n: int, plan: list[Phase]) -> Iterator[tuple[
         low = max(0, int((a - p.begin[queue]) / share) - 2 - len(p.take))
         high = min(p.windows, int((b - p.begin[queue]) / share) + 3 + len(p.take))
         k = np.arange(low, high + 1)
-        edges = p.taken(k, queue) + p.begin[queue]
-        before = np.zeros(len(k) - 1, np.int64)
-        for s in range(queue):
-            taken = p.taken(k, s)
-            before += taken[1:] - taken[:-1]
-        for i in np.flatnonzero((edges[1:] > a) & (edges[:-1] < b) & (edges[1:] > edges[:-1])):
-            x, y = max(a, int(edges[i])), min(b, int(edges[i + 1]))
-            yield x - start, y - x, p.first + int(k[i]), int(before[i]) + x - int(edges[i])
+        taken = p.edges(k)
+        edges = taken[:, queue] + p.begin[queue]
+        before = np.diff(taken[:, :queue].sum(1))
+        for i in np.flatnonzero((edges[1:] > a) & (edges[:-1] < b) & (edges[1:] > edges[:-1])).tolist():
+            low_edge = int(edges[i])
+            x, y = max(a, low_edge), min(b, int(edges[i + 1]))
+            yield x - start, y - x, p.first + low + i, int(before[i]) + x - low_edge
 
 
 PIECES = "start long, length long, ids binary, sequence_id long, offset long"
