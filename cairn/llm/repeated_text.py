@@ -178,9 +178,10 @@ def gathered(parts: list[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarra
     first = np.flatnonzero(new)
     stop = np.append(first[1:], len(rank))
     more = {name: np.full(len(first), None, object) for name in ("more_docs", "more_ties", "more_runs")}
-    for k in np.flatnonzero(stop - first > 1):
-        for name, values in (("more_docs", docs), ("more_ties", ties), ("more_runs", run | 1)):
-            more[name][k] = values[first[k] + 1 : stop[k]]
+    odd = run | 1
+    for k in np.flatnonzero(stop - first > 1).tolist():
+        for name, values in (("more_docs", docs), ("more_ties", ties), ("more_runs", odd)):
+            more[name][k] = values[first[k] + 1 : stop[k]].copy()
     return pd.DataFrame({"rank": rank[first].view(np.int64), "cover": cover[first].view(np.int64), "_doc": docs[first], "_tie": ties[first], "run": run[first], **more})
 
 
