@@ -26,6 +26,8 @@ END_ID, LEVEL = 1, 3
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 #: The dictionary is trained on so many documents at most, those with the smallest hashes, of so many bytes of ids at most together.
 DICTIONARY_DOCS, DICTIONARY_SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8 << 20, 64 << 10
+#: Longer texts don't train the dictionary, which serves short documents; they are encoded like all others.
+DICTIONARY_TEXT_BYTES = 8 << 10
 #: Rows of a range of ids aimed at; ranges are written in parallel.
 RANGE_ROWS = 8000
 
@@ -106,8 +108,9 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
             yield pd.Series(list(ids_of(path, part.tolist(), end_id)))
 
     chosen = spark.createDataFrame([(r["_id"],) for r in rows.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(DICTIONARY_DOCS).collect()], "_id long").distinct()
-    sample = rows.join(F.broadcast(chosen), "_id")  # DICTIONARY_DOCS ids at most
-    serialized = sorted(bytes(r["b"]) for r in sample.select(encode("_text").alias("b")).where(F.octet_length("b") <= DICTIONARY_SAMPLE_BYTES // 64).toLocalIterator())
+    # DICTIONARY_DOCS ids at most, and short texts only: a few MB on the driver.
+    sample = rows.where(F.octet_length("_text") <= DICTIONARY_TEXT_BYTES).join(F.broadcast(chosen), "_id")
+    serialized = sorted(bytes(r["b"]) for r in sample.select(encode("_text").alias("b")).collect())
     raw = train_dictionary(serialized)
     digest = dictionary_hash(raw)
     spark.createDataFrame([(digest, raw)], "dictionary_hash string, dictionary binary").write.parquet(f"{folder}/dictionary")
