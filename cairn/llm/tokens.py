@@ -1,21 +1,21 @@
-"""Token ids of whole texts by the tokenizers library, encoding each distinct word once.
+"""Token ids of whole texts by the tokenizers library, encoding each distinct pre-token once.
 
-For the word-level tokenizer used here ids of a text are those of its pre-tokens in order, and
-pre-tokens never cross white space. Texts of plain Latin characters are cut into words in Python, words seen before
-come from a bounded cache, and the library encodes all new pre-tokens of a batch in one call. Any other text goes
-to the library as it is. Both ways give the same ids.
+For the tokenizer used here ids of a text are those of its pre-tokens in order. Texts of plain Latin characters are cut
+into pre-tokens in Python, those seen before come from a bounded cache, and the library encodes all new ones of a
+batch in one call. Any other text goes to the library as it is. Both ways give the same ids.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-#: Words kept by a worker, and pre-tokens in one call of the library.
-CACHE_WORDS, CALL_WORDS = 250_000, 1000
+#: Pre-tokens kept by a worker, and those in one call of the library.
+CACHE_WORDS, CALL_WORDS = 150_000, 1000
 #: Latin characters below U+0250, without white space other than the four usual ones and without U+0130, which grows in lower case.
 _LATIN = [c for c in map(chr, range(0x250)) if c != "İ"]
 _LETTERS = "".join(c for c in _LATIN if c.isalpha())
@@ -49,25 +49,18 @@ class WordEncoder:
             self.full = Tokenizer.from_file(self.path)
         return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: Iterable[str]) -> None:
-        """Add words to the cache: their pre-tokens are encoded together and cut at the ends that the vocabulary marks."""
-        cut = [(w, _PRETOKENS.findall(w)) for w in words]
-        known = {p: self.words[p] for p in {p for _, parts in cut for p in parts} & self.words.keys()}
-        fresh = list({p for _, parts in cut for p in parts} - known.keys())
+    def _learn(self, fresh: list[str]) -> None:
+        """Add pre-tokens to the cache: many are encoded together, and their ids are cut at the ends that the vocabulary marks."""
         calls = [fresh[i : i + CALL_WORDS] for i in range(0, len(fresh), CALL_WORDS)]
         for parts, encoded in zip(calls, self.bare.encode_batch_fast([" ".join(c) for c in calls], add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) == len(parts):
-                raw, start = ids.tobytes(), 0
-                for p, stop in zip(parts, stops, strict=True):
-                    known[p] = raw[4 * start : 4 * stop]
-                    start = stop
-        for w, parts in cut:
-            try:
-                self.words[w] = b"".join([known[p] for p in parts])
-            except KeyError:
-                self.words[w] = self._whole([w])[0]
+                raw = ids.tobytes()
+                self.words.update(zip(parts, [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
+            else:
+                single = self.bare.encode_batch_fast(parts, add_special_tokens=False)
+                self.words.update(zip(parts, [np.array(e.ids, "<u4").tobytes() for e in single], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none for null and empty ones."""
@@ -77,12 +70,14 @@ class WordEncoder:
                 if _UNUSUAL.search(t):
                     odd.append(i)
                 else:
-                    plain[i] = t.lower().split()
-        fresh = set().union(*plain.values()) - self.words.keys() if plain else set()
+                    plain[i] = _PRETOKENS.findall(t.lower())
+        seen = set().union(*plain.values())
+        fresh = seen - self.words.keys()
         if len(self.words) + len(fresh) > CACHE_WORDS:
-            self.words.clear()
-            fresh = set().union(*plain.values())
-        self._learn(fresh)
+            # Common words come early, so the older half stays.
+            self.words = dict(islice(self.words.items(), max(0, min(CACHE_WORDS // 2, CACHE_WORDS - len(seen)))))
+            fresh = seen - self.words.keys()
+        self._learn(list(fresh))
         out = [b""] * len(texts)
         for i, words in plain.items():
             out[i] = b"".join(map(self.words.__getitem__, words))
