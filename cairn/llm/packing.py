@@ -27,6 +27,8 @@ WINDOW, END_ID = 4096, 2
 MAX_QUEUES = 48
 #: Tokens of a bucket of a queue aimed at; buckets are summed up in parallel.
 BUCKET_TOKENS = 4_000_000
+#: Window edges of all queues that are computed at once.
+EDGE_ROWS = 8192
 
 
 @dataclass(frozen=True)
@@ -109,26 +111,60 @@ def phases(totals: list[int], target: list[float] | None = None, window: int = W
     return done
 
 
-def pieces(queue: int, start: int, n: int, plan: list[Phase]) -> Iterator[tuple[int, int, int, int]]:
-    """(offset in the document, length, window, offset in the window) of a document of ``n`` tokens at ``start`` of a queue."""
+def near_windows(doc: np.ndarray, a: np.ndarray, b: np.ndarray, queues: np.ndarray, phase: Phase) -> tuple[np.ndarray, np.ndarray]:
+    """(document, window) pairs in order, all windows of the phase among them that hold tokens ``a`` to ``b`` of the queues.
+
+    Edges are less than a token from their shares, those of the filler less than one for each queue. Where a queue gives
+    less than a token to a window, only windows near each token's are listed: many windows in between hold none.
+    """
+    share = np.array(phase.take)[queues] / phase.windows
+    slack = np.where(queues == int(np.argmax(phase.take)), len(phase.take) / share, 1 / share).astype(np.int64) + 2
+    thin = (share < 1) & (slack < phase.windows) & (queues != int(np.argmax(phase.take)))
+    low, high = np.maximum(0, (a / share).astype(np.int64) - slack), np.minimum(phase.windows, (b / share).astype(np.int64) + slack)
+    # A thin queue's token j is in the window whose number is just below (j + 1) / share.
+    first, sizes = np.where(thin, a, low), np.where(thin, b - a, high - low)
+    at = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+    doc, thin, share = np.repeat(doc, sizes), np.repeat(thin, sizes), np.repeat(share, sizes)
+    wide = ~thin
+    about = ((at[thin] + 1) / share[thin]).astype(np.int64)[:, None] + np.arange(-2, 2)
+    near = np.column_stack([np.repeat(doc[thin], 4), np.clip(about, 0, phase.windows - 1).ravel()])
+    pairs = np.concatenate([np.column_stack([doc[wide], at[wide]]), np.unique(near, axis=0)])
+    return pairs[:, 0], pairs[:, 1]
+
+
+def cut_pieces(queues: np.ndarray, starts: np.ndarray, counts: np.ndarray, plan: list[Phase]) -> list[np.ndarray]:
+    """For each document of so many tokens at its start in its queue, its pieces one after another: offset in the document, length, window, offset in the window."""
+    owners, found = [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)]
     for p in plan:
-        a, b = max(start, p.begin[queue]), min(start + n, p.begin[queue] + p.take[queue])
-        if a >= b:
+        begin, take = np.array(p.begin, np.int64)[queues], np.array(p.take, np.int64)[queues]
+        a, b = np.maximum(starts, begin), np.minimum(starts + counts, begin + take)
+        on = np.flatnonzero(a < b)
+        if not len(on):
             continue
-        share = p.take[queue] / p.windows
-        low = max(0, int((a - p.begin[queue]) / share) - 2 - len(p.take))
-        high = min(p.windows, int((b - p.begin[queue]) / share) + 3 + len(p.take))
-        k = np.arange(low, high + 1)
-        taken = p.edges(k)
-        edges = taken[:, queue] + p.begin[queue]
-        before = np.diff(taken[:, :queue].sum(1))
-        for i in np.flatnonzero((edges[1:] > a) & (edges[:-1] < b) & (edges[1:] > edges[:-1])).tolist():
-            low_edge = int(edges[i])
-            x, y = max(a, low_edge), min(b, int(edges[i + 1]))
-            yield x - start, y - x, p.first + low + i, int(before[i]) + x - low_edge
-
-
-PIECES = "start long, length long, ids binary, sequence_id long, offset long"
+        doc, k = near_windows(on, (a - begin)[on], (b - begin)[on], queues[on], p)
+        left, right, before = (np.empty(len(k), np.int64) for _ in range(3))
+        for i in range(0, len(k), EDGE_ROWS):
+            at, q = slice(i, i + EDGE_ROWS), queues[doc[i : i + EDGE_ROWS], None]
+            low, high = p.edges(k[at]), p.edges(k[at] + 1)
+            left[at], right[at] = (np.take_along_axis(e, q, 1)[:, 0] for e in (low, high))
+            taken = high - low
+            before[at] = np.take_along_axis(taken.cumsum(1) - taken, q, 1)[:, 0]
+        left, right = left + begin[doc], right + begin[doc]
+        hit = np.flatnonzero((right > a[doc]) & (left < b[doc]) & (right > left))
+        d, left, right = doc[hit], left[hit], right[hit]
+        x, y = np.maximum(a[d], left), np.minimum(b[d], right)
+        owners.append(d)
+        found.append(np.column_stack([x - starts[d], y - x, p.first + k[hit], before[hit] + x - left]))
+    owner, flat = np.concatenate(owners), np.concatenate(found)
+    order = np.argsort(owner, kind="stable")
+    ends = np.cumsum(np.bincount(owner, minlength=len(queues)))
+    return [rows.ravel() for rows in np.split(flat[order], ends[:-1])][: len(queues)]
+
+
+def pieces(queue: int, start: int, n: int, plan: list[Phase]) -> Iterator[tuple[int, ...]]:
+    """:func:`cut_pieces` of one document."""
+    (flat,) = cut_pieces(np.array([queue]), np.array([start]), np.array([n]), plan)
+    yield from map(tuple, flat.reshape(-1, 4).tolist())
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str, end_id: int) -> DataFrame:
@@ -155,7 +191,7 @@ def pack(
     of its own. Repeated rows are packed as often as they occur. An empty table gives an empty result.
     """
     require(docs, [id_col, text_col, source_col])
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, 500)
     rows = tokenize(docs, id_col, text_col, source_col, tokenizer or public_tokenizer_path(), end_id)
     by_source = rows.groupBy("_source").agg(F.sum("_n").alias("t")).orderBy(F.desc("t"), "_source")
     top = [(r["_source"], r["t"]) for r in by_source.limit(MAX_QUEUES - 1).collect()]
@@ -178,16 +214,20 @@ def pack(
     within = Window.partitionBy("_queue", "_bucket").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_inner", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(sums, ["_queue", "_bucket"])
 
-    @F.pandas_udf(f"array<struct<{PIECES.replace(' ', ':').replace(',:', ',')}>>")
+    @F.pandas_udf("array<long>")
     def cut(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for queues, starts, counts, ids in parts:
-            out = []
-            for q, s, n, b in zip(queues, starts, counts, ids, strict=True):
-                out.append([{"start": a, "length": m, "ids": b[4 * a : 4 * (a + m)], "sequence_id": k, "offset": o} for a, m, k, o in pieces(q, s, n, plan)])
-            yield pd.Series(out)
-
-    placed = placed.withColumn("_pieces", cut("_queue", F.col("_before") + F.col("_inner"), "_n", "_ids"))
-    return placed.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_n").alias("doc_tokens"), F.explode("_pieces").alias("p")).select(id_col, "source", "doc_tokens", "p.*")
+        for part in parts:
+            yield pd.Series(cut_pieces(*(c.to_numpy(np.int64) for c in part), plan))
+
+    # Every document has a piece at least, for its end id. Explode and the cutting of ids compile into one loop, which reads a document's ids once.
+    placed = placed.withColumn("_cut", cut("_queue", F.col("_before") + F.col("_inner"), "_n"))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0), (F.size("_cut") / 4).cast("int") - 1)).alias("_i"))
+    start, length, sequence, offset = (F.get("_cut", 4 * F.col("_i") + k) for k in range(4))
+    ids = F.col("_ids").substr((4 * start + 1).cast("int"), (4 * length).cast("int"))
+    return placed.select(
+        F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_n").alias("doc_tokens"),
+        start.alias("start"), length.alias("length"), ids.alias("ids"), sequence.alias("sequence_id"), offset.alias("offset"),
+    )
 
 
 def digest_pieces(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
