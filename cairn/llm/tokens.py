@@ -18,8 +18,9 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 #: Pre-tokens kept by a worker, and those in one call of the library.
 CACHE_WORDS, CALL_WORDS = 150_000, 1000
-#: Not plain: characters from U+0250 on, controls, white space other than the four usual ones, those whose lower case is longer, and marks of special tokens.
+#: Not plain: characters from U+0250 on, controls, white space other than the four usual ones, those whose lower case is longer, and the beginning of special tokens.
 _UNUSUAL = re.compile("[^\x20-\x7e\t\n\r\xa1-\xac\xae-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]|<\\|")
+_PLAIN_ASCII = bytes([9, 10, 13, *range(32, 127)])
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 #: Kinds of the plain characters by code point. A pre-token is a run of letters, one number, or a run of others.
 _KIND = np.array([_SPACE if c.isspace() else _LETTER if c.isalpha() else _NUMBER if c.isnumeric() else _OTHER for c in map(chr, range(0x250))], np.uint8)
@@ -28,6 +29,12 @@ _BYTE_KIND = _KIND[:256]
 _SHORT_ENDINGS, _LONG_ENDINGS = b"stmd", (b"re", b"ve", b"ll")
 
 
+def is_plain(text: str) -> bool:
+    """Whether a text is cut here; most characters of most texts are settled by deleting ASCII ones."""
+    rest = text.encode().translate(None, _PLAIN_ASCII)
+    return "<|" not in text and not (rest and _UNUSUAL.search(rest.decode()))
+
+
 def pretoken_starts(data: np.ndarray) -> np.ndarray:
     """Where in lower-cased UTF-8 bytes of plain characters, which end in three newlines, pre-tokens and runs of white space start."""
     kind = _BYTE_KIND[data]
@@ -91,7 +98,7 @@ class WordEncoder:
         plain, odd = [], []
         for i, t in enumerate(texts):
             if t:
-                (odd if _UNUSUAL.search(t) else plain).append(i)
+                (plain if is_plain(t) else odd).append(i)
         if plain:
             for i, b in zip(plain, self._plain([texts[i].lower().encode() for i in plain]), strict=True):
                 out[i] = b
@@ -105,18 +112,15 @@ class WordEncoder:
         cuts = pretoken_starts(np.frombuffer(joined, np.uint8))
         offsets = np.append(cuts, len(joined)).astype(np.int64)
         coded = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
-        index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-
-        def unknown() -> list[str]:
-            return [w for w in words if w not in self.words and not w.isspace()]
-
-        fresh = unknown()
+        index, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.words.get, words))
+        fresh = [i for i, b in enumerate(found) if b is None]
         if len(self.words) + len(fresh) > CACHE_WORDS:
             # Common words come early, so the older half stays.
-            self.words = dict(islice(self.words.items(), max(0, min(CACHE_WORDS // 2, CACHE_WORDS - len(words)))))
-            fresh = unknown()
-        self._learn(fresh)
-        found = [self.words.get(w, b"") for w in words]  # none for white space
+            self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
+        self._learn([words[i] for i in fresh if not words[i].isspace()])
+        for i in fresh:
+            found[i] = self.words.get(words[i], b"")  # none for white space
         flat, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
         first, n = np.cumsum(sizes) - sizes, sizes[index]
         ends = np.cumsum(n)
