@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import require, scratch_folder, text_batches
+from .shared import materialize, require, scratch_folder, text_batches
 from .tokens import encode_in_parts, public_tokenizer_path
 
 END_ID, LEVEL = 1, 3
 #: Bytes of frames in a block, at most (one frame may be longer), and its documents.
-BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
+BLOCK_BYTES, BLOCK_DOCS = 256 << 10, 4096
 #: The dictionary is trained on so many documents at most, those with the smallest hashes, of so many bytes of ids at most together.
 DICTIONARY_DOCS, DICTIONARY_SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8 << 20, 64 << 10
 #: Longer texts don't train the dictionary, which serves short documents; they are encoded like all others.
@@ -98,7 +98,7 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
     Null and empty texts are the end id alone. An empty table gives a store without blocks.
     """
     require(docs, [id_col, text_col])
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, 500)
     spark, path = docs.sparkSession, tokenizer or public_tokenizer_path()
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
@@ -156,7 +156,8 @@ def read_tokens(spark: SparkSession, folder: str, doc_id: int | None = None) ->
     sums = table.select("range_no", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, b: a + b).alias("t")).groupBy("range_no").agg(F.sum("t").alias("t"))
     # One row for each RANGE_ROWS documents.
     earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("range_no", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("before"))
+    # As a table its size is known: while it is small Spark broadcasts it and leaves the blocks where they are.
+    sums = materialize(sums.select("range_no", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("before")), "store-starts")
     if doc_id is not None:
         table = table.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
 
