@@ -119,10 +119,12 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
     bounds = rows.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 50_000).alias("q")).first()["q"] if n > 1 else []
     cuts = np.array(sorted(set(bounds or [])), np.int64)
 
-    @F.pandas_udf("int")
-    def range_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ids, lost in parts:
-            yield pd.Series(np.where(lost, 0, np.searchsorted(cuts, ids.to_numpy(np.int64), side="right")).astype(np.int32))
+    # One function for both, so that a task has one Python worker.
+    @F.pandas_udf("_range int, _ids binary")
+    def place(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for known, lost, texts in parts:
+            ranges = np.where(lost, 0, np.searchsorted(cuts, known.to_numpy(np.int64), side="right")).astype(np.int32)
+            yield pd.DataFrame({"_range": ranges, "_ids": list(ids_of(path, texts.tolist(), end_id))})
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer, current = None, None
@@ -141,7 +143,7 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
             yield pd.DataFrame([writer.block(current)])
 
     known, lost = F.coalesce("_id", F.lit(0)), F.col("_id").isNull()
-    ids = rows.select(known.alias("_id"), lost.alias("_lost"), range_of(known, lost).alias("_range"), encode("_text").alias("_ids"))
+    ids = rows.select(known.alias("_id"), lost.alias("_lost"), place(known, lost, "_text").alias("_p")).select("_id", "_lost", "_p.*")
     dealt = ids.repartition(n, "_range").sortWithinPartitions("_range", F.desc("_lost"), "_id", "_ids")
     dealt.mapInPandas(blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{folder}/blocks")
 
