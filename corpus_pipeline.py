@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.decontaminate import drop_contaminated
 from cairn.llm.exact_dedup import drop_exact_copies
+from cairn.llm.near_copies import drop_similar
 from cairn.llm.packing import digest_pieces, pack
 from cairn.llm.quality import keep_good
 from cairn.llm.shared import materialize
-from cairn.llm.simhash import drop_near_copies
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies that with the smallest id stays."""
-    return drop_near_copies(docs)
+    """Of each group of near copies (five-word shingles, Jaccard of 0.8 or more) that with the smallest id stays."""
+    return drop_similar(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
