@@ -175,7 +175,11 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest id (of repeated rows any one). Every column stays as it is."""
+    """``docs`` with one row of each ``component_id``: that with the smallest id (of repeated rows any one). Every column stays as it is.
+
+    Components that share a component_id, as those of null or repeated ids do, keep one row together. The pipeline
+    uses :func:`.near_copies.drop_similar`, whose components are of rows.
+    """
     text_batches(docs.sparkSession)
     numbered = tagged(docs.withColumn("_fp", fingerprint_udf()(text_col)), "near-input", "_row")
     linked = simhash_components(numbered.select(id_col, F.col("_fp").alias("fp"), "_row"), id_col=id_col)

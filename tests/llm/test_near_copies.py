@@ -59,3 +59,12 @@ def test_a_large_group_of_near_copies_leaves_one(spark):
     base = prose(rng, 200)
     rows = [(i, " ".join(changed(rng, base, 2))) for i in range(150)] + [(1000 + i, " ".join(prose(rng, 50))) for i in range(20)]
     assert Counter(r.doc_id for r in nc.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()) == brute_kept(rows)
+
+
+def test_rows_of_null_and_repeated_ids_stay(spark):
+    rng = random.Random(10)
+    rows = [(None, " ".join(prose(rng, 40))) for _ in range(12)] + [(7, " ".join(prose(rng, 40))) for _ in range(12)]
+    copied = rows[0][1] + " tail"
+    kept = nc.drop_similar(spark.createDataFrame([*rows, (5, copied)], SCHEMA)).collect()
+    assert Counter(r.doc_id for r in kept) == Counter({None: 11, 7: 12, 5: 1})
+    assert {r.text for r in kept} == {t for _, t in rows[1:]} | {copied}
