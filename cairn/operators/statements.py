@@ -22,9 +22,13 @@ def has_any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def detect_statements(lines: DataFrame) -> DataFrame:
-    """(statement_id, score, is_statement) for (statement_id, line_no, text): two of ten indicators in the first 200 lines."""
+    """(statement_id, score, is_statement) for (statement_id, line_no, text): two of ten indicators in the first 200 lines.
+
+    The lines of each statement are counted in the order of ``line_no``, whatever numbers those are; each statement has a row.
+    """
     low = F.lower("text")
-    found = lines.where("line_no <= 200").groupBy("statement_id").agg(*[F.max(F.contains(low, F.lit(w))).alias(f"i{k}") for k, w in enumerate(INDICATORS)])
+    place = F.row_number().over(Window.partitionBy("statement_id").orderBy(F.asc_nulls_last("line_no"), "text"))
+    found = lines.withColumn("_place", place).where(F.col("_place") <= 200).groupBy("statement_id").agg(*[F.max(F.contains(low, F.lit(w))).alias(f"i{k}") for k, w in enumerate(INDICATORS)])
     score = reduce(lambda a, b: a + b, [F.col(f"i{k}").cast("int") for k in range(len(INDICATORS))])
     return found.select("statement_id", score.alias("score"), (score >= 2).alias("is_statement"))
 
