@@ -458,6 +458,13 @@ def delimited_split(s, d):
     return rd.split_delimited(lines, "text")
 
 
+@query("SELECT l_orderkey::VARCHAR AS col_0, l_linenumber::VARCHAR AS col_1, l_returnflag AS col_2, CASE WHEN l_linenumber > 3 THEN l_linestatus END AS col_3 FROM lineitem")
+def delimited_split_lineitem(s, d):
+    long = F.when(F.col("l_linenumber") > 3, F.col("l_linestatus"))
+    lines = table(s, d, "lineitem").select(F.concat_ws(";", "l_orderkey", "l_linenumber", "l_returnflag", long).alias("text"))
+    return rd.split_delimited(lines, "text", ";")
+
+
 @query(r"SELECT doc_id, line_no::INT AS line_no, trim(line, ' ') AS text FROM (SELECT doc_id, unnest(string_split_regex(text, '\r\n|[\n\x0B\x0C\r\x{0085}\x{2028}\x{2029}]')) AS line, generate_subscripts(string_split_regex(text, '\r\n|[\n\x0B\x0C\r\x{0085}\x{2028}\x{2029}]'), 1) - 1 AS line_no FROM documents) WHERE trim(line, ' ') <> ''")
 def text_lines(s, d):
     return rd.document_lines(table(s, d, "documents"), "doc_id", "text")
@@ -541,3 +548,15 @@ def upload_profile(s, d):
 @query("SELECT table_name, metric, value FROM (SELECT 'region' AS table_name, unnest(['rows', 'columns', 'numeric_columns', 'text_columns', 'missing_cells', 'repeated_rows']) AS metric, unnest([count(*), 2, 1, 1, 0, 0]) AS value FROM region UNION ALL SELECT 'nation', unnest(['rows', 'columns', 'numeric_columns', 'text_columns', 'missing_cells', 'repeated_rows']), unnest([count(*), 3, 2, 1, 0, 0]) FROM nation)")
 def tables_overview(s, d):
     return pl.over_tables(rd.read_tables(s, d, ["region", "nation"]), ds.overview)
+
+
+_METRICS = "unnest(['rows', 'columns', 'numeric_columns', 'text_columns', 'missing_cells', 'repeated_rows'])"
+
+
+def _overview_sql(name: str, columns: int, numeric: int, text: int) -> str:
+    return f"SELECT '{name}' AS table_name, {_METRICS} AS metric, unnest([count(*), {columns}, {numeric}, {text}, 0, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {name}))]) AS value FROM {name}"
+
+
+@query(f"{_overview_sql('orders', 6, 3, 2)} UNION ALL {_overview_sql('customer', 5, 3, 2)} UNION ALL {_overview_sql('events', 6, 3, 2)}")
+def tables_overview_large(s, d):
+    return pl.over_tables(rd.read_tables(s, d, ["orders", "customer", "events"]), ds.overview)

@@ -56,13 +56,12 @@ def detect_delimiter(lines: DataFrame, col: str, probe: int = 20) -> str | None:
 
 
 def split_delimited(lines: DataFrame, col: str, delimiter: str | None = None) -> DataFrame:
-    """Every line split into col_0, col_1, ...; short lines give NULL. Without a delimiter the lines stay as they are."""
+    """Every line split into col_0, col_1, ..., as many as the longest line has; short lines give NULL. Without a delimiter the lines stay as they are."""
     delimiter = delimiter or detect_delimiter(lines, col)
     if delimiter is None:
         return lines.select(col)
-    first = lines.select(col).limit(1).collect()
-    n = len(first[0][0].split(delimiter)) if first else 0
     parts = F.split(col, "[" + delimiter + "]")
+    n = max(0, lines.agg(F.max(F.size(parts))).first()[0] or 0)
     return lines.select(*[F.get(parts, F.lit(k)).alias(f"col_{k}") for k in range(n)])
 
 
