@@ -23,7 +23,7 @@ from .shared import materialize, require, text_batches
 from .tokens import encode_in_parts, public_tokenizer_path
 
 WINDOW, END_ID = 4096, 2
-#: Queues: the sources of most tokens have one each, all further sources share the last one.
+#: Queues: the sources of most tokens have one each, all further sources share the last one. Sources that a target names always have one.
 MAX_QUEUES = 48
 #: Tokens of a bucket of a queue aimed at; buckets are summed up in parallel.
 BUCKET_TOKENS = 4_000_000
@@ -143,8 +143,9 @@ def cut_pieces(queues: np.ndarray, starts: np.ndarray, counts: np.ndarray, plan:
             continue
         doc, k = near_windows(on, (a - begin)[on], (b - begin)[on], queues[on], p)
         left, right, before = (np.empty(len(k), np.int64) for _ in range(3))
-        for i in range(0, len(k), EDGE_ROWS):
-            at, q = slice(i, i + EDGE_ROWS), queues[doc[i : i + EDGE_ROWS], None]
+        step = max(1, EDGE_ROWS * MAX_QUEUES // max(MAX_QUEUES, len(p.take)))
+        for i in range(0, len(k), step):
+            at, q = slice(i, i + step), queues[doc[i : i + step], None]
             low, high = p.edges(k[at]), p.edges(k[at] + 1)
             left[at], right[at] = (np.take_along_axis(e, q, 1)[:, 0] for e in (low, high))
             taken = high - low
@@ -188,23 +189,26 @@ def pack(
 
     All tokens of all documents are dealt to windows 0, 1, ...; all but window 0 are full. Without a ``target`` (weights by
     source) windows keep the proportions of the whole table. A null or empty text is its end id alone. A null source is a source
-    of its own. Repeated rows are packed as often as they occur. An empty table gives an empty result.
+    of its own. Each source of the target has a queue; sources it doesn't name follow when those have run out. Repeated rows are packed as often as they occur. An empty table gives an empty result.
     """
     require(docs, [id_col, text_col, source_col])
     text_batches(docs.sparkSession, 500)
     rows = tokenize(docs, id_col, text_col, source_col, tokenizer or public_tokenizer_path(), end_id)
-    by_source = rows.groupBy("_source").agg(F.sum("_n").alias("t")).orderBy(F.desc("t"), "_source")
-    top = [(r["_source"], r["t"]) for r in by_source.limit(MAX_QUEUES - 1).collect()]
+    named = [s for s in target or () if s is not None]
+    is_named = F.when(F.col("_source").isNull(), F.lit(None in (target or ()))).otherwise(F.col("_source").isin(named))
+    by_source = rows.groupBy("_source").agg(F.sum("_n").alias("t")).orderBy(F.desc(is_named), F.desc("t"), "_source")
+    top = [(r["_source"], r["t"]) for r in by_source.limit(max(MAX_QUEUES - 1, len(target or ()))).collect()]
     total = rows.agg(F.sum("_n").alias("t")).first()["t"] or 0
     totals = [t for _, t in top] + [total - sum(t for _, t in top)]
     weights = None
     if target is not None:
-        weights = [target.get(s, 0.0) for s, _ in top] + [sum(target.values()) - sum(target.get(s, 0.0) for s, _ in top)]
+        weights = [target.get(s, 0.0) for s, _ in top] + [0.0]
     plan = phases(totals, weights, window)
 
-    queue = F.lit(len(top))
-    for i, (s, _) in reversed(list(enumerate(top))):
-        queue = F.when(F.col("_source").eqNullSafe(F.lit(s)), i).otherwise(queue)
+    number = {s: i for i, (s, _) in enumerate(top)}
+    known = [F.lit(x) for s, i in number.items() if s is not None for x in (s, i)]
+    queue = F.coalesce(F.try_element_at(F.create_map(*known), F.col("_source")), F.lit(len(top))) if known else F.lit(len(top))
+    queue = F.when(F.col("_source").isNull(), number.get(None, len(top))).otherwise(queue)
     buckets = max(1, -(-max(totals, default=0) // BUCKET_TOKENS))
     order = F.xxhash64("_id", "_ids")
     rows = rows.withColumns({"_queue": queue.cast("int"), "_order": order}).withColumn("_bucket", F.pmod("_order", F.lit(buckets)).cast("int"))

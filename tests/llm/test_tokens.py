@@ -79,6 +79,23 @@ def test_packing_with_a_target_and_a_shared_queue(docs, monkeypatch):
     check_packing(rows, pk.pack(docs, window=128).collect(), 128)
 
 
+def test_a_target_on_small_sources_beyond_the_queues(spark, monkeypatch):
+    monkeypatch.setattr(pk, "MAX_QUEUES", 3)
+    text = "stone river cloud lamp " * 30
+    sizes = {"big0": 40, "big1": 30, "mid0": 20, "mid1": 20, "small": 10, "least": 10}
+    rows = [(100 * k + i, text, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    rows += [(900 + i, text, None) for i in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    packed = pk.pack(frame, window=128, target={"small": 2.0, "least": 1.0, None: 1.0}).collect()
+    check_packing(rows, packed, 128)
+    for window in (1, 2, 3, 4):
+        parts = defaultdict(int)
+        for r in packed:
+            if r.sequence_id == window:
+                parts[r.source] += r.length
+        assert set(parts) == {"small", "least", None} and abs(parts["small"] - 64) <= 3 and abs(parts["least"] - 32) <= 3
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=7), st.one_of(st.none(), st.lists(st.integers(0, 5), min_size=7, max_size=7)))
 def test_windows_hold_each_token_once(totals, target):
