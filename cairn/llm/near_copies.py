@@ -94,34 +94,38 @@ def similar_udf():
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(t, key, _row, size): rows by band, and by SimHash component as table BANDS."""
+    """(key, _row, size): rows by band, and by SimHash component."""
     fps = materialize(rows.select(F.col("_fp").alias("fp")).distinct(), "near-fingerprints")
     roots = components(fingerprint_links(fps))
-    by_root = rows.join(roots, rows["_fp"] == roots["v"], "left").select(F.lit(BANDS).alias("t"), F.coalesce("root", "_fp").alias("key"), "_row", "size")
-    by_band = rows.select(F.posexplode("bands").alias("t", "key"), "_row", "size").select("t", "key", "_row", "size")
-    return by_band.unionByName(by_root)
+    root = F.xxhash64(F.lit(BANDS), F.coalesce("root", "_fp"))
+    by_root = rows.join(roots, rows["_fp"] == roots["v"], "left").select(root.alias("key"), "_row", F.col("size").cast("int"))
+    return rows.select(F.explode("bands").alias("key"), "_row", F.col("size").cast("int")).unionByName(by_root)
 
 
 def candidates(rows: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of rows that share a bucket and whose sizes allow the similarity."""
     spread = buckets(rows)
-    # Equal drafts of one rule: each round has its own order of the rows, and the least of it is met by all others.
-    order = lambda r: F.xxhash64(F.lit(r), "t", "_row")
-    draws = [F.min(F.struct(order(r).alias("o"), "_row", "size")).alias(f"r{r}") for r in range(REPS)]
-    counted = spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), *draws).where("n > 1")
-    reps = counted.select("t", "key", "n", F.array_distinct(F.array(*[F.struct(F.col(f"r{r}._row").alias("row"), F.col(f"r{r}.size").alias("size")) for r in range(REPS)])).alias("reps"))
-    members = materialize(spread.join(reps, ["t", "key"]), "near-buckets")
-    small = members.where(F.col("n") <= PAIRED_AT_MOST).select("t", "key", "_row", "size")
-    other = small.select("t", "key", F.col("_row").alias("row2"), F.col("size").alias("size2"))
-    pairs = small.join(other, ["t", "key"]).where("_row < row2").select(F.col("_row").alias("a"), F.col("row2").alias("b"), "size", "size2")
-    large = members.where(F.col("n") > PAIRED_AT_MOST).select("_row", "size", F.explode("reps").alias("rep")).where("_row <> rep.row")
+    shared = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"), "near-shared")
+    members = materialize(spread.join(shared, "key"), "near-buckets")
+    small = members.where(F.col("n") <= PAIRED_AT_MOST).select("key", "_row", "size")
+    other = small.select("key", F.col("_row").alias("row2"), F.col("size").alias("size2"))
+    pairs = small.join(other, "key").where("_row < row2").select(F.col("_row").alias("a"), F.col("row2").alias("b"), "size", "size2")
+    crowd = members.where(F.col("n") > PAIRED_AT_MOST).select("key", "_row", "size")
+    # Each round has its own order of the rows; the first in it is met by all others. Partial minima leave no hot key.
+    draws = [F.min(F.struct(F.xxhash64(F.lit(r), "key", "_row").alias("o"), F.col("_row").alias("row"), "size")).alias(f"r{r}") for r in range(REPS)]
+    chosen = [F.struct(F.col(f"r{r}.row").alias("row"), F.col(f"r{r}.size").alias("size")) for r in range(REPS)]
+    reps = crowd.groupBy("key").agg(*draws).select("key", F.array_distinct(F.array(*chosen)).alias("reps"))
+    large = crowd.join(reps, "key").select("_row", "size", F.explode("reps").alias("rep")).where("_row <> rep.row")
     met = large.select(F.least("_row", "rep.row").alias("a"), F.greatest("_row", "rep.row").alias("b"), "size", F.col("rep.size").alias("size2"))
     fits = F.least("size", "size2") >= SIMILAR * F.greatest("size", "size2")
     return pairs.unionByName(met).where(fits).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` whose texts (_row, _text) are similar."""
+    """The ``pairs`` (a table) whose texts (_row, _text) are similar."""
+    # A small table of rows is broadcast, so texts in no pair aren't moved.
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "near-ends")
+    texts = materialize(texts.join(ends, "_row", "left_semi"), "near-texts")
     # A row in very many pairs is spread over the salts.
     pairs = pairs.withColumns({"_sa": F.pmod(F.xxhash64("b"), F.lit(SALTS)), "_sb": F.pmod(F.xxhash64("a"), F.lit(SALTS))})
 
@@ -149,5 +153,5 @@ def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     of = materialize(of, "near-roots")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     kept = of.groupBy("root").agg(first.alias("f")).select(F.col("f.row").alias("_row"))
-    dropped = of.join(kept, "_row", "left_anti").select("_row")
+    dropped = materialize(of.join(kept, "_row", "left_anti").select("_row"), "near-dropped")
     return numbered.join(dropped, "_row", "left_anti").drop("_row", "_fp", "_sketch")
