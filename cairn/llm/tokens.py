@@ -3,11 +3,12 @@
 For the tokenizer used here ids of a text are those of its pre-tokens in order. Texts of plain Latin characters are cut
 into pre-tokens by numpy over the bytes of a whole batch and told apart by Arrow's dictionary encoding; distinct ones seen
 before come from a bounded cache, and the library encodes all new ones of a batch in one call. Any other text goes to
-the library as it is. Both ways give the same ids.
+the library as it is, and so does every text if the file has another normaliser, pattern or model. Both ways give the same ids.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 from itertools import islice
@@ -20,6 +21,9 @@ from tokenizers import Tokenizer, pre_tokenizers
 CACHE_WORDS, CALL_WORDS = 150_000, 1000
 #: Not plain: characters from U+0250 on, controls, white space other than the four usual ones, those whose lower case is longer, and the beginning of special tokens.
 _UNUSUAL = re.compile("[^\x20-\x7e\t\n\r\xa1-\xac\xae-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]|<\\|")
+#: The parts of a tokenizer file that this module knows how to follow.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 _PLAIN_ASCII = bytes([9, 10, 13, *range(32, 127)])
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 #: Kinds of the plain characters by code point. A pre-token is a run of letters, one number, or a run of others.
@@ -30,9 +34,31 @@ _SHORT_ENDINGS, _LONG_ENDINGS = b"stmd", (b"re", b"ve", b"ll")
 
 
 def is_plain(text: str) -> bool:
-    """Whether a text is cut here; most characters of most texts are settled by deleting ASCII ones."""
-    rest = text.encode().translate(None, _PLAIN_ASCII)
-    return "<|" not in text and not (rest and _UNUSUAL.search(rest.decode()))
+    """Whether a text is cut here; most characters of most texts are settled by deleting ASCII ones.
+
+    Its lower-cased characters have to be plain as well: those of some capitals below U+0250 are above.
+    """
+    rest = text.encode().translate(None, _PLAIN_ASCII).decode()
+    return "<|" not in text and not (rest and (_UNUSUAL.search(rest) or _UNUSUAL.search(rest.lower())))
+
+
+def is_known(path: str) -> bool:
+    """Whether the file cuts texts as this module does: same normaliser and pattern, byte-level word ends, no prefix, special tokens in ``<|``."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    model, cut = made.get("model") or {}, made.get("pre_tokenizer") or {}
+    cuts = cut.get("pretokenizers") or [{}, {}]
+    return (
+        (made.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and len(cuts) == 2
+        and (cuts[0].get("type"), cuts[0].get("pattern"), cuts[0].get("behavior"), cuts[0].get("invert")) == ("Split", _SPLIT, "Removed", True)
+        and (cuts[1].get("type"), cuts[1].get("add_prefix_space"), cuts[1].get("use_regex")) == ("ByteLevel", False, False)
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "unk_token", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and not made.get("truncation")
+        and all(t["content"].startswith("<|") and not t["normalized"] for t in made.get("added_tokens") or ())
+    )
 
 
 def pretoken_starts(data: np.ndarray) -> np.ndarray:
@@ -65,14 +91,16 @@ class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        self.path, self.full = path, None
+        self.path, self.full, self.words = path, None, {}
+        self.known = is_known(path)
+        if not self.known:
+            return
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.bare.get_vocab(True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         if self.full is None:  # few workers need it
@@ -98,7 +126,7 @@ class WordEncoder:
         plain, odd = [], []
         for i, t in enumerate(texts):
             if t:
-                (plain if is_plain(t) else odd).append(i)
+                (plain if self.known and is_plain(t) else odd).append(i)
         if plain:
             for i, b in zip(plain, self._plain([texts[i].lower().encode() for i in plain]), strict=True):
                 out[i] = b

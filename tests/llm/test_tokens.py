@@ -12,7 +12,7 @@ from cairn.llm import token_store as ts
 from cairn.llm.tokens import WordEncoder, encode_in_parts, public_tokenizer_path
 
 PATH = public_tokenizer_path()
-FULL = Tokenizer.from_file(PATH)
+FULL, OWN = Tokenizer.from_file(PATH), WordEncoder(PATH)
 
 
 def reference(text, end):
@@ -22,10 +22,33 @@ def reference(text, end):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(), st.text(alphabet="abzÄéßſǅ ıİ'sdrevl019²½.,!%$\t\n\r\x0b\xa0\xad<|>"), st.sampled_from(["we'll don't", "<|endoftext|>", "A<|startoftext|>b"]))))
 def test_ids_are_those_of_the_library(texts):
-    got = [np.frombuffer(b, "<u4").tolist() for b in WordEncoder(PATH).encode(texts)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in OWN.encode(texts)]
     assert got == [FULL.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_every_character_below_u0250_and_many_above():
+    rng = np.random.default_rng(1)
+    points = [*range(1, 0x250), *(int(x) for x in rng.integers(0x250, 0x30000, 3000) if not 0xD800 <= x < 0xE000)]
+    texts = [form for c in map(chr, points) for form in (c, f"a{c}b {c}'{c}", f"{c}{c.lower()}x")] + ["Əli Bakıda yaşayır", "ƁƆƉ İstanbul"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in OWN.encode(texts)]
+    assert got == [FULL.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_file_with_another_pattern_goes_to_the_library(tmp_path):
+    import json
+
+    made = json.load(open(PATH, encoding="utf-8"))
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[\\p{L}]+|[\\p{N}]+"
+    other = str(tmp_path / "other.json")
+    json.dump(made, open(other, "w", encoding="utf-8"))
+    texts = ["we'll see 123 times, don't", "Ünder 42", None, ""]
+    for path in (other, public_tokenizer_path("byte_bpe_50k.json")):
+        plain = Tokenizer.from_file(path)
+        got = [np.frombuffer(b, "<u4").tolist() for b in WordEncoder(path).encode(texts)]
+        assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert WordEncoder(PATH).known and not WordEncoder(other).known
+
+
 def test_cache_bound(monkeypatch):
     import cairn.llm.tokens as tk
 
