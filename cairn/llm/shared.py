@@ -13,13 +13,29 @@ BATCH_BYTES = "8m"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 FALLBACK_SCRATCH = "/tmp/cairn-scratch"
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SCRATCH
+    """The application's part of the folder that all executors share: ``spark.checkpoint.dir`` of the session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+        shared = FALLBACK_SCRATCH
+    return f"{shared}/cairn/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the scratch folder."""
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's scratch tables. Results that aren't written yet still read them, so call it after the last write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str, *, compression: str = "zstd") -> DataFrame:
@@ -29,11 +45,26 @@ def materialize(df: DataFrame, label: str, *, compression: str = "zstd") -> Data
     later loss of an executor can't change them.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/cairn/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, wish: str, *others: str) -> str:
+    """``wish``, with as many underscores behind it as make it a name that no column of ``df`` and none of ``others`` has."""
+    taken = {c.lower() for c in (*df.columns, *others)}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def refuse(df_columns: Iterable[str], results: Iterable[str]) -> None:
+    """A clear error for columns whose names the result needs for its own."""
+    own = {c.lower() for c in results}
+    if clash := sorted(c for c in df_columns if c.lower() in own):
+        raise ValueError(f"the result has columns of its own called {clash}; rename those of the table")
+
+
 def tagged(df: DataFrame, label: str, tag: str = "_tag") -> DataFrame:
     """``df`` in a scratch table with a number for each row; repeated rows get different ones."""
     return materialize(df.withColumn(tag, F.monotonically_increasing_id()), label)
@@ -81,7 +112,10 @@ def finish_groups(part: DataFrame, keys: list[str], merge: Column) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers of this session get so many rows at a time at most: whole texts are long, and two workers share an executor's memory."""
+    """Python workers of this session get so many rows at a time at most: whole texts are long, and two workers share an executor's memory.
+
+    Results are lazy and run under the session's settings, so these stay set.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)

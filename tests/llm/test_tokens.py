@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,21 +141,42 @@ def test_windows_hold_each_token_once(totals, target):
 
 
 def test_store_round_trip(spark, docs, tmp_path, monkeypatch):
-    monkeypatch.setattr(ts, "RANGE_ROWS", 16)
+    monkeypatch.setattr(ts, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(ts, "INDEX_GROUP", 3)
     monkeypatch.setattr(ts, "BLOCK_DOCS", 5)
     folder = str(tmp_path / "store")
     ts.write_tokens(docs, folder)
     got = ts.read_tokens(spark, folder).collect()
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, np.array(reference(r.text, 1), "<u4").tobytes()) for r in docs.collect()))
     back = sorted(got, key=lambda r: r.start)
-    assert [(r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in back] == rows
-    assert [r.start for r in back] == [sum(len(x[2]) // 4 for x in rows[:k]) for k in range(len(rows))]
-    assert [r.n_tokens for r in back] == [len(x[2]) // 4 for x in rows]
+    in_order = [(r.doc_id is not None, r.doc_id or 0) for r in back]
+    assert in_order == sorted(in_order)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in back) == rows
+    assert [r.start for r in back] == [sum(r.n_tokens for r in back[:k]) for k in range(len(back))]
+    assert all(r.n_tokens == len(r.ids) // 4 for r in back)
     one = ts.read_tokens(spark, folder, doc_id=50).collect()
     assert len(one) == 1 and zlib.crc32(one[0].ids) == zlib.crc32(np.array(reference(None, 1), "<u4").tobytes())
     assert [r.start for r in back if r.doc_id == 50] == [one[0].start]
 
 
+def test_files_are_in_order_and_one_id_fills_many_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ts, "RANGE_BYTES", 4000)
+    rows = [(i, f"stone river {i} lamp") for i in range(300)] + [(7, f"cloud number {i}") for i in range(200)] + [(None, f"no id {i}") for i in range(150)] + [(9, "the same row")] * 150
+    folder = str(tmp_path / "ordered")
+    ts.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), folder)
+    ids, sizes = [], []
+    for f in sorted((tmp_path / "ordered" / "blocks").glob("*.parquet")):
+        part = [x for b in pq.read_table(f).to_pylist() for x in [None] * b["null_ids"] + b["doc_ids"][b["null_ids"] :]]
+        ids += part
+        sizes.append(len(part))
+    want = sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert ids == want and len(sizes) > 10 and max(sizes) < 120
+    one = ts.read_tokens(spark, folder, doc_id=7).collect()
+    assert len(one) == 201 and len(ts.read_tokens(spark, folder, doc_id=10**6).collect()) == 0
+    back = sorted(ts.read_tokens(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in back] == want and back[-1].start + back[-1].n_tokens == sum(r.n_tokens for r in back)
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_small_stores(spark, docs, empty, tmp_path, n):
     folder = str(tmp_path / f"store{n}")
