@@ -4,12 +4,18 @@ Each source is a queue of tokens. A window (a sequence of 4096 tokens) takes fro
 what a share is short of a whole token is carried to the next windows. The carry has a closed form: in a phase
 of n windows in which queue s gives A(s) tokens, floor(k A(s) / n) of them are in the first k windows, for each s
 but the largest, which fills the windows up. So any task knows the deficits at any window, and windows
-are filled on all partitions at once; only queue offsets, sums of token counts, are exchanged.
+are filled on all partitions at once.
+
+Tasks number the tokens of each source while they tokenize; what they exchange is one sum for each task and source. Documents stay
+where they are while the table of those sums is small enough for Spark to broadcast it, else they are joined to it by task and source.
+
+The sources of most tokens have a queue each. All others share the last one, in which they are interleaved: a document's
+place is the share of its source that comes before it, so any stretch of the queue holds each of them in its proportion, to a document.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +29,9 @@ from .shared import materialize, require, text_batches
 from .tokens import encode_in_parts, public_tokenizer_path
 
 WINDOW, END_ID = 4096, 2
-#: Queues: the sources of most tokens have one each, all further sources share the last one. Sources that a target names always have one.
+#: Queues: the sources of most tokens have one each, all further sources are interleaved in the last one. Sources that a target names always have one.
 MAX_QUEUES = 48
-#: Tokens of a bucket of a queue aimed at; buckets are summed up in parallel.
+#: Tokens of a bucket of the shared queue aimed at; buckets are summed up in parallel.
 BUCKET_TOKENS = 4_000_000
 #: Window edges of all queues that are computed at once.
 EDGE_ROWS = 8192
@@ -169,16 +175,36 @@ def pieces(queue: int, start: int, n: int, plan: list[Phase]) -> Iterator[tuple[
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str, end_id: int) -> DataFrame:
-    """(id, source, n, ids) in a scratch table; ids are little-endian unsigned 32-bit numbers."""
+    """(id, source, ids, n, task, at) in a scratch table; ids are little-endian unsigned 32-bit numbers, ``at`` counts the ids of the source before it in its task."""
+
+    @F.pandas_udf("ids binary, at long")
+    def encode(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        end, seen = np.array([end_id], "<u4").tobytes(), defaultdict(int)
+        for texts, sources in parts:
+            ids, at = [b + end for b in encode_in_parts(path, texts.tolist())], []
+            for source, b in zip(sources.tolist(), ids, strict=True):
+                at.append(seen[source])
+                seen[source] += len(b) // 4
+            yield pd.DataFrame({"ids": ids, "at": at})
+
+    source = F.col(source_col)
+    rows = docs.select(F.col(id_col).alias("_id"), source.alias("_source"), encode(text_col, source.cast("string")).alias("_e"), F.spark_partition_id().alias("_task"))
+    rows = rows.select("_id", "_source", F.col("_e.ids").alias("_ids"), F.col("_e.at").alias("_at"), "_task")
+    return materialize(rows.withColumn("_n", (F.octet_length("_ids") / 4).cast("long")), "packing-tokens")
 
-    @F.pandas_udf("binary")
-    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        end = np.array([end_id], "<u4").tobytes()
-        for part in parts:
-            yield pd.Series([b + end for b in encode_in_parts(path, part.tolist())])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), ids(text_col).alias("_ids"))
-    return materialize(rows.withColumn("_n", (F.octet_length("_ids") / 4).cast("long")), "packing-tokens")
+def interleaved(tail: DataFrame, total: int) -> DataFrame:
+    """``tail`` with ``_start`` in the shared queue. Rows have ``_place`` and ``_all``: ids of the source before it, and in all."""
+    # The hash keeps sources of one document apart, which would all be in the middle.
+    jitter = F.pmod(F.xxhash64("_source"), F.lit(1 << 20)) / (1 << 20)
+    share = (F.col("_place") + jitter * F.col("_n")) / F.col("_all")
+    buckets = max(1, -(-total // BUCKET_TOKENS))
+    tail = tail.withColumn("_share", share).withColumn("_bucket", F.least(F.floor(F.col("_share") * buckets), F.lit(buckets - 1)).cast("int"))
+    earlier = Window.unboundedPreceding, -1
+    sums = tail.groupBy("_bucket").agg(F.sum("_n").alias("t"))  # a row for each BUCKET_TOKENS ids
+    sums = sums.select("_bucket", F.coalesce(F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(*earlier)), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("_bucket").orderBy("_share", "_source", "_task", "_at").rowsBetween(*earlier)
+    return tail.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(sums, "_bucket").withColumn("_start", F.col("_base") + F.col("_inner"))
 
 
 def pack(
@@ -188,17 +214,23 @@ def pack(
     """One row for each piece of a document: the id, ``source``, ``doc_tokens``, ``start``, ``length``, ``ids`` (32-bit little-endian), ``sequence_id``, ``offset``.
 
     All tokens of all documents are dealt to windows 0, 1, ...; all but window 0 are full. Without a ``target`` (weights by
-    source) windows keep the proportions of the whole table. A null or empty text is its end id alone. A null source is a source
-    of its own. Each source of the target has a queue; sources it doesn't name follow when those have run out. Repeated rows are packed as often as they occur. An empty table gives an empty result.
+    source) windows keep the proportions of the whole table. A null or empty text is its end id alone; a text of any length is cut into as many pieces as
+    it needs. A null source is a source of its own. Each source of the target has a queue; sources it doesn't name follow when those have run out. Repeated
+    rows, null and repeated ids are packed as often as they occur. Other columns aren't read. An empty table gives an empty result.
     """
     require(docs, [id_col, text_col, source_col])
     text_batches(docs.sparkSession, 500)
     rows = tokenize(docs, id_col, text_col, source_col, tokenizer or public_tokenizer_path(), end_id)
+    sums = rows.groupBy("_task", "_source").agg(F.sum("_n").alias("t"))
+    by_source, earlier = Window.partitionBy("_source"), Window.partitionBy("_source").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_task", "_source", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("_before"), F.sum("t").over(by_source).alias("_all"))
+    sums = materialize(sums, "packing-sums")
+
     named = [s for s in target or () if s is not None]
     is_named = F.when(F.col("_source").isNull(), F.lit(None in (target or ()))).otherwise(F.col("_source").isin(named))
-    by_source = rows.groupBy("_source").agg(F.sum("_n").alias("t")).orderBy(F.desc(is_named), F.desc("t"), "_source")
-    top = [(r["_source"], r["t"]) for r in by_source.limit(max(MAX_QUEUES - 1, len(target or ()))).collect()]
-    total = rows.agg(F.sum("_n").alias("t")).first()["t"] or 0
+    sources = sums.groupBy("_source").agg(F.first("_all").alias("t"))
+    total = sources.agg(F.sum("t").alias("t")).first()["t"] or 0
+    top = [(r["_source"], r["t"]) for r in sources.orderBy(F.desc(is_named), F.desc("t"), "_source").limit(max(MAX_QUEUES - 1, len(target or ()))).collect()]
     totals = [t for _, t in top] + [total - sum(t for _, t in top)]
     weights = None
     if target is not None:
@@ -209,14 +241,11 @@ def pack(
     known = [F.lit(x) for s, i in number.items() if s is not None for x in (s, i)]
     queue = F.coalesce(F.try_element_at(F.create_map(*known), F.col("_source")), F.lit(len(top))) if known else F.lit(len(top))
     queue = F.when(F.col("_source").isNull(), number.get(None, len(top))).otherwise(queue)
-    buckets = max(1, -(-max(totals, default=0) // BUCKET_TOKENS))
-    order = F.xxhash64("_id", "_ids")
-    rows = rows.withColumns({"_queue": queue.cast("int"), "_order": order}).withColumn("_bucket", F.pmod("_order", F.lit(buckets)).cast("int"))
-    sums = rows.groupBy("_queue", "_bucket").agg(F.sum("_n").alias("t"))
-    earlier = Window.partitionBy("_queue").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_queue", "_bucket", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_queue", "_bucket").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_inner", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(sums, ["_queue", "_bucket"])
+    same = (F.col("r._task") == F.col("s._task")) & F.col("r._source").eqNullSafe(F.col("s._source"))
+    rows = rows.alias("r").join(sums.alias("s"), same).select("r.*", (F.col("_before") + F.col("_at")).alias("_place"), "_all").withColumn("_queue", queue.cast("int"))
+    placed = rows.where(F.col("_queue") < len(top)).withColumn("_start", F.col("_place"))
+    if totals[-1]:
+        placed = placed.unionByName(interleaved(rows.where(F.col("_queue") == len(top)), totals[-1]).select(placed.columns))
 
     @F.pandas_udf("array<long>")
     def cut(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -224,7 +253,7 @@ def pack(
             yield pd.Series(cut_pieces(*(c.to_numpy(np.int64) for c in part), plan))
 
     # Every document has a piece at least, for its end id. Explode and the cutting of ids compile into one loop, which reads a document's ids once.
-    placed = placed.withColumn("_cut", cut("_queue", F.col("_before") + F.col("_inner"), "_n"))
+    placed = placed.withColumn("_cut", cut("_queue", "_start", "_n"))
     placed = placed.select("*", F.explode(F.sequence(F.lit(0), (F.size("_cut") / 4).cast("int") - 1)).alias("_i"))
     start, length, sequence, offset = (F.get("_cut", 4 * F.col("_i") + k) for k in range(4))
     ids = F.col("_ids").substr((4 * start + 1).cast("int"), (4 * length).cast("int"))
@@ -239,4 +268,5 @@ def digest_pieces(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in the table's own proportions; null, empty, long and repeated rows as in :func:`pack`."""
     return digest_pieces(pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")))

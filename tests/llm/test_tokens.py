@@ -120,6 +120,25 @@ def test_a_target_on_small_sources_beyond_the_queues(spark, monkeypatch):
         assert set(parts) == {"small", "least", None} and abs(parts["small"] - 64) <= 3 and abs(parts["least"] - 32) <= 3
 
 
+@pytest.mark.parametrize("bucket", [4_000_000, 3000])
+def test_sources_beyond_the_queues_keep_their_proportions(spark, monkeypatch, bucket):
+    monkeypatch.setattr(pk, "MAX_QUEUES", 2)
+    monkeypatch.setattr(pk, "BUCKET_TOKENS", bucket)
+    text = "stone river cloud lamp " * 3  # 13 tokens
+    sizes = {"big": 400, "a": 200, "b": 100, "c": 50, None: 50}
+    rows = [(k * 1000 + i, text, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)] + [(9000 + i, text, f"single{i}") for i in range(40)]
+    packed = pk.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6), window=512).collect()
+    check_packing(rows, packed, 512)
+    every = sum(r.length for r in packed)
+    for k in range(1, max(r.sequence_id for r in packed) + 1):
+        got = defaultdict(int)
+        for r in packed:
+            if r.sequence_id == k:
+                got["single" if (r.source or "").startswith("single") else r.source] += r.length
+        for s, n in sizes.items():
+            assert abs(got[s] - 512 * 13 * n / every) <= 2 * 13 + 2, (k, s)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=7), st.one_of(st.none(), st.lists(st.integers(0, 5), min_size=7, max_size=7)))
 def test_windows_hold_each_token_once(totals, target):
