@@ -1,28 +1,29 @@
-"""Removal of repeated text by prefix doubling over bytes: rank pairs at growing offsets, sorted by Spark.
+"""Removal of repeated text: ranks of ever longer strings, sorted by Spark, at the positions that still matter.
 
-Rounds at doubled lengths over every byte position would sort the whole corpus each time. So positions are
-ranked by the hash of their first 50 bytes, and only where it counts:
+Plain prefix doubling ranks every byte position at each length: some 16 bytes for each byte of text and round, four times
+what the disk limit allows in one round alone. So here positions stand for their neighbours, and unique ranks drop out at once:
 
 1. Each 100-byte string has one anchor: the place of its least 50-byte hash (leftmost). Strings with one anchor start
    side by side, in a run. Equal strings have equal anchors at equal places, so a run whose anchor hash is
-   unique repeats nothing and is dropped.
-2. Runs are sorted by (rank of the anchor, rank of the text that the run covers). A run that is not the first of its
-   pair repeats an earlier one wholly. The first of a pair is settled too, unless its anchor has other pairs.
+   unique repeats nothing and is dropped. Hashes only drop: what is left may still be unique.
+2. Runs are ranked by (anchor, the bytes that the run covers), sorted by Spark. A run that is not the first of its
+   rank repeats an earlier one wholly. The first is settled too, unless its anchor has other ranks.
 3. The runs that are left are cut into cells of up to 13 starts at fixed distances from the anchor. All strings of a
-   cell share 88 bytes; cells are sorted by (rank of those, rank of the text that the cell covers) and settled likewise.
-4. The strings of the cells that are left are sorted by (rank of the first 50 bytes, rank of the 50 bytes at offset 50); all but
-   the first of a pair are repeats.
+   cell share 88 bytes; cells are ranked by (those, the bytes that the cell covers) and settled likewise.
+4. The strings of the cells that are left are ranked by their 100 bytes; all but the first of a rank are repeats.
 
-A rank is a 64-bit hash, so a pair of equal ranks is 128 bits of evidence. Every byte is looked at; nothing is sampled.
+Ranks of steps 2 to 4 compare the bytes themselves, so no text can be removed for a hash that collides. Every byte is
+looked at; nothing is sampled. Copies within a batch are merged before they are sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +38,8 @@ CELL = 13
 CORE = LENGTH - CELL + 1
 #: Strings of a text that are hashed at once; runs end at the cuts, which moves work to later steps and changes no result.
 SEGMENT = 1 << 18
+#: Ranked rows that are merged at once, and the groups that known repeats of one anchor are spread over.
+MERGED, SALTS = 50_000, 256
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
@@ -83,14 +86,12 @@ def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed >> 13, packed >> 7 & 63, packed >> 1 & 63
 
 
-def anchor_runs(data: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rank of the anchor, rank of the covered text, packed run) of each run, by segment."""
+def anchor_runs(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hash of the anchor, packed run) of each run, by segment."""
     out = []
     for at, part in _segments(data):
-        sums = _sums(part)
-        low = _hashes(sums, HALF)
-        where = np.arange(len(low))
-        first = low
+        low = _hashes(_sums(part), HALF)
+        first, where = low, np.arange(len(low))
         span = 1
         while span < SPAN:
             step = min(span, SPAN - span)
@@ -101,51 +102,40 @@ def anchor_runs(data: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         starts = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1])
         count = np.diff(np.append(starts, len(where)))
         anchor = where[starts]
-        text = _mixed((sums[starts + count + LENGTH - 1] - sums[starts]) * _powers()[1][starts])
-        shape = (count << 8 | (anchor - starts)).astype(np.uint64)
-        out.append((first[anchor], _mixed(text * np.uint64(31) + shape), pack(starts + at, anchor - starts, count)))
+        out.append((first[anchor], pack(starts + at, anchor - starts, count)))
     return out
 
 
-def cells(data: bytes, runs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rank of the shared bytes, rank of the covered text, packed cell) of each cell of the packed runs, by segment."""
-    out = []
-    starts, to_anchor, counts = unpack(runs)
-    for at, part in _segments(data):
-        own = (starts >= at) & (starts < at + SEGMENT)
-        if not own.any():
-            continue
-        start, far, count = starts[own] - at, to_anchor[own], counts[own]
-        low_cell, high_cell = (far - count + 1) // CELL, far // CELL
-        n = high_cell - low_cell + 1
-        r = np.repeat(np.arange(len(n)), n)
-        cell = high_cell[r] - (np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n))
-        anchor = start[r] + far[r]
-        x = np.maximum(start[r], anchor - cell * CELL - CELL + 1)
-        end = np.minimum(start[r] + count[r], anchor - cell * CELL + 1)
-        sums, down = _sums(part), _powers()[1]
-        core_at = anchor - cell * CELL
-        core = _mixed(_mixed((sums[core_at + CORE] - sums[core_at]) * down[core_at]) + cell.astype(np.uint64))
-        text = _mixed((sums[end + LENGTH - 1] - sums[x]) * down[x])
-        shape = ((end - x) << 8 | (core_at - x)).astype(np.uint64)
-        out.append((core, _mixed(text * np.uint64(31) + shape), pack(x + at, anchor - x, end - x)))
-    return out
+#: (rank, bytes, doc, tie, packed run)
+Ranked = tuple[int, bytes, int, int, int]
 
 
-def string_ranks(data: bytes, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, rank of its first half, rank of its second half) of all strings of the given runs."""
-    pos, one, two = [], [], []
-    for at, part in _segments(data):
-        own = (starts >= at) & (starts < at + SEGMENT)
-        if own.any():
-            s, c = starts[own] - at, counts[own]
-            x = np.repeat(s, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            h = _hashes(_sums(part), HALF)
-            pos.append(x + at)
-            one.append(h[x])
-            two.append(h[x + HALF])
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return join(pos, np.int64), join(one, np.uint64), join(two, np.uint64)
+def _rank(data: bytes, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(data, seed) - (1 << 63)
+
+
+def ranked_runs(data: bytes, runs: np.ndarray, doc: int, tie: int) -> Iterator[Ranked]:
+    """Step 2: runs of a text, by their anchors."""
+    for run, start, far, count in zip(runs.tolist(), *(x.tolist() for x in unpack(runs)), strict=True):
+        yield _rank(data[start + far : start + far + HALF]), data[start : start + count + LENGTH - 1], doc, tie, run
+
+
+def ranked_cells(cover: bytes, run: int, doc: int, tie: int) -> Iterator[Ranked]:
+    """Step 3: cells of a run, given the bytes that it covers."""
+    start, far, count = run >> 13, run >> 7 & 63, run >> 1 & 63
+    anchor = start + far
+    for cell in range((far - count + 1) // CELL, far // CELL + 1):
+        core = anchor - cell * CELL
+        x, end = max(start, core - CELL + 1), min(start + count, core + 1)
+        yield _rank(cover[core - start : core - start + CORE], cell & 63), cover[x - start : end - start + LENGTH - 1], doc, tie, pack(x, anchor - x, end - x)
+
+
+def ranked_strings(cover: bytes, cell: int, doc: int, tie: int) -> Iterator[Ranked]:
+    """Step 4: strings of a cell."""
+    start, count = cell >> 13, cell >> 1 & 63
+    for k in range(count):
+        string = cover[k : k + LENGTH]
+        yield _rank(string), string, doc, tie, pack(start + k, 0, 1)
 
 
 def spans_of(n: int, starts: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
@@ -162,73 +152,116 @@ def _bytes(text) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-RANKED = "rank long, cover long, _doc long, _tie int, run long, more_docs array<long>, more_ties array<int>, more_runs array<long>"
-
-
-def gathered(parts: list[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> pd.DataFrame:
-    """RANKED rows of (doc, tie, ranked runs). Those of one pair within the batch are one row: the first, with the others in its lists."""
-    rank, cover, run = (np.concatenate([p[2][k] for p in parts]) for k in range(3))
-    sizes = [len(p[2][0]) for p in parts]
-    docs, ties = (np.repeat(np.array([p[k] for p in parts], kind), sizes) for k, kind in ((0, np.int64), (1, np.int32)))
-    order = np.lexsort((run, ties, docs, cover, rank))
-    rank, cover, run, docs, ties = (x[order] for x in (rank, cover, run, docs, ties))
-    same = np.logical_and.reduce([x[1:] == x[:-1] for x in (rank, cover, run, docs, ties)])  # rows that are wholly repeated
-    rank, cover, run, docs, ties = (x[np.concatenate([[True], ~same])] for x in (rank, cover, run, docs, ties))
-    new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (cover[1:] != cover[:-1])])
-    first = np.flatnonzero(new)
-    stop = np.append(first[1:], len(rank))
-    more = {name: np.full(len(first), None, object) for name in ("more_docs", "more_ties", "more_runs")}
-    odd = run | 1
-    for k in np.flatnonzero(stop - first > 1).tolist():
-        for name, values in (("more_docs", docs), ("more_ties", ties), ("more_runs", odd)):
-            more[name][k] = values[first[k] + 1 : stop[k]].copy()
-    return pd.DataFrame({"rank": rank[first].view(np.int64), "cover": cover[first].view(np.int64), "_doc": docs[first], "_tie": ties[first], "run": run[first], **more})
+RANKED = "rank long, cover binary, _doc long, _tie int, run long, more_docs array<long>, more_ties array<int>, more_runs array<long>, done array<long>"
+_NAMES = [c.split()[0] for c in RANKED.split(", ")]
+
+
+def gathered(rows: Iterable[Ranked], done: dict[tuple[int, int], list[int]]) -> Iterator[pd.DataFrame]:
+    """RANKED frames. Rows of one rank and bytes are one row: the first place, with the others in its lists. ``done`` are repeats (odd runs) of texts that earlier steps found."""
+
+    def frame(groups: dict) -> pd.DataFrame:
+        out = []
+        for (rank, cover), places in groups.items():
+            if len(places) == 1:
+                out.append((rank, cover, *places[0], None, None, None, None))
+                continue
+            first, *more = sorted(set(places))
+            lists = [np.array(x, kind) for x, kind in zip(zip(*more, strict=True), (np.int64, np.int32, np.int64), strict=True)] if more else [None] * 3
+            if more:
+                lists[2] |= 1
+            out.append((rank, cover, *first, *lists, None))
+        return pd.DataFrame(out, columns=_NAMES)
+
+    groups: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+    size = 0
+    for rank, cover, doc, tie, run in rows:
+        groups.setdefault((rank, cover), []).append((doc, tie, run))
+        size += 1
+        if size >= MERGED:
+            yield frame(groups)
+            groups, size = {}, 0
+    if groups:
+        yield frame(groups)
+    if done:
+        yield pd.DataFrame([(_rank(b"%d" % doc), None, doc, tie, 1, None, None, None, np.array(runs)) for (doc, tie), runs in done.items()], columns=_NAMES)
 
 
 def settled(ranked: DataFrame) -> DataFrame:
-    """Of RANKED rows, by document: packed runs that repeat an earlier one (odd), and those that another round must judge (even)."""
+    """RANKED rows that repeat an earlier one (then ``run`` is odd) or that the next step must judge (then ``cover`` is left)."""
     place = F.struct("_doc", "_tie", "run")
     by_pair = Window.partitionBy("rank", "cover").orderBy("_doc", "_tie", "run")
     by_rank = Window.partitionBy("rank")
-    judged = (
+    return (
         ranked.withColumn("first", F.first(place).over(by_pair))
         .withColumn("others", F.min("cover").over(by_rank) != F.max("cover").over(by_rank))
-        .withColumn("repeats", place != F.col("first"))
-        .where("repeats or others or more_runs is not null")
+        .withColumn("repeats", F.col("cover").isNotNull() & (place != F.col("first")))
+        .where("repeats or others or more_runs is not null or done is not null")
+        .withColumn("cover", F.when(F.col("others") & ~F.col("repeats"), F.col("cover")))
+        .withColumn("run", F.col("run") + F.when(F.col("repeats"), 1).otherwise(0))
+        .select(*_NAMES)
     )
-    own = F.when(F.col("repeats") | F.col("others"), F.array(F.struct("_doc", "_tie", (F.col("run") + F.col("repeats").cast("long")).alias("run"))))
-    more = F.arrays_zip("more_docs", "more_ties", "more_runs").cast("array<struct<_doc: bigint, _tie: int, run: bigint>>")
-    none = F.array().cast("array<struct<_doc: bigint, _tie: int, run: bigint>>")
-    all_ = judged.select(F.explode(F.concat(F.coalesce(own, none), F.coalesce(more, none))).alias("r")).select("r.*")
-    return all_.groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
 
 
-def repeated_runs(texts: DataFrame) -> DataFrame:
-    """Steps 1 and 2 for ``(_doc, _tie, _text)``."""
-
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = [(doc, tie, run) for doc, tie, text in zip(b["_doc"], b["_tie"], b["_text"], strict=True) for run in anchor_runs(_bytes(text))]
-            if parts:
-                yield gathered(parts)
-
-    return settled(texts.mapInPandas(anchors, RANKED))
-
-
-def repeated_cells(known: DataFrame) -> DataFrame:
-    """Step 3 for ``(_doc, _tie, _text, _runs)``."""
+def next_step(rows: DataFrame, cut) -> DataFrame:
+    """Settled rows: what is left is cut finer and ranked anew, and repeats are passed on by text."""
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = []
-            for doc, tie, text, runs in zip(b["_doc"], b["_tie"], b["_text"], b["_runs"], strict=True):
-                left = np.sort(runs[runs % 2 == 0])
-                if len(left):
-                    parts += [(doc, tie, c) for c in cells(_bytes(text), left)]
-            if parts:
-                yield gathered(parts)
+            done: dict[tuple[int, int], list[int]] = {}
+            left = []
+            columns = (b[c].tolist() for c in ("cover", "_doc", "_tie", "run", "more_docs", "more_ties", "more_runs", "done"))
+            for cover, doc, tie, run, *more, earlier in zip(*columns, strict=True):
+                if earlier is not None:
+                    done.setdefault((doc, tie), []).extend(earlier.tolist())
+                    continue
+                if run & 1:
+                    done.setdefault((doc, tie), []).append(run)
+                elif cover is not None:
+                    left.append((cover, run, doc, tie))
+                if more[2] is not None:
+                    for d, t, r in zip(*(x.tolist() for x in more), strict=True):
+                        done.setdefault((d, t), []).append(r)
+            yield from gathered((row for x in left for row in cut(*x)), done)
+
+    return settled(rows.mapInPandas(ranked, RANKED))
+
+
+def repeats_of(rows: DataFrame) -> DataFrame:
+    """(_doc, _tie, _runs): the odd runs of all settled rows, by text."""
+    kind = "array<struct<_doc: bigint, _tie: int, run: bigint>>"
+    none = F.array().cast(kind)
+    own = F.when(F.col("done").isNull() & (F.col("run") % 2 == 1), F.array(F.struct("_doc", "_tie", "run")))
+    more = F.arrays_zip("more_docs", "more_ties", "more_runs").cast(kind)
+    done = F.transform("done", lambda r: F.struct(F.col("_doc"), F.col("_tie"), r.alias("run"))).cast(kind)
+    found = rows.select(F.explode(F.concat(*[F.coalesce(c, none) for c in (own, more, done)])).alias("r")).select("r.*")
+    return found.groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
+
+
+def surviving_runs(texts: DataFrame) -> DataFrame:
+    """Step 1 for ``(_doc, _tie, _text)``: (_doc, _tie, _runs), the runs whose anchor hash occurs again.
+
+    Of runs that share an anchor within a batch only the first is counted against other batches; the others are known to repeat
+    and are spread, so a very common anchor has no more rows in one group than there are batches.
+    """
 
-    return settled(known.mapInPandas(ranked, RANKED))
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = [(doc, tie, *run) for doc, tie, text in zip(b["_doc"], b["_tie"], b["_text"], strict=True) for run in anchor_runs(_bytes(text))]
+            if not parts:
+                continue
+            hashes, run = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
+            sizes = [len(p[2]) for p in parts]
+            order = np.argsort(hashes, kind="stable")
+            new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+            alone = new & np.append(new[1:], True)
+            kind = np.empty(len(order), np.int32)
+            kind[order] = np.where(alone, 0, np.where(new, 1, 2))
+            yield pd.DataFrame({"hash": hashes.view(np.int64), "kind": kind, "_doc": np.repeat([p[0] for p in parts], sizes), "_tie": np.repeat([p[1] for p in parts], sizes).astype(np.int32), "run": run})
+
+    rows = texts.mapInPandas(anchors, "hash long, kind int, _doc long, _tie int, run long")
+    salt = F.when(F.col("kind") == 2, F.pmod(F.xxhash64("_doc", "run"), F.lit(SALTS)) + 1).otherwise(0)
+    n = F.count(F.lit(1)).over(Window.partitionBy("hash", salt))
+    return rows.withColumn("n", n).where("kind > 0 or n > 1").groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,53 +270,47 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A byte goes if a 100-byte string over it also starts earlier: in a document of smaller id or earlier in the same
     one. Strings never cross documents and are judged on the input. Null texts are empty; null ids come first. Different texts of one id
     are ordered by a hash; of wholly repeated rows one is judged as if it were alone, and the others repeat it. Kept bytes may end within a
-    character. An empty table gives an empty result.
+    character. Texts may be of any length. Other columns aren't read. An empty table gives an empty result.
     """
     require(docs, [id_col, text_col])
     text_batches(docs.sparkSession)
     text = whole_text(text_col)
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    no_id = F.lit(-(2**63))
+    doc = F.coalesce(F.col(id_col).cast("long"), no_id)
     unique = docs.groupBy(doc.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     tie = F.lit(0) if unique else F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    texts = docs.select(F.col(id_col).alias("_id"), doc.alias("_doc"), tie.alias("_tie"), text.alias("_text"))
-    runs = materialize(repeated_runs(texts.select("_doc", "_tie", "_text")), "runs")
-    known = texts.join(runs, ["_doc", "_tie"], "left")
-    left = known.where("_runs is not null").select("_doc", "_tie", "_text", "_runs")
-    with_cells = known.join(repeated_cells(left).withColumnRenamed("_runs", "_cells"), ["_doc", "_tie"], "left")
-
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    texts = docs.select(doc.alias("_doc"), tie.alias("_tie"), text.alias("_text"))
+    copy = F.lit(False)
+    if not unique:
+        texts = materialize(texts.withColumn("_tag", F.monotonically_increasing_id()), "repeat-input")
+        # Of each wholly repeated row that with the smallest tag is the first. Partial minima leave no hot key.
+        firsts = texts.groupBy("_doc", "_tie").agg(F.min("_tag").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        texts = materialize(texts.join(materialize(firsts, "repeat-firsts"), ["_doc", "_tie"], "left").withColumn("_copy", F.coalesce(F.col("_tag") > F.col("_first"), F.lit(False))).drop("_tag", "_first"), "repeat-tagged")
+        copy = F.col("_copy")
+    runs = materialize(surviving_runs((texts if unique else texts.where("not _copy")).select("_doc", "_tie", "_text")), "runs")
+
+    def by_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for doc, tie, text, packed in zip(b["_doc"], b["_tie"], b["_text"], b["_cells"], strict=True):
-                left = np.sort(packed[packed % 2 == 0])
-                if len(left):
-                    start, _, count = unpack(left)
-                    pos, one, two = string_ranks(_bytes(text), start, count)
-                    out.append((one.view(np.int64), two.view(np.int64), np.full(len(pos), doc), np.full(len(pos), tie), pos))
-            if out:
-                yield pd.DataFrame(dict(zip(("one", "two", "_doc", "_tie", "pos"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
-
-    ranked = with_cells.where("_cells is not null").select("_doc", "_tie", "_text", "_cells").mapInPandas(strings, "one long, two long, _doc long, _tie int, pos int")
-    place = F.struct("_doc", "_tie", "pos")
-    first = F.first(place).over(Window.partitionBy("one", "two").orderBy("_doc", "_tie", "pos"))
-    again = ranked.withColumn("first", first).where(place != F.col("first")).groupBy("_doc", "_tie").agg(F.collect_set("pos").alias("_again"))
-
-    none = F.array().cast("array<long>")
-    runs = F.concat(F.coalesce("_runs", none), F.coalesce("_cells", none))
-    judged = with_cells.join(again, ["_doc", "_tie"], "left").withColumns({"_runs": runs, "_again": F.coalesce(F.col("_again").cast("array<long>"), none)})
-    copy = F.lit(0) if unique else F.row_number().over(Window.partitionBy("_doc", "_tie").orderBy("_doc")) - 1
+            texts = zip(b["_text"], b["_runs"], b["_doc"].tolist(), b["_tie"].tolist(), strict=True)
+            yield from gathered((row for text, runs, doc, tie in texts for row in ranked_runs(_bytes(text), runs, doc, tie)), {})
+
+    # The texts are moved once: the plan reads this exchange again when it cuts them.
+    known = texts.join(runs, ["_doc", "_tie"]).select("_doc", "_tie", "_text", "_runs")
+    rows = settled(known.mapInPandas(by_run, RANKED))
+    rows = next_step(next_step(rows, ranked_cells), ranked_strings)
+    judged = texts.join(repeats_of(rows), ["_doc", "_tie"], "left")
 
     @F.pandas_udf("spans array<struct<start: long, stop: long>>, kept binary")
     def cut(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for texts, runs, again, copies in parts:
+        for texts, runs, copies in parts:
             spans, kept = [], []
-            for text, packed, pos, copy in zip(texts, runs, again, copies, strict=True):
+            for text, packed, copy in zip(texts, runs, copies, strict=True):
                 data = _bytes(text)
-                start, _, count = unpack(packed[packed % 2 == 1])
                 if copy and len(data) >= LENGTH:
                     own = [(0, len(data))]
-                elif len(start) or len(pos):
-                    own = spans_of(len(data), np.concatenate([start, pos]).astype(np.int64), np.concatenate([count, np.ones(len(pos))]).astype(np.int64))
+                elif packed is not None:
+                    start, _, count = unpack(packed)
+                    own = spans_of(len(data), start, count)
                 else:
                     own = []
                 at, rest = 0, []
@@ -294,11 +321,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 kept.append(b"".join([*rest, data[at:]]))
             yield pd.DataFrame({"spans": spans, "kept": kept})
 
-    done = judged.withColumn("_copy", copy.cast("int")).withColumn("_cut", cut("_text", "_runs", "_again", "_copy"))
-    return done.select(F.col("_id").alias(id_col), F.octet_length("_text").cast("long").alias("n_bytes"), "_cut.spans", "_cut.kept")
+    done = judged.withColumn("_cut", cut("_text", "_runs", copy))
+    own_id = F.when(F.col("_doc") != no_id, F.col("_doc")).cast(docs.schema[id_col].dataType)
+    return done.select(own_id.alias(id_col), F.octet_length("_text").cast("long").alias("n_bytes"), "_cut.spans", "_cut.kept")
 
 
 def op8_repeated_text(spark, sf_dir: str) -> DataFrame:
+    """Every document's numbers of bytes and the digest of what is left; null, empty, long and repeated rows as in :func:`remove_repeats`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select(
         "doc_id",

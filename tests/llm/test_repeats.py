@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -59,20 +60,77 @@ def test_unique_ids_periods_and_long_texts(spark, monkeypatch):
         assert sum(s.stop - s.start for s in got[i].spans) == got[i].n_bytes - len(want[i])
 
 
+def test_texts_made_to_collide_keep_their_bytes(spark):
+    rng = random.Random(11)
+    say = lambda: "".join(rng.choice("abcdefghij klmno") for _ in range(200))
+    left, right = say(), say()
+    rows = [(1, left + "%,',!!!!!!%!!!" + right), (2, left + "!!!!*!%1-&!'%!" + right)]
+    want = brute([(i, 0, t) for i, t in rows])
+    got = {r.doc_id: r for r in rt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [bytes(got[i].kept) for i in (1, 2)] == [want[0], want[1]] and len(want[1]) > 0
+
+
+def test_one_rank_for_everything_changes_nothing(spark, monkeypatch, docs):
+    """Where all anchors have one hash, the bytes alone decide."""
+    import numpy as np
+
+    rows = [(i, t or "") for i, t in enumerate(sorted({r.text or "" for r in docs.select("text").limit(60).collect()}))]
+    monkeypatch.setattr(rt, "_rank", lambda data, seed=0: 5)
+    ranked = [x for i, t in rows for _, run in rt.anchor_runs(t.encode()) for x in rt.ranked_runs(t.encode(), run, i, 0)]
+    plain = lambda x: x.tolist() if isinstance(x, np.ndarray) else x
+    frames = [tuple(map(plain, r)) for f in rt.gathered(ranked, {}) for r in f.itertuples(index=False)]
+    assert {r[0] for r in frames} == {5}
+    steps = rt.settled(spark.createDataFrame(frames, rt.RANKED))
+    found = {r._doc: np.array(r._runs) for r in rt.repeats_of(rt.next_step(rt.next_step(steps, rt.ranked_cells), rt.ranked_strings)).collect()}
+    want = brute([(i, 0, t) for i, t in rows])
+    for k, (i, t) in enumerate(rows):
+        spans = rt.spans_of(len(t.encode()), *rt.unpack(found[i])[::2]) if i in found else []
+        assert len(t.encode()) - sum(b - a for a, b in spans) == len(want[k])
+
+
+def test_random_small_corpora(spark):
+    """Boundaries of shared passages at every distance, in many small texts at once."""
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    shared = [say(rng.randint(90, 260)) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        parts = [say(rng.randint(0, 40)) if rng.random() < 0.5 else (s := rng.choice(shared))[rng.randint(0, 30) : len(s) - rng.randint(0, 30)] for _ in range(rng.randint(1, 5))]
+        rows.append((i, "".join(parts)))
+    want = brute([(i, 0, t) for i, t in rows])
+    for n in (1, 7):
+        got = {r.doc_id: bytes(r.kept) for r in rt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()}
+        assert got == want
+
+
+def test_op8_columns(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, 0, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    kept = brute(rows)
+    got = rt.op8_repeated_text(spark, sf)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
+    want = {(i, len(t.encode()), len(t.encode()) - len(kept[k]), hashlib.sha256(kept[k]).hexdigest()) for k, (i, _, t) in enumerate(rows)}
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got.collect()} == want
+
+
 def test_segments_change_nothing(monkeypatch):
     import numpy as np
 
     data = (b"the quick brown fox jumps over the lazy dog " * 40)[:1500] + bytes(range(97, 123)) * 20
-    whole = {int(a): (int(b), int(c)) for a, b, c in zip(*rt.string_ranks(data, np.array([0]), np.array([len(data) - 99])))}
-    monkeypatch.setattr(rt, "SEGMENT", 128)
-    rt._powers.cache_clear()
-    starts = np.arange(0, len(data) - 99)
-    cut = {int(a): (int(b), int(c)) for a, b, c in zip(*rt.string_ranks(data, starts, np.ones(len(starts), int)))}
-    assert cut == whole
-    covered = np.concatenate([s + np.arange(c) for r in rt.anchor_runs(data) for s, _, c in zip(*rt.unpack(r[2]))])
-    cells = np.concatenate([s + np.arange(c) for q in rt.anchor_runs(data) for r in rt.cells(data, q[2]) for s, _, c in zip(*rt.unpack(r[2]))])
-    assert sorted(cells.tolist()) == starts.tolist()
-    assert sorted(covered.tolist()) == starts.tolist()
+    starts = list(range(len(data) - 99))
+    for segment in (1 << 18, 128):
+        monkeypatch.setattr(rt, "SEGMENT", segment)
+        rt._powers.cache_clear()
+        runs = np.concatenate([r for _, r in rt.anchor_runs(data)])
+        cover = [(s, c, data[s : s + c + 99], r) for r, s, c in zip(runs.tolist(), runs >> 13, runs >> 1 & 63)]
+        assert sorted(p for s, c, _, _ in cover for p in range(s, s + c)) == starts
+        cells = [row for _, _, text, r in cover for row in rt.ranked_cells(text, r, 1, 0)]
+        assert sorted(p for row in cells for p in range(row[4] >> 13, (row[4] >> 13) + (row[4] >> 1 & 63))) == starts
+        assert all(row[1] == data[row[4] >> 13 : (row[4] >> 13) + (row[4] >> 1 & 63) + 99] for row in cells)
+        strings = [row for cell in cells for row in rt.ranked_strings(cell[1], cell[4], 1, 0)]
+        assert sorted((row[4] >> 13, row[1]) for row in strings) == [(p, data[p : p + 100]) for p in starts]
     rt._powers.cache_clear()
 
 
