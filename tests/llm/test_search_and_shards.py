@@ -25,7 +25,12 @@ def brute_search(text, items):
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=20), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=80))
 def test_search(items, doc):
     items = [(k, " ".join(w)) for k, w in enumerate(items)]
-    n, spans, found = dc.search("-".join(doc), dc.matchers(items))
+    texts = ["-".join(doc), None, "-".join(doc[5:]), "c a"]
+    results = list(dc.tables_of(items).search(texts))
+    for t, (k, s, f) in zip(texts, results, strict=True):
+        want = brute_search(t, items)
+        assert (k, {p for a, b in s for p in range(a, b)}, f) == want
+    n, spans, found = results[0]
     want = brute_search("-".join(doc), items)
     assert (n, {p for a, b in spans for p in range(a, b)}, found) == want
     assert all(a < b for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
