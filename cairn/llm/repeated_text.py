@@ -5,7 +5,8 @@ what the disk limit allows in one round alone. So here positions stand for their
 
 1. Each 100-byte string has one anchor: the place of its least 50-byte hash (leftmost). Strings with one anchor start
    side by side, in a run. Equal strings have equal anchors at equal places, so a run whose anchor hash is
-   unique repeats nothing and is dropped. Hashes only drop: what is left may still be unique.
+   unique repeats nothing and is dropped. What is left is cut into two parts of up to 26 starts, whose strings share 75 bytes,
+   and parts whose 75 bytes have a unique hash are dropped as well. Hashes only drop: what is left may still be unique.
 2. Runs are ranked by (anchor, the bytes that the run covers), sorted by Spark. A run that is not the first of its
    rank repeats an earlier one wholly. The first is settled too, unless its anchor has other ranks.
 3. The runs that are left are cut into cells of up to 13 starts at fixed distances from the anchor. All strings of a
@@ -33,8 +34,8 @@ from .shared import materialize, require, text_batches, whole_text
 LENGTH, HALF = 100, 50
 #: Hashes in a string: its anchor is the least of them.
 SPAN = LENGTH - HALF + 1
-#: Starts in a cell, and the bytes that all strings of a cell share.
-CELL = 13
+#: Starts in a part of a run and in a cell. All strings of a part share LENGTH - PART + 1 bytes, those of a cell CORE.
+PART, CELL = 26, 13
 CORE = LENGTH - CELL + 1
 #: Strings of a text that are hashed at once; runs end at the cuts, which moves work to later steps and changes no result.
 SEGMENT = 1 << 18
@@ -106,6 +107,38 @@ def anchor_runs(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def run_parts(data: bytes, runs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hash of the shared bytes, packed part) of each part of the packed runs, by segment."""
+    out = []
+    starts, to_anchor, counts = unpack(runs)
+    for at, segment in _segments(data):
+        own = (starts >= at) & (starts < at + SEGMENT)
+        if not own.any():
+            continue
+        start, far, count = starts[own] - at, to_anchor[own], counts[own]
+        low, high = (far - count + 1) // PART, far // PART
+        n = high - low + 1
+        r = np.repeat(np.arange(len(n)), n)
+        part = high[r] - (np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n))
+        anchor = start[r] + far[r]
+        shared = anchor - part * PART
+        x, end = np.maximum(start[r], shared - PART + 1), np.minimum(start[r] + count[r], shared + 1)
+        sums, down = _sums(segment), _powers()[1]
+        hashes = _mixed((sums[shared + LENGTH - PART + 1] - sums[shared]) * down[shared]) + part.astype(np.uint64)
+        out.append((_mixed(hashes), pack(x + at, anchor - x, end - x)))
+    return out
+
+
+def joined_parts(parts: np.ndarray) -> np.ndarray:
+    """Parts of one run that touch, as one."""
+    parts = np.sort(parts)
+    start, far, count = unpack(parts)
+    new = np.ones(len(parts), bool)
+    new[1:] = (start[1:] != start[:-1] + count[:-1]) | (start[1:] + far[1:] != start[:-1] + far[:-1])
+    heads = np.flatnonzero(new)
+    return pack(start[heads], far[heads], np.add.reduceat(count, heads)) if len(parts) else parts
+
+
 #: (rank, bytes, doc, tie, packed run)
 Ranked = tuple[int, bytes, int, int, int]
 
@@ -237,16 +270,17 @@ def repeats_of(rows: DataFrame) -> DataFrame:
     return found.groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
 
 
-def surviving_runs(texts: DataFrame) -> DataFrame:
-    """Step 1 for ``(_doc, _tie, _text)``: (_doc, _tie, _runs), the runs whose anchor hash occurs again.
+def surviving(texts: DataFrame, hashed) -> DataFrame:
+    """Step 1: (_doc, _tie, _runs), of the (hash, packed run) pairs that ``hashed`` gives for a text and its ``_runs`` those whose hash occurs again.
 
-    Of runs that share an anchor within a batch only the first is counted against other batches; the others are known to repeat
-    and are spread, so a very common anchor has no more rows in one group than there are batches.
+    Of runs that share a hash within a batch only the first is counted against other batches; the others are known to repeat
+    and are spread, so a very common hash has no more rows in one group than there are batches.
     """
 
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = [(doc, tie, *run) for doc, tie, text in zip(b["_doc"], b["_tie"], b["_text"], strict=True) for run in anchor_runs(_bytes(text))]
+            given = b["_runs"] if "_runs" in b else [None] * len(b)
+            parts = [(doc, tie, *run) for doc, tie, text, runs in zip(b["_doc"], b["_tie"], b["_text"], given, strict=True) for run in hashed(_bytes(text), runs)]
             if not parts:
                 continue
             hashes, run = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
@@ -258,10 +292,10 @@ def surviving_runs(texts: DataFrame) -> DataFrame:
             kind[order] = np.where(alone, 0, np.where(new, 1, 2))
             yield pd.DataFrame({"hash": hashes.view(np.int64), "kind": kind, "_doc": np.repeat([p[0] for p in parts], sizes), "_tie": np.repeat([p[1] for p in parts], sizes).astype(np.int32), "run": run})
 
-    rows = texts.mapInPandas(anchors, "hash long, kind int, _doc long, _tie int, run long")
+    found = texts.mapInPandas(rows, "hash long, kind int, _doc long, _tie int, run long")
     salt = F.when(F.col("kind") == 2, F.pmod(F.xxhash64("_doc", "run"), F.lit(SALTS)) + 1).otherwise(0)
     n = F.count(F.lit(1)).over(Window.partitionBy("hash", salt))
-    return rows.withColumn("n", n).where("kind > 0 or n > 1").groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
+    return found.withColumn("n", n).where("kind > 0 or n > 1").groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,15 +321,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         firsts = texts.groupBy("_doc", "_tie").agg(F.min("_tag").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
         texts = materialize(texts.join(materialize(firsts, "repeat-firsts"), ["_doc", "_tie"], "left").withColumn("_copy", F.coalesce(F.col("_tag") > F.col("_first"), F.lit(False))).drop("_tag", "_first"), "repeat-tagged")
         copy = F.col("_copy")
-    runs = materialize(surviving_runs((texts if unique else texts.where("not _copy")).select("_doc", "_tie", "_text")), "runs")
+    first = (texts if unique else texts.where("not _copy")).select("_doc", "_tie", "_text")
+    runs = materialize(surviving(first, lambda data, _: anchor_runs(data)), "runs")
 
     def by_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = zip(b["_text"], b["_runs"], b["_doc"].tolist(), b["_tie"].tolist(), strict=True)
-            yield from gathered((row for text, runs, doc, tie in texts for row in ranked_runs(_bytes(text), runs, doc, tie)), {})
+            yield from gathered((row for text, runs, doc, tie in texts for row in ranked_runs(_bytes(text), joined_parts(runs), doc, tie)), {})
 
-    # The texts are moved once: the plan reads this exchange again when it cuts them.
-    known = texts.join(runs, ["_doc", "_tie"]).select("_doc", "_tie", "_text", "_runs")
+    # The texts are moved once: the plan reads this exchange again for the next two joins.
+    parts = surviving(texts.join(runs, ["_doc", "_tie"]).select("_doc", "_tie", "_text", "_runs"), run_parts)
+    known = texts.join(parts, ["_doc", "_tie"]).select("_doc", "_tie", "_text", "_runs")
     rows = settled(known.mapInPandas(by_run, RANKED))
     rows = next_step(next_step(rows, ranked_cells), ranked_strings)
     judged = texts.join(repeats_of(rows), ["_doc", "_tie"], "left")
