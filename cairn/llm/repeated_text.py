@@ -5,22 +5,23 @@ what the disk limit allows in one round alone. So here positions stand for their
 
 1. Each 100-byte string has one anchor: the place of its least 50-byte hash (leftmost). Strings with one anchor start
    side by side, in a run. Equal strings have equal anchors at equal places, so a run whose anchor hash is
-   unique repeats nothing and is dropped. What is left is cut into two parts of up to 26 starts, whose strings share 75 bytes,
-   and parts whose 75 bytes have a unique hash are dropped as well. Hashes only drop: what is left may still be unique.
+   unique repeats nothing and is dropped. These hashes only drop: what is left may still be unique.
 2. Runs are ranked by (anchor, the bytes that the run covers), sorted by Spark. A run that is not the first of its
    rank repeats an earlier one wholly. The first is settled too, unless its anchor has other ranks.
 3. The runs that are left are cut into cells of up to 13 starts at fixed distances from the anchor. All strings of a
    cell share 88 bytes; cells are ranked by (those, the bytes that the cell covers) and settled likewise.
 4. The strings of the cells that are left are ranked by their 100 bytes; all but the first of a rank are repeats.
 
-Ranks of steps 2 to 4 compare the bytes themselves, so no text can be removed for a hash that collides. Every byte is
-looked at; nothing is sampled. Copies within a batch are merged before they are sorted.
+In steps 2 to 4 bytes are equal if their keyed BLAKE2b digests of 128 bits are. The key is drawn anew by each job, so no
+text can be made to collide. Every byte is looked at; nothing is sampled. Copies within a batch are merged before they are sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import os
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,8 @@ from .shared import materialize, require, text_batches, whole_text
 LENGTH, HALF = 100, 50
 #: Hashes in a string: its anchor is the least of them.
 SPAN = LENGTH - HALF + 1
-#: Starts in a part of a run and in a cell. All strings of a part share LENGTH - PART + 1 bytes, those of a cell CORE.
-PART, CELL = 26, 13
+#: Starts in a cell, and the bytes that all strings of a cell share.
+CELL = 13
 CORE = LENGTH - CELL + 1
 #: Strings of a text that are hashed at once; runs end at the cuts, which moves work to later steps and changes no result.
 SEGMENT = 1 << 18
@@ -107,68 +108,35 @@ def anchor_runs(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def run_parts(data: bytes, runs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hash of the shared bytes, packed part) of each part of the packed runs, by segment."""
-    out = []
-    starts, to_anchor, counts = unpack(runs)
-    for at, segment in _segments(data):
-        own = (starts >= at) & (starts < at + SEGMENT)
-        if not own.any():
-            continue
-        start, far, count = starts[own] - at, to_anchor[own], counts[own]
-        low, high = (far - count + 1) // PART, far // PART
-        n = high - low + 1
-        r = np.repeat(np.arange(len(n)), n)
-        part = high[r] - (np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n))
-        anchor = start[r] + far[r]
-        shared = anchor - part * PART
-        x, end = np.maximum(start[r], shared - PART + 1), np.minimum(start[r] + count[r], shared + 1)
-        sums, down = _sums(segment), _powers()[1]
-        hashes = _mixed((sums[shared + LENGTH - PART + 1] - sums[shared]) * down[shared]) + part.astype(np.uint64)
-        out.append((_mixed(hashes), pack(x + at, anchor - x, end - x)))
-    return out
-
-
-def joined_parts(parts: np.ndarray) -> np.ndarray:
-    """Parts of one run that touch, as one."""
-    parts = np.sort(parts)
-    start, far, count = unpack(parts)
-    new = np.ones(len(parts), bool)
-    new[1:] = (start[1:] != start[:-1] + count[:-1]) | (start[1:] + far[1:] != start[:-1] + far[:-1])
-    heads = np.flatnonzero(new)
-    return pack(start[heads], far[heads], np.add.reduceat(count, heads)) if len(parts) else parts
-
-
-#: (rank, bytes, doc, tie, packed run)
-Ranked = tuple[int, bytes, int, int, int]
+#: (rank, digest of the covered bytes, packed run)
+Ranked = tuple[int, bytes, int]
 
 
 def _rank(data: bytes, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(data, seed) - (1 << 63)
 
 
-def ranked_runs(data: bytes, runs: np.ndarray, doc: int, tie: int) -> Iterator[Ranked]:
+def ranked_runs(data: bytes, runs: np.ndarray, key: bytes) -> Iterator[Ranked]:
     """Step 2: runs of a text, by their anchors."""
     for run, start, far, count in zip(runs.tolist(), *(x.tolist() for x in unpack(runs)), strict=True):
-        yield _rank(data[start + far : start + far + HALF]), data[start : start + count + LENGTH - 1], doc, tie, run
+        yield _rank(data[start + far : start + far + HALF]), blake2b(data[start : start + count + LENGTH - 1], digest_size=16, key=key).digest(), run
 
 
-def ranked_cells(cover: bytes, run: int, doc: int, tie: int) -> Iterator[Ranked]:
-    """Step 3: cells of a run, given the bytes that it covers."""
-    start, far, count = run >> 13, run >> 7 & 63, run >> 1 & 63
-    anchor = start + far
-    for cell in range((far - count + 1) // CELL, far // CELL + 1):
-        core = anchor - cell * CELL
-        x, end = max(start, core - CELL + 1), min(start + count, core + 1)
-        yield _rank(cover[core - start : core - start + CORE], cell & 63), cover[x - start : end - start + LENGTH - 1], doc, tie, pack(x, anchor - x, end - x)
+def ranked_cells(data: bytes, runs: np.ndarray, key: bytes) -> Iterator[Ranked]:
+    """Step 3: cells of runs."""
+    for start, far, count in zip(*(x.tolist() for x in unpack(runs)), strict=True):
+        for cell in range((far - count + 1) // CELL, far // CELL + 1):
+            core = start + far - cell * CELL
+            x, end = max(start, core - CELL + 1), min(start + count, core + 1)
+            yield _rank(data[core : core + CORE], cell), blake2b(data[x : end + LENGTH - 1], digest_size=16, key=key).digest(), pack(x, start + far - x, end - x)
 
 
-def ranked_strings(cover: bytes, cell: int, doc: int, tie: int) -> Iterator[Ranked]:
-    """Step 4: strings of a cell."""
-    start, count = cell >> 13, cell >> 1 & 63
-    for k in range(count):
-        string = cover[k : k + LENGTH]
-        yield _rank(string), string, doc, tie, pack(start + k, 0, 1)
+def ranked_strings(data: bytes, cells: np.ndarray, key: bytes) -> Iterator[Ranked]:
+    """Step 4: strings of cells."""
+    for start, _, count in zip(*(x.tolist() for x in unpack(cells)), strict=True):
+        for x in range(start, start + count):
+            digest = blake2b(data[x : x + LENGTH], digest_size=16, key=key).digest()
+            yield int.from_bytes(digest[:8], "little", signed=True), digest, pack(x, 0, 1)
 
 
 def spans_of(n: int, starts: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
@@ -185,102 +153,92 @@ def _bytes(text) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-RANKED = "rank long, cover binary, _doc long, _tie int, run long, more_docs array<long>, more_ties array<int>, more_runs array<long>, done array<long>"
+RANKED = "rank long, one long, two long, _doc long, _tie int, run long, more_docs array<long>, more_ties array<int>, more_runs array<long>, done array<long>"
 _NAMES = [c.split()[0] for c in RANKED.split(", ")]
-
-
-def gathered(rows: Iterable[Ranked], done: dict[tuple[int, int], list[int]]) -> Iterator[pd.DataFrame]:
-    """RANKED frames. Rows of one rank and bytes are one row: the first place, with the others in its lists. ``done`` are repeats (odd runs) of texts that earlier steps found."""
-
-    def frame(groups: dict) -> pd.DataFrame:
-        out = []
-        for (rank, cover), places in groups.items():
-            if len(places) == 1:
-                out.append((rank, cover, *places[0], None, None, None, None))
-                continue
-            first, *more = sorted(set(places))
-            lists = [np.array(x, kind) for x, kind in zip(zip(*more, strict=True), (np.int64, np.int32, np.int64), strict=True)] if more else [None] * 3
-            if more:
-                lists[2] |= 1
-            out.append((rank, cover, *first, *lists, None))
-        return pd.DataFrame(out, columns=_NAMES)
-
-    groups: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+_MORE = (("more_docs", np.int64), ("more_ties", np.int32), ("more_runs", np.int64))
+
+
+def gathered(texts: Iterable[tuple[int, int, Iterable[Ranked], list[int]]]) -> Iterator[pd.DataFrame]:
+    """RANKED frames of (doc, tie, ranked rows, known repeats) of texts. Rows of one digest are one row: the first place, with the others, which repeat it, in its lists."""
+
+    def frame(groups: dict, done: list) -> pd.DataFrame:
+        halves = np.frombuffer(b"".join([d for d, _ in groups] + [bytes(16)] * len(done)), np.int64).reshape(-1, 2)
+        more = {name: [None] * len(halves) for name, _ in _MORE}
+        firsts = []
+        for k, places in enumerate(groups.values()):
+            if len(places) > 1:
+                places = sorted(set(places))
+                if len(places) > 1:
+                    for (name, kind), values in zip(_MORE, zip(*places[1:], strict=True), strict=True):
+                        more[name][k] = np.array(values, kind)
+                    more["more_runs"][k] |= 1
+            firsts.append(places[0])
+        firsts += [(doc, tie, 1) for doc, tie, _ in done]
+        columns = dict(zip(("_doc", "_tie", "run"), zip(*firsts, strict=True), strict=True))
+        ranks = [r for _, r in groups] + [_rank(b"%d" % doc) for doc, _, _ in done]
+        return pd.DataFrame({"rank": ranks, "one": halves[:, 0], "two": halves[:, 1], **columns, **more, "done": [None] * len(groups) + [np.array(runs) for _, _, runs in done]})[_NAMES]
+
+    groups: dict[tuple[bytes, int], list[tuple[int, int, int]]] = {}
+    done: list[tuple[int, int, list[int]]] = []
     size = 0
-    for rank, cover, doc, tie, run in rows:
-        groups.setdefault((rank, cover), []).append((doc, tie, run))
-        size += 1
+    for doc, tie, rows, repeats in texts:
+        if repeats:
+            done.append((doc, tie, repeats))
+        for rank, digest, run in rows:
+            groups.setdefault((digest, rank), []).append((doc, tie, run))
+            size += 1
+        size += len(repeats)
         if size >= MERGED:
-            yield frame(groups)
-            groups, size = {}, 0
-    if groups:
-        yield frame(groups)
-    if done:
-        yield pd.DataFrame([(_rank(b"%d" % doc), None, doc, tie, 1, None, None, None, np.array(runs)) for (doc, tie), runs in done.items()], columns=_NAMES)
+            yield frame(groups, done)
+            groups, done, size = {}, [], 0
+    if groups or done:
+        yield frame(groups, done)
 
 
 def settled(ranked: DataFrame) -> DataFrame:
-    """RANKED rows that repeat an earlier one (then ``run`` is odd) or that the next step must judge (then ``cover`` is left)."""
+    """Of RANKED rows, by text: packed runs that repeat an earlier one (odd), and those that another step must judge (even)."""
+    kind = "array<struct<_doc: bigint, _tie: int, run: bigint>>"
     place = F.struct("_doc", "_tie", "run")
-    by_pair = Window.partitionBy("rank", "cover").orderBy("_doc", "_tie", "run")
+    by_pair = Window.partitionBy("rank", "one", "two").orderBy("_doc", "_tie", "run")
     by_rank = Window.partitionBy("rank")
-    return (
+    known = F.col("done").isNotNull()
+    differ = [F.min(F.when(~known, F.col(c))).over(by_rank) != F.max(F.when(~known, F.col(c))).over(by_rank) for c in ("one", "two")]
+    judged = (
         ranked.withColumn("first", F.first(place).over(by_pair))
-        .withColumn("others", F.min("cover").over(by_rank) != F.max("cover").over(by_rank))
-        .withColumn("repeats", F.col("cover").isNotNull() & (place != F.col("first")))
+        .withColumn("others", differ[0] | differ[1])
+        .withColumn("repeats", place != F.col("first"))
         .where("repeats or others or more_runs is not null or done is not null")
-        .withColumn("cover", F.when(F.col("others") & ~F.col("repeats"), F.col("cover")))
-        .withColumn("run", F.col("run") + F.when(F.col("repeats"), 1).otherwise(0))
-        .select(*_NAMES)
     )
+    own = F.when(~known & (F.col("repeats") | F.col("others")), F.array(F.struct("_doc", "_tie", (F.col("run") + F.col("repeats").cast("long")).alias("run"))))
+    more = F.arrays_zip("more_docs", "more_ties", "more_runs").cast(kind)
+    done = F.transform("done", lambda r: F.struct(F.col("_doc"), F.col("_tie"), r.alias("run"))).cast(kind)
+    none = F.array().cast(kind)
+    every = judged.select(F.explode(F.concat(*[F.coalesce(c, none) for c in (own, more, done)])).alias("r")).select("r.*")
+    return every.groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
 
 
-def next_step(rows: DataFrame, cut) -> DataFrame:
-    """Settled rows: what is left is cut finer and ranked anew, and repeats are passed on by text."""
+def next_step(texts: DataFrame, runs: DataFrame, cut: Callable[[bytes, np.ndarray, bytes], Iterator[Ranked]], key: bytes) -> DataFrame:
+    """(_doc, _tie, _runs) after one more step: even runs are cut and ranked anew, odd ones are passed on."""
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done: dict[tuple[int, int], list[int]] = {}
-            left = []
-            columns = (b[c].tolist() for c in ("cover", "_doc", "_tie", "run", "more_docs", "more_ties", "more_runs", "done"))
-            for cover, doc, tie, run, *more, earlier in zip(*columns, strict=True):
-                if earlier is not None:
-                    done.setdefault((doc, tie), []).extend(earlier.tolist())
-                    continue
-                if run & 1:
-                    done.setdefault((doc, tie), []).append(run)
-                elif cover is not None:
-                    left.append((cover, run, doc, tie))
-                if more[2] is not None:
-                    for d, t, r in zip(*(x.tolist() for x in more), strict=True):
-                        done.setdefault((d, t), []).append(r)
-            yield from gathered((row for x in left for row in cut(*x)), done)
-
-    return settled(rows.mapInPandas(ranked, RANKED))
-
-
-def repeats_of(rows: DataFrame) -> DataFrame:
-    """(_doc, _tie, _runs): the odd runs of all settled rows, by text."""
-    kind = "array<struct<_doc: bigint, _tie: int, run: bigint>>"
-    none = F.array().cast(kind)
-    own = F.when(F.col("done").isNull() & (F.col("run") % 2 == 1), F.array(F.struct("_doc", "_tie", "run")))
-    more = F.arrays_zip("more_docs", "more_ties", "more_runs").cast(kind)
-    done = F.transform("done", lambda r: F.struct(F.col("_doc"), F.col("_tie"), r.alias("run"))).cast(kind)
-    found = rows.select(F.explode(F.concat(*[F.coalesce(c, none) for c in (own, more, done)])).alias("r")).select("r.*")
-    return found.groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
+            rows = zip(b["_doc"].tolist(), b["_tie"].tolist(), b["_text"], b["_runs"], strict=True)
+            yield from gathered((doc, tie, cut(_bytes(text), np.sort(runs[runs % 2 == 0]), key), runs[runs % 2 == 1].tolist()) for doc, tie, text, runs in rows)
+
+    known = texts.join(runs, ["_doc", "_tie"]).select("_doc", "_tie", "_text", "_runs")
+    return settled(known.mapInPandas(ranked, RANKED))
 
 
-def surviving(texts: DataFrame, hashed) -> DataFrame:
-    """Step 1: (_doc, _tie, _runs), of the (hash, packed run) pairs that ``hashed`` gives for a text and its ``_runs`` those whose hash occurs again.
+def surviving_runs(texts: DataFrame) -> DataFrame:
+    """Step 1 for ``(_doc, _tie, _text)``: (_doc, _tie, _runs), the runs whose anchor hash occurs again.
 
-    Of runs that share a hash within a batch only the first is counted against other batches; the others are known to repeat
-    and are spread, so a very common hash has no more rows in one group than there are batches.
+    Of runs that share an anchor within a batch only the first is counted against other batches; the others are known to repeat
+    and are spread, so a very common anchor has no more rows in one group than there are batches.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            given = b["_runs"] if "_runs" in b else [None] * len(b)
-            parts = [(doc, tie, *run) for doc, tie, text, runs in zip(b["_doc"], b["_tie"], b["_text"], given, strict=True) for run in hashed(_bytes(text), runs)]
+            parts = [(doc, tie, *run) for doc, tie, text in zip(b["_doc"], b["_tie"], b["_text"], strict=True) for run in anchor_runs(_bytes(text))]
             if not parts:
                 continue
             hashes, run = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
@@ -292,10 +250,10 @@ def surviving(texts: DataFrame, hashed) -> DataFrame:
             kind[order] = np.where(alone, 0, np.where(new, 1, 2))
             yield pd.DataFrame({"hash": hashes.view(np.int64), "kind": kind, "_doc": np.repeat([p[0] for p in parts], sizes), "_tie": np.repeat([p[1] for p in parts], sizes).astype(np.int32), "run": run})
 
-    found = texts.mapInPandas(rows, "hash long, kind int, _doc long, _tie int, run long")
+    rows = texts.mapInPandas(anchors, "hash long, kind int, _doc long, _tie int, run long")
     salt = F.when(F.col("kind") == 2, F.pmod(F.xxhash64("_doc", "run"), F.lit(SALTS)) + 1).otherwise(0)
     n = F.count(F.lit(1)).over(Window.partitionBy("hash", salt))
-    return found.withColumn("n", n).where("kind > 0 or n > 1").groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
+    return rows.withColumn("n", n).where("kind > 0 or n > 1").groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,20 +279,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         firsts = texts.groupBy("_doc", "_tie").agg(F.min("_tag").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
         texts = materialize(texts.join(materialize(firsts, "repeat-firsts"), ["_doc", "_tie"], "left").withColumn("_copy", F.coalesce(F.col("_tag") > F.col("_first"), F.lit(False))).drop("_tag", "_first"), "repeat-tagged")
         copy = F.col("_copy")
-    first = (texts if unique else texts.where("not _copy")).select("_doc", "_tie", "_text")
-    runs = materialize(surviving(first, lambda data, _: anchor_runs(data)), "runs")
-
-    def by_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = zip(b["_text"], b["_runs"], b["_doc"].tolist(), b["_tie"].tolist(), strict=True)
-            yield from gathered((row for text, runs, doc, tie in texts for row in ranked_runs(_bytes(text), joined_parts(runs), doc, tie)), {})
-
-    # The texts are moved once: the plan reads this exchange again for the next two joins.
-    parts = surviving(texts.join(runs, ["_doc", "_tie"]).select("_doc", "_tie", "_text", "_runs"), run_parts)
-    known = texts.join(parts, ["_doc", "_tie"]).select("_doc", "_tie", "_text", "_runs")
-    rows = settled(known.mapInPandas(by_run, RANKED))
-    rows = next_step(next_step(rows, ranked_cells), ranked_strings)
-    judged = texts.join(repeats_of(rows), ["_doc", "_tie"], "left")
+    runs = materialize(surviving_runs((texts if unique else texts.where("not _copy")).select("_doc", "_tie", "_text")), "runs")
+    key = os.urandom(16)
+    # The texts are moved once: the plan reads this exchange again for each join.
+    for cut_further in (ranked_runs, ranked_cells, ranked_strings):
+        runs = next_step(texts, runs, cut_further, key)
+    judged = texts.join(runs, ["_doc", "_tie"], "left")
 
     @F.pandas_udf("spans array<struct<start: long, stop: long>>, kept binary")
     def cut(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:

@@ -71,20 +71,21 @@ def test_texts_made_to_collide_keep_their_bytes(spark):
 
 
 def test_one_rank_for_everything_changes_nothing(spark, monkeypatch, docs):
-    """Where all anchors have one hash, the bytes alone decide."""
+    """Where all anchors have one hash, digests of the bytes alone decide."""
     import numpy as np
 
     rows = [(i, t or "") for i, t in enumerate(sorted({r.text or "" for r in docs.select("text").limit(60).collect()}))]
     monkeypatch.setattr(rt, "_rank", lambda data, seed=0: 5)
-    ranked = [x for i, t in rows for _, run in rt.anchor_runs(t.encode()) for x in rt.ranked_runs(t.encode(), run, i, 0)]
     plain = lambda x: x.tolist() if isinstance(x, np.ndarray) else x
-    frames = [tuple(map(plain, r)) for f in rt.gathered(ranked, {}) for r in f.itertuples(index=False)]
-    assert {r[0] for r in frames} == {5}
-    steps = rt.settled(spark.createDataFrame(frames, rt.RANKED))
-    found = {r._doc: np.array(r._runs) for r in rt.repeats_of(rt.next_step(rt.next_step(steps, rt.ranked_cells), rt.ranked_strings)).collect()}
+    runs = {i: np.concatenate([r for _, r in rt.anchor_runs(t.encode())] or [np.zeros(0, np.int64)]) for i, t in rows}
+    for cut in (rt.ranked_runs, rt.ranked_cells, rt.ranked_strings):
+        given = [(i, 0, cut(t.encode(), runs[i][runs[i] % 2 == 0], b"key"), runs[i][runs[i] % 2 == 1].tolist()) for i, t in rows if i in runs]
+        frames = [tuple(map(plain, r)) for f in rt.gathered(given) for r in f.itertuples(index=False)]
+        runs = {r._doc: np.array(r._runs) for r in rt.settled(spark.createDataFrame(frames, rt.RANKED)).collect()}
     want = brute([(i, 0, t) for i, t in rows])
     for k, (i, t) in enumerate(rows):
-        spans = rt.spans_of(len(t.encode()), *rt.unpack(found[i])[::2]) if i in found else []
+        odd = runs[i][runs[i] % 2 == 1] if i in runs else np.zeros(0, np.int64)
+        spans = rt.spans_of(len(t.encode()), *rt.unpack(odd)[::2])
         assert len(t.encode()) - sum(b - a for a, b in spans) == len(want[k])
 
 
@@ -124,18 +125,16 @@ def test_segments_change_nothing(monkeypatch):
         monkeypatch.setattr(rt, "SEGMENT", segment)
         rt._powers.cache_clear()
         runs = np.concatenate([r for _, r in rt.anchor_runs(data)])
-        cover = [(s, c, data[s : s + c + 99], r) for r, s, c in zip(runs.tolist(), runs >> 13, runs >> 1 & 63)]
-        assert sorted(p for s, c, _, _ in cover for p in range(s, s + c)) == starts
-        parts = [x for _, x in rt.run_parts(data, runs)]
-        joined = rt.joined_parts(np.concatenate(parts))
-        assert len(joined) <= len(runs) and max(joined >> 1 & 63) <= rt.SPAN
-        assert sorted(p for x in joined.tolist() for p in range(x >> 13, (x >> 13) + (x >> 1 & 63))) == starts
-        assert sorted(p for x in np.concatenate(parts).tolist() for p in range(x >> 13, (x >> 13) + (x >> 1 & 63))) == starts
-        cells = [row for _, _, text, r in cover for row in rt.ranked_cells(text, r, 1, 0)]
-        assert sorted(p for row in cells for p in range(row[4] >> 13, (row[4] >> 13) + (row[4] >> 1 & 63))) == starts
-        assert all(row[1] == data[row[4] >> 13 : (row[4] >> 13) + (row[4] >> 1 & 63) + 99] for row in cells)
-        strings = [row for cell in cells for row in rt.ranked_strings(cell[1], cell[4], 1, 0)]
-        assert sorted((row[4] >> 13, row[1]) for row in strings) == [(p, data[p : p + 100]) for p in starts]
+        assert sorted(p for r in runs.tolist() for p in range(r >> 13, (r >> 13) + (r >> 1 & 63))) == starts
+        cells = list(rt.ranked_cells(data, runs, b"key"))
+        assert sorted(p for _, _, c in cells for p in range(c >> 13, (c >> 13) + (c >> 1 & 63))) == starts
+        shared = {}
+        for rank, _, c in cells:  # all strings of cells of one rank have 88 bytes in common
+            for p in range(c >> 13, (c >> 13) + (c >> 1 & 63)):
+                found = {data[x : x + rt.CORE] for x in range(p, p + rt.CELL)}
+                shared[rank] = shared.get(rank, found) & found
+        assert all(shared.values())
+        assert sorted(c >> 13 for _, _, c in rt.ranked_strings(data, np.array([c for _, _, c in cells]), b"key")) == starts
     rt._powers.cache_clear()
 
 
