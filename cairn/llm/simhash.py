@@ -7,9 +7,10 @@ differ at all few: of four groups of covering coordinates, two groups agree whol
 candidate pairs share two groups, pairs with a larger coordinate difference are
 discarded, and the survivors are verified bit by bit.
 
-A group of coordinates shared by very many fingerprints is not paired: its members are linked through the
-fingerprints one bit away from them. Two fingerprints are within 2 bits exactly if they
-share one of those, so links are the same and their number grows with the members alone.
+A bucket of very many fingerprints is split by the coordinates that it doesn't share yet: of their four quarters at least
+two agree wholly as well. Random fingerprints then share a bucket with a chance of 0.375^24, so at any number that fits a cluster buckets
+stay small. Only a crowd of near copies can still fill one; its members are linked through the fingerprints one bit away from
+them. Two fingerprints are within 2 bits exactly if they share one of those, so no link is lost and their number grows with the members alone.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import finish_groups, materialize, require, salted_groups, tagged, text_batches
+from .shared import free_name, materialize, refuse, require, salted_groups, tagged, text_batches
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Two bits for each covering pivot; 32 of them in GROUPS groups.
 COVER, GROUPS, RANDOM_PIVOTS = 2, 4, 16
-#: A bucket of more fingerprints is linked through one-bit neighbours instead of pairs.
+#: A bucket of more fingerprints is split, and one that is still larger is linked through one-bit neighbours.
 PAIRED_AT_MOST = 64
+#: Fingerprints whose keys a task makes.
+TASK_ROWS = 20_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -71,12 +74,12 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def group_keys(fp: Column) -> list[Column]:
-    """Of each group of covering coordinates one number: d(x, pivot) - d(x, 0) takes COVER + 1 values, here digits in that base."""
+def part_keys(fp: Column, parts: int) -> list[Column]:
+    """Of each of ``parts`` parts of the covering coordinates one number: d(x, pivot) - d(x, 0) takes COVER + 1 values, here digits in that base."""
     zero, *cover = pivots(0)
-    each = len(cover) // GROUPS
+    each = len(cover) // parts
     keys = []
-    for g in range(GROUPS):
+    for g in range(parts):
         key = F.lit(0).cast("long")
         for p in cover[g * each : (g + 1) * each]:
             key = key * (COVER + 1) + ((distance(fp, F.lit(p)) - distance(fp, F.lit(zero)) + COVER) / 2).cast("long")
@@ -84,6 +87,11 @@ def group_keys(fp: Column) -> list[Column]:
     return keys
 
 
+#: Pairs of groups, by which the first buckets are made; for each of them, pairs of halves of the other groups.
+TABLES = list(combinations(range(GROUPS), 2))
+SPLITS = [list(combinations([h for g in range(GROUPS) if g not in pair for h in (2 * g, 2 * g + 1)], 2)) for pair in TABLES]
+
+
 def coordinates(fp: Column) -> Column:
     """The row of the distance table for the random pivots."""
     return F.array(*[distance(fp, F.lit(p)).cast("byte") for p in pivots()[1 + 64 // COVER :]])
@@ -94,19 +102,36 @@ def near(a: Column, b: Column, max_bits: int) -> Column:
     return F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= max_bits), lambda ok: ok)
 
 
+def shared_buckets(spread: DataFrame) -> DataFrame:
+    """Of ``spread`` (with ``key``) the rows whose key occurs again, with ``n``, their number, in a scratch table."""
+    # The counts are a table, so Spark may broadcast them, or split a hot key of the other side.
+    counts = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-counts")
+    return materialize(spread.join(counts, "key"), "buckets")
+
+
+def paired(members: DataFrame) -> DataFrame:
+    """Links (a, b) within buckets of at most PAIRED_AT_MOST fingerprints: by coordinates, then bit by bit."""
+    small = members.where(F.col("n") <= PAIRED_AT_MOST).select("key", "fp").withColumn("c", coordinates(F.col("fp")))
+    other = small.select("key", F.col("fp").alias("fp2"), F.col("c").alias("c2"))
+    candidates = small.join(other, "key").where("fp < fp2").where(near(F.col("c"), F.col("c2"), MAX_BITS))
+    return candidates.where(distance(F.col("fp"), F.col("fp2")) <= MAX_BITS).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+
+
 def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints ``fp`` exactly as all pairs within MAX_BITS bits do."""
-    keys = group_keys(F.col("fp"))
-    pairs = [F.struct(F.lit(i).alias("t"), keys[g].alias("x"), keys[h].alias("y")) for i, (g, h) in enumerate(combinations(range(GROUPS), 2))]
-    spread = fps.select("fp", F.explode(F.array(*pairs)).alias("k")).select("fp", F.col("k.t").alias("t"), F.col("k.x").alias("x"), F.col("k.y").alias("y"))
-    bucket = ["t", "x", "y"]
-    shared = spread.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(spread.join(shared, bucket), "buckets")
-
-    small = members.where(F.col("n") <= PAIRED_AT_MOST).drop("n").withColumn("c", coordinates(F.col("fp")))
-    other = small.select(*bucket, F.col("fp").alias("fp2"), F.col("c").alias("c2"))
-    candidates = small.join(other, bucket).where("fp < fp2").where(near(F.col("c"), F.col("c2"), MAX_BITS))
-    found = candidates.where(distance(F.col("fp"), F.col("fp2")) <= MAX_BITS).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+    """Links (a, b) that connect the distinct fingerprints ``fp`` (a table) exactly as all pairs within MAX_BITS bits do."""
+    # They are few bytes, which Spark would leave to one or two tasks.
+    fps = fps.repartition(-(-fps.count() // TASK_ROWS) or 1, "fp")
+    groups = part_keys(F.col("fp"), GROUPS)
+    keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), groups[g], groups[h]).alias("key")) for t, (g, h) in enumerate(TABLES)]
+    members = shared_buckets(fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.key"))
+    found = paired(members)
+
+    large = members.where(F.col("n") > PAIRED_AT_MOST)
+    splits = F.array(*[F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in of]) for of in SPLITS])
+    halves = large.select("fp", "t", "key", F.array(*part_keys(F.col("fp"), 2 * GROUPS)).alias("h"))
+    finer = F.transform(F.get(splits, F.col("t")), lambda s: F.xxhash64("key", s["x"], s["y"], F.get("h", s["x"]), F.get("h", s["y"])))
+    members = shared_buckets(halves.select("fp", F.explode(finer).alias("key")))
+    found = found.unionByName(paired(members))
 
     crowd = members.where(F.col("n") > PAIRED_AT_MOST).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(v) for v in np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)).view(np.int64).tolist()])
@@ -119,8 +144,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(v, root) for each end of a link; root is the smallest v of its component.
 
-    Alternates large-star and small-star steps until the links no longer change; links stay
-    distributed, each round is a table in the shared folder.
+    Alternates large-star and small-star steps until the links no longer change; links stay distributed, each step is a
+    table in the shared folder. Minima are tables of their own, so a hub of very many links can be split when it is joined to its own.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
 
@@ -132,11 +157,10 @@ def components(links: DataFrame) -> DataFrame:
         return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "links-low")
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links-large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "links-low")
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialize(small.where("u <> v").distinct(), "links")
         after = sign(edges)
         if after == before:
@@ -147,48 +171,53 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def simhash_components(rows: DataFrame, *, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
-    """``rows`` (a table: it is read several times) with ``component_id``: the smallest id among all rows reachable over links.
+    """``rows`` (a table: it is read several times) with ``component_id``, the smallest id among all rows reachable over links, and ``root``, the component's smallest fingerprint.
 
     Equal fingerprints are linked. Null ids are passed over unless a component has no other; repeated
-    rows are in one component. An empty table gives an empty result.
+    rows are in one component. An empty table gives an empty result. Columns of the names of the results are refused.
     """
     require(rows, [id_col, fp_col])
+    refuse(rows.columns, ["component_id", "root", "_salt"])
     salted, part = salted_groups(rows, [fp_col], F.xxhash64(F.col(id_col)), F.min(id_col))
     part = materialize(part, "fingerprints")
-    fps = part.groupBy(F.col(fp_col).alias("fp")).agg(F.min("_first").alias("low"))
+    fps = materialize(part.groupBy(F.col(fp_col).alias("fp")).agg(F.min("_first").alias("low")), "fingerprints")
     roots = materialize(components(fingerprint_links(fps.select("fp"))), "roots")
     of_fp = fps.join(roots, fps["fp"] == roots["v"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     of_fp = materialize(of_fp, "rooted")
-    lowest = of_fp.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = of_fp.join(lowest, "root").select(F.col("fp").alias(fp_col), "component_id")
+    lowest = materialize(of_fp.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+    of_fp = of_fp.join(lowest, "root").select(F.col("fp").alias(fp_col), "component_id", "root")
     # One row for each fingerprint and salt: a fingerprint of very many rows is spread over the salts.
     spread = part.select(fp_col, "_salt").join(of_fp, fp_col)
-    return salted.join(spread, [fp_col, "_salt"]).select(*rows.columns, "component_id")
+    return salted.join(spread, [fp_col, "_salt"]).select(*rows.columns, "component_id", "root")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for each row; see :func:`simhash_components`."""
+    """(id, fp, component_id) for each row; see :func:`simhash_components`. Null and empty texts have the fingerprint 0; texts may be of any length, and other columns aren't read."""
     require(docs, [id_col, text_col])
+    refuse([id_col], ["fp", "component_id"])
     text_batches(docs.sparkSession)
-    rows = materialize(docs.select(F.col(id_col), fingerprint_udf()(text_col).alias("fp")), "simhash")
-    return simhash_components(rows, id_col=id_col)
+    rows = materialize(docs.select(F.col(id_col).alias("_id"), fingerprint_udf()(text_col).alias("fp")), "simhash")
+    return simhash_components(rows, id_col="_id").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each ``component_id``: that with the smallest id (of repeated rows any one). Every column stays as it is.
+    """``docs`` with one row of each component: that with the smallest id (nulls last; of repeated ids and rows any one). Every column stays as it is, whatever its name.
 
-    Components that share a component_id, as those of null or repeated ids do, keep one row together. The pipeline
-    uses :func:`.near_copies.drop_similar`, whose components are of rows.
+    Components are of texts, so rows of null or repeated ids are rows like any other. Null and empty texts are one component. An
+    empty table gives an empty result. The pipeline's rule for near copies is another one: :func:`.near_copies.drop_similar`.
     """
+    require(docs, [id_col, text_col])
     text_batches(docs.sparkSession)
-    numbered = tagged(docs.withColumn("_fp", fingerprint_udf()(text_col)), "near-input", "_row")
-    linked = simhash_components(numbered.select(id_col, F.col("_fp").alias("fp"), "_row"), id_col=id_col)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")))
+    row, fp = free_name(docs, "_row"), free_name(docs, "_fp")
+    numbered = tagged(docs.withColumn(fp, fingerprint_udf()(text_col)), "near-input", row)
+    linked = simhash_components(numbered.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row")), id_col="id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     # Partial minima are taken before the exchange, so a component of very many rows is no hot key.
-    kept = linked.groupBy("component_id").agg(first.alias("f")).select(F.col("f.row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").drop("_row", "_fp")
+    kept = linked.groupBy("root").agg(first.alias("f")).select(F.col("f.row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row, fp)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null, empty, long and repeated rows as in :func:`near_dedup`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_dedup(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

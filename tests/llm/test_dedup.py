@@ -71,6 +71,16 @@ def brute_components(pairs):
     return [(i, f, low[find(f)]) for i, f in pairs]
 
 
+def brute_kept(pairs):
+    """The smallest id of each component of texts."""
+    near = lambda a, b: (a ^ b).bit_count() <= 2
+    groups = []
+    for i, f in pairs:
+        met = [g for g in groups if any(near(f, x) for _, x in g)]
+        groups = [g for g in groups if g not in met] + [[(i, f)] + [x for g in met for x in g]]
+    return Counter(min((i for i, _ in g if i is not None), default=None) for g in groups)
+
+
 def test_near_components(docs):
     pairs = [(r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()]
     got = Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in sh.near_dedup(docs).collect())
@@ -92,11 +102,20 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
         assert got == want, most
 
 
-def test_drop_near_copies(docs):
-    rows = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()])
+def test_drop_near_copies(spark, docs):
     kept = sh.drop_near_copies(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({c for _, _, c in rows})
+    assert Counter(r.doc_id for r in kept.collect()) == brute_kept([(r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()])
+    rows = [(None, f"a{k} b{k} c{k} d{k} e{k}") for k in range(6)] + [(7, f"k{k} l{k} m{k} n{k} o{k}") for k in range(6)]
+    assert sh.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == 12
+
+
+def test_op2_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    pairs = [(r.doc_id, brute_fingerprint(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = sh.op2_simhash(spark, sf)
+    assert [(c, t) for c, t in got.dtypes] == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
+    assert Counter(map(tuple, got.collect())) == Counter((i, f"{f:016x}", c) for i, f, c in brute_components(pairs))
 
 
 def test_empty_tables(empty):
