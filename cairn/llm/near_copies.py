@@ -4,28 +4,39 @@ A text is the set of its five-word shingles. Rows that share a band of MinHash v
 SimHash pivot tables, are candidates; a pair of Jaccard 0.8 shares one of the 20 bands of 5 values with
 probability 0.9996. Each candidate pair is verified on the shingles themselves, so nothing is linked by a hash alone.
 
-A bucket of at most PAIRED_AT_MOST rows is paired wholly. A larger one is not: its rows meet REPS rows of it, drawn
-anew in each bucket. Components are of rows, not of ids, so null and repeated ids are no different from others.
+A bucket of at most PAIRED_AT_MOST rows is paired wholly. The rows of a larger one meet REPS of them, such as are in the most large buckets and
+so the likest to all others. Mostly that makes the bucket one component, and then it has nothing more to say. Otherwise its rows get new bands of more
+values, at the same probability, in which unlike rows part; pairs already linked are left out. What is still open after the last round is
+settled exactly: each row outside a bucket's largest component meets all rows of the bucket in other components.
+
+Components are of rows, not of ids, so null and repeated ids are no different from others.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, require, tagged, text_batches
+from .shared import free_name, materialize, require, tagged, text_batches
 from .simhash import components, fingerprint_links, fingerprint_udf
 
 SHINGLE, SIMILAR, SEED = 5, 0.8, 43
-BANDS, BAND_ROWS = 20, 5
-PAIRED_AT_MOST, REPS, SALTS = 32, 8, 64
-#: Shingles whose hash functions are computed at once.
-CHUNK = 4096
+#: Values of a band in each round, and the probability with which a pair of similarity SIMILAR shares a band.
+BAND_ROWS, SHARED = (5, 10, 15), 0.9996
+PAIRED_AT_MOST, REPS, SALTS = 32, 4, 64
+#: Values of hash functions that are computed at once.
+CHUNK = 1 << 19
+
+
+def band_count(rows: int) -> int:
+    """Bands of so many values that SHARED takes."""
+    return math.ceil(math.log(1 - SHARED) / math.log(1 - SIMILAR**rows))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -46,33 +57,35 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def multipliers() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    draw = rng.integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+def multipliers(round_no: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    rows = BAND_ROWS[round_no]
+    rng = np.random.default_rng((SEED, round_no))
+    draw = rng.integers(0, 2**63, (2, band_count(rows) * rows), dtype=np.uint64)
     return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
 
 
-def bands(of: set[bytes], times: np.ndarray, plus: np.ndarray) -> np.ndarray:
-    """One number for each band of MinHash values, signed."""
+def bands(of: set[bytes], times: np.ndarray, plus: np.ndarray, rows: int = BAND_ROWS[0]) -> np.ndarray:
+    """One number for each band of ``rows`` MinHash values, signed."""
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in of), np.uint64, len(of))
-    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK, None] * times + plus
+    low = np.full(len(times), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, CHUNK // len(times))
+    for at in range(0, len(hashes), step):
+        part = hashes[at : at + step, None] * times + plus
         part = (part ^ (part >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
         low = np.minimum(low, part.min(0))
-    rows = low.astype("<u8").reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+    values = low.astype("<u8").reshape(-1, rows)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(values)], np.uint64).view(np.int64)
 
 
-def sketch_udf():
+def sketch_udf(round_no: int = 0):
     """(bands, number of distinct shingles) of a column of texts."""
 
     @F.pandas_udf("bands array<bigint>, size bigint")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        times, plus = multipliers()
+        times, plus = multipliers(round_no)
         for part in parts:
             sets = map(shingles, part)
-            rows = [(bands(s, times, plus), len(s)) for s in sets]
+            rows = [(bands(s, times, plus, BAND_ROWS[round_no]), len(s)) for s in sets]
             yield pd.DataFrame({"bands": [r[0] for r in rows], "size": [r[1] for r in rows]})
 
     return of
@@ -96,29 +109,76 @@ def similar_udf():
 def buckets(rows: DataFrame) -> DataFrame:
     """(key, _row, size): rows by band, and by SimHash component."""
     fps = materialize(rows.select(F.col("_fp").alias("fp")).distinct(), "near-fingerprints")
-    roots = components(fingerprint_links(fps))
-    root = F.xxhash64(F.lit(BANDS), F.coalesce("root", "_fp"))
+    roots = materialize(components(fingerprint_links(fps)), "near-roots")
+    root = F.xxhash64(F.lit(-1), F.coalesce("root", "_fp"))
     by_root = rows.join(roots, rows["_fp"] == roots["v"], "left").select(root.alias("key"), "_row", F.col("size").cast("int"))
     return rows.select(F.explode("bands").alias("key"), "_row", F.col("size").cast("int")).unionByName(by_root)
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows that share a bucket and whose sizes allow the similarity."""
-    spread = buckets(rows)
-    shared = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"), "near-shared")
-    members = materialize(spread.join(shared, "key"), "near-buckets")
-    small = members.where(F.col("n") <= PAIRED_AT_MOST).select("key", "_row", "size")
-    other = small.select("key", F.col("_row").alias("row2"), F.col("size").alias("size2"))
-    pairs = small.join(other, "key").where("_row < row2").select(F.col("_row").alias("a"), F.col("row2").alias("b"), "size", "size2")
-    crowd = members.where(F.col("n") > PAIRED_AT_MOST).select("key", "_row", "size")
-    # Each round has its own order of the rows; the first in it is met by all others. Partial minima leave no hot key.
-    draws = [F.min(F.struct(F.xxhash64(F.lit(r), "key", "_row").alias("o"), F.col("_row").alias("row"), "size")).alias(f"r{r}") for r in range(REPS)]
-    chosen = [F.struct(F.col(f"r{r}.row").alias("row"), F.col(f"r{r}.size").alias("size")) for r in range(REPS)]
-    reps = crowd.groupBy("key").agg(*draws).select("key", F.array_distinct(F.array(*chosen)).alias("reps"))
-    large = crowd.join(reps, "key").select("_row", "size", F.explode("reps").alias("rep")).where("_row <> rep.row")
-    met = large.select(F.least("_row", "rep.row").alias("a"), F.greatest("_row", "rep.row").alias("b"), "size", F.col("rep.size").alias("size2"))
-    fits = F.least("size", "size2") >= SIMILAR * F.greatest("size", "size2")
-    return pairs.unionByName(met).where(fits).select("a", "b").distinct()
+def fits() -> Column:
+    """Whether two sizes allow the similarity."""
+    return F.least("size", "size2") >= SIMILAR * F.greatest("size", "size2")
+
+
+def candidates(members: DataFrame, crowd: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows of two components that share a bucket: all of a small one, and those with the REPS of a large one (``crowd``)."""
+    small = members.where(F.col("n") <= PAIRED_AT_MOST).select("key", "_row", "size", "comp")
+    other = small.select("key", F.col("_row").alias("row2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
+    pairs = small.join(other, "key").where("_row < row2 and comp <> comp2").where(fits()).select(F.col("_row").alias("a"), F.col("row2").alias("b"))
+    often = materialize(crowd.groupBy("_row").agg(F.count(F.lit(1)).alias("times")), "near-often")
+    ranked = crowd.join(often, "_row").select("key", F.struct((-F.col("times")).alias("o"), F.xxhash64("_row").alias("h"), F.col("_row").alias("row"), "size", "comp").alias("r"))
+    # Partial minima leave no hot key.
+    reps = ranked.groupBy("key").agg(*first_of("r", REPS)).select("key", F.array_distinct(F.array_compact(F.array(*[f"r{k}" for k in range(REPS)]))).alias("reps"))
+    large = crowd.join(materialize(reps, "near-reps"), "key").select("_row", "size", "comp", F.explode("reps").alias("rep"))
+    large = large.where("_row <> rep.row and comp <> rep.comp").withColumn("size2", F.col("rep.size")).where(fits())
+    return pairs.unionByName(large.select(F.least("_row", "rep.row").alias("a"), F.greatest("_row", "rep.row").alias("b"))).distinct()
+
+
+def first_of(column: str, n: int) -> list[Column]:
+    """The least of ``column`` in all rows, and in ``n`` - 1 halves of them that a hash draws."""
+    return [F.min(F.when(F.lit(k == 0) | (F.pmod(F.xxhash64(F.lit(k), f"{column}.row"), F.lit(2)) == 0), F.col(column))).alias(f"r{k}") for k in range(n)]
+
+
+def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between rows (_row, _fp, bands, size) of similar texts (_row, _text), enough to connect all that are."""
+    spread, links = buckets(rows).withColumn("comp", F.col("_row")), None
+    for round_no in range(len(BAND_ROWS)):
+        counts = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"), "near-counts")
+        members = materialize(spread.join(counts, "key"), "near-buckets")
+        crowd = members.where(F.col("n") > PAIRED_AT_MOST).drop("n")
+        found = materialize(verified(materialize(candidates(members, crowd), "near-pairs"), texts), "near-links")
+        links = found if links is None else links.unionByName(found)
+        if crowd.isEmpty():
+            break
+        crowd = open_buckets(crowd, links)
+        if crowd.isEmpty():
+            break
+        if round_no + 1 == len(BAND_ROWS):
+            rest = materialize(verified(materialize(all_pairs(crowd), "near-pairs"), texts), "near-links")
+            return links.unionByName(rest)
+        own = crowd.groupBy("_row").agg(F.first("size").alias("size"), F.first("comp").alias("comp"))
+        sketched = texts.join(own, "_row").select("_row", "size", "comp", sketch_udf(round_no + 1)("_text").alias("s"))
+        spread = sketched.select(F.explode("s.bands").alias("key"), "_row", "size", "comp")
+    return links
+
+
+def open_buckets(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of large buckets that aren't one component yet, with their components ``comp``."""
+    roots = materialize(components(links), "near-roots")
+    with_comp = crowd.drop("comp").join(roots.withColumnRenamed("v", "_row"), "_row", "left").withColumn("comp", F.coalesce("root", "_row")).drop("root")
+    with_comp = materialize(with_comp, "near-open")
+    unlike = materialize(with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "near-open")
+    return materialize(with_comp.join(unlike, "key"), "near-open")
+
+
+def all_pairs(crowd: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each row outside its bucket's largest component and all rows of the bucket in other components."""
+    sizes = crowd.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = materialize(sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("most")), "near-largest")
+    outside = crowd.join(largest, "key").where("comp <> most").select("key", "_row", "size", "comp")
+    other = crowd.select("key", F.col("_row").alias("row2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
+    pairs = outside.join(other, "key").where("comp <> comp2").where(fits())
+    return pairs.select(F.least("_row", "row2").alias("a"), F.greatest("_row", "row2").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -138,20 +198,21 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component of similar rows: that with the smallest id (nulls last; of repeated ids any one).
+    """``docs`` with one row of each component of similar rows: that with the smallest id (nulls last; of repeated ids and rows any one).
 
-    Every column stays as it is. Rows with null or repeated ids are rows like any other.
+    Every column stays as it is, whatever its name. Rows with null or repeated ids are rows like any other. Null and empty texts have no
+    shingles and are similar to each other; a text of fewer words than a shingle is one. Texts may be of any length. An empty table gives an empty result.
     """
     require(docs, [id_col, text_col])
     text_batches(docs.sparkSession)
-    numbered = tagged(docs.withColumns({"_fp": fingerprint_udf()(text_col), "_sketch": sketch_udf()(text_col)}), "near-input", "_row")
-    rows = numbered.select("_row", "_fp", F.col("_sketch.bands").alias("bands"), F.col("_sketch.size").alias("size"))
-    pairs = materialize(candidates(rows), "near-pairs")
-    links = materialize(verified(pairs, numbered.select("_row", F.col(text_col).alias("_text"))), "near-links")
+    row, fp, sketch = free_name(docs, "_row"), free_name(docs, "_fp"), free_name(docs, "_sketch")
+    numbered = tagged(docs.withColumns({fp: fingerprint_udf()(text_col), sketch: sketch_udf()(text_col)}), "near-input", row)
+    rows = numbered.select(F.col(row).alias("_row"), F.col(fp).alias("_fp"), F.col(f"{sketch}.bands").alias("bands"), F.col(f"{sketch}.size").alias("size"))
+    links = similar_links(rows, numbered.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")))
     roots = components(links)
-    of = numbered.select("_row", F.col(id_col).alias("_id")).join(roots.withColumnRenamed("v", "_row"), "_row")
+    of = numbered.select(F.col(row).alias("_row"), F.col(id_col).alias("_id")).join(roots.withColumnRenamed("v", "_row"), "_row")
     of = materialize(of, "near-roots")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     kept = of.groupBy("root").agg(first.alias("f")).select(F.col("f.row").alias("_row"))
-    dropped = materialize(of.join(kept, "_row", "left_anti").select("_row"), "near-dropped")
-    return numbered.join(dropped, "_row", "left_anti").drop("_row", "_fp", "_sketch")
+    dropped = materialize(of.join(kept, "_row", "left_anti").select(F.col("_row").alias(row)), "near-dropped")
+    return numbered.join(dropped, row, "left_anti").drop(row, fp, sketch)

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from cairn.llm import near_copies as nc
 
 SCHEMA = "doc_id long, text string"
@@ -61,6 +63,33 @@ def test_a_large_group_of_near_copies_leaves_one(spark):
     assert Counter(r.doc_id for r in nc.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()) == brute_kept(rows)
 
 
+@pytest.mark.parametrize("rounds", [(5, 10, 15), (5,)])
+def test_large_buckets_lose_no_link(spark, monkeypatch, rounds):
+    """With one representative for buckets of over 3 rows most links are left to the later rounds, or to the exact last step."""
+    monkeypatch.setattr(nc, "PAIRED_AT_MOST", 3)
+    monkeypatch.setattr(nc, "REPS", 1)
+    monkeypatch.setattr(nc, "BAND_ROWS", rounds)
+    rng = random.Random(13)
+    rows = []
+    for k in range(3):
+        base = prose(rng, 300)
+        # Copies of a base are up to 8 words away, so less than 0.8 from each other; some are linked to others only.
+        first = [changed(rng, base, 7) for _ in range(15)]
+        rows += [(1000 * k + i, " ".join(w)) for i, w in enumerate(first)] + [(1000 * k + 100 + i, " ".join(changed(rng, w, 4))) for i, w in enumerate(first)]
+    common = prose(rng, 60)
+    rows += [(9000 + i, " ".join(common + prose(rng, 40))) for i in range(30)]
+    kept = Counter(r.doc_id for r in nc.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert kept == brute_kept(rows)
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d e f g", 5, 6, "x"), (2, "a b c d e f g", 7, 8, "y"), (None, None, 1, 2, None), (3, "", None, None, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row int, _fp int, _sketch string")
+    kept = nc.drop_similar(frame)
+    assert kept.columns == frame.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[3]])
+
+
 def test_rows_of_null_and_repeated_ids_stay(spark):
     rng = random.Random(10)
     rows = [(None, " ".join(prose(rng, 40))) for _ in range(12)] + [(7, " ".join(prose(rng, 40))) for _ in range(12)]
