@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import finish_groups, lower_ascii, materialize, require, salted_groups, whole_text
+from .shared import finish_groups, free_name, lower_ascii, materialize, refuse, require, salted_groups, tagged, whole_text
 
 #: A chunk ends after a vowel and a blank, no earlier than MIN_CHUNK and no later than MAX_CHUNK characters.
 MIN_CHUNK, MAX_CHUNK = 512, 4095
@@ -65,10 +65,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are equal when they are after lower-casing A-Z. The row with the largest id stays.
     Null text counts as empty; empty texts are equal to each other. Null ids are smaller than all
-    others. Of repeated rows with the largest id exactly one stays. An empty table gives an empty result.
+    others. Of repeated rows with the largest id exactly one stays. Texts may be of any length. An empty table gives an empty result.
+    Columns of ``keep`` with the names of the results, or of those used on the way, are refused.
     """
     require(docs, [id_col, text_col])
     keep = [id_col] if keep is None else keep
+    refuse(keep, ["keep_id", "group_size", "kept", "text_sha256", "_tag", "_id", "_sha", "_chunks", "_recipe", "_salt", "_n", "_first", "_last"])
     rows = recipes(docs, text_col=text_col, keep=keep)
     rows = rows.withColumn("_id", F.col(id_col))
     last = F.max(F.struct(F.col("_id").isNotNull().alias("has"), F.col("_id").alias("id"), F.col("_tag").alias("tag")))
@@ -85,15 +87,17 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without copies; every column stays as it is. The rule is that of :func:`exact_dedup`."""
-    from .shared import tagged
-
-    numbered = tagged(docs, "exact-input", "_row")
-    kept = exact_dedup(numbered, id_col=id_col, text_col=text_col, keep=[id_col, "_row"]).where("kept").select("_row")
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    """``docs`` without copies; every column stays as it is, whatever its name. The rule, and that for nulls, empty texts and repeated rows, is that of :func:`exact_dedup`."""
+    require(docs, [id_col, text_col])
+    row = free_name(docs, "_row")
+    numbered = tagged(docs, "exact-input", row)
+    texts = numbered.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(row).alias("row"))
+    kept = exact_dedup(texts, id_col="id", text_col="text", keep=["id", "row"]).where("kept").select(F.col("row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Group and fate of every document; null, empty, long and repeated rows as in :func:`exact_dedup`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

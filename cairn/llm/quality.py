@@ -136,7 +136,11 @@ def training_rows(features: DataFrame, labels: DataFrame, id_col: str, label_col
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[Discriminant, DataFrame]:
-    """The classifier, and the statistics of all documents ``(id, features)`` in a scratch table."""
+    """The classifier, and the statistics of all documents ``(id, features)`` in a scratch table.
+
+    Null and empty texts have the statistics of no words; texts of any length are read whole; a repeated id trains with each of its
+    rows. Labels and ids that are null are left out, and other columns aren't read. An empty table gives a classifier of one score.
+    """
     require(docs, [id_col, text_col])
     require(labels, [id_col, label_col])
     text_batches(docs.sparkSession)
@@ -167,7 +171,7 @@ def text_score_udf(model: Discriminant):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, text_col: str = "text", **columns: str) -> DataFrame:
-    """``docs`` whose score is at least ``threshold``; every column stays as it is."""
+    """``docs`` whose score is at least ``threshold``; every column stays as it is, whatever its name. Equal texts share their fate, and null texts are scored as empty ones."""
     model, _ = fit_quality(docs, labels, text_col=text_col, **columns)
     return docs.where(text_score_udf(model)(F.col(text_col)) >= threshold)
 

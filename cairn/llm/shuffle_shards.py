@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize, require, whole_text
+from .shared import materialize, refuse, require, whole_text
 
 #: Rows of a block aimed at, and the most blocks; beyond that blocks grow and sort on disk.
 BLOCK_ROWS, MAX_BLOCKS = 20_000, 4096
@@ -76,45 +76,47 @@ def shuffle_shards(df: DataFrame, key: str, *, shards: int = 16, seed: int = 20,
 
     Shard sizes are at most one apart. The outcome is a function of the rows and the seed: it
     doesn't depend on files or partitions. Any column may be null; rows with a repeated key are
-    ordered by their other columns, and rows that are wholly the same are interchangeable. Columns
+    ordered by their other columns, and rows that are wholly the same are interchangeable; equal keys need not
+    meet in a shard. Values may be of any length. Every column stays as it is, whatever its name, but columns
     of ``df`` named shard or slot are refused. An empty table gives an empty result.
     """
     require(df, [key])
-    if clash := {"shard", "slot"} & set(df.columns):
-        raise ValueError(f"the table already has {sorted(clash)}")
-    spark, names = df.sparkSession, df.columns
+    refuse(df.columns, ["shard", "slot"])
+    spark, names = df.sparkSession, [F.col(f"`{c}`") for c in df.columns]
     total = df.count()
     n_blocks = max(1, min(MAX_BLOCKS, math.ceil(total / block_rows)))
-    rest = F.xxhash64(*[F.col(c) for c in names])
-    draw = lambda what: F.xxhash64(F.lit(f"{seed}-{what}"), F.col(key), rest)
-    dealt = df.withColumn("_block", F.pmod(draw("block"), F.lit(n_blocks)).cast("int"))
-    counts = {r["_block"]: r["n"] for r in dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The row is one value on the way, so its columns can't meet those made here.
+    rows = df.select(F.struct(*names).alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(*names).alias("rest"))
+    draw = lambda what: F.xxhash64(F.lit(f"{seed}-{what}"), F.col("key"), F.col("rest"))
+    dealt = rows.withColumn("block", F.pmod(draw("block"), F.lit(n_blocks)).cast("int"))
+    counts = {r["block"]: r["n"] for r in dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     matrix = communication_matrix([counts.get(b, 0) for b in range(n_blocks)], shard_sizes(total, shards), seed)
     ends = [[sum(row[: s + 1]) for s in range(shards)] for row in matrix]
-    cuts = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")).alias("_block", "_ends"))
+    cuts = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")).alias("block", "ends"))
 
-    local = Window.partitionBy("_block").orderBy("_order", *[F.col(c).asc_nulls_first() for c in [key]])
+    local = Window.partitionBy("block").orderBy("order", F.col("key").asc_nulls_first())
     sent = (
-        dealt.withColumn("_order", draw("first"))
-        .withColumn("_place", F.row_number().over(local) - 1)
-        .join(F.broadcast(cuts), "_block")  # n_blocks rows, MAX_BLOCKS at most
-        .withColumn("shard", F.size(F.filter("_ends", lambda end: end <= F.col("_place"))).cast("int"))
-        .select(*names, "shard")
+        dealt.withColumn("order", draw("first"))
+        .withColumn("place", F.row_number().over(local) - 1)
+        .join(F.broadcast(cuts), "block")  # n_blocks rows, MAX_BLOCKS at most
+        .withColumn("shard", F.size(F.filter("ends", lambda end: end <= F.col("place"))).cast("int"))
+        .select("row", "key", "rest", "shard")
     )
     n_bins = max(1, math.ceil(total / shards / block_rows))
-    sent = materialize(sent.withColumn("_draw", draw("second")).withColumn("_bin", F.pmod(F.col("_draw"), F.lit(n_bins)).cast("int")), "shards")
-    bins = sent.groupBy("shard", "_bin").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("shard", "_bin", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("shard", "_bin").orderBy("_draw", F.col(key).asc_nulls_first())
+    sent = materialize(sent.withColumn("draw", draw("second")).withColumn("bin", F.pmod(F.col("draw"), F.lit(n_bins)).cast("int")), "shards")
+    bins = sent.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inner = Window.partitionBy("shard", "bin").orderBy("draw", F.col("key").asc_nulls_first())
     return (
-        sent.withColumn("_inner", F.row_number().over(inner) - 1)
-        .join(bins, ["shard", "_bin"])
-        .select(*names, "shard", (F.col("_before") + F.col("_inner")).cast("long").alias("slot"))
+        sent.withColumn("inner", F.row_number().over(inner) - 1)
+        .join(bins, ["shard", "bin"])
+        .select("row.*", "shard", (F.col("before") + F.col("inner")).cast("long").alias("slot"))
     )
 
 
 def op10_shuffle_shards(spark, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by law ``rows``; null (size 1), empty, long and repeated rows as in :func:`shuffle_shards`."""
     text = F.col("text")
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id",

@@ -21,6 +21,8 @@ from .shared import held_out, materialize, require, text_batches
 
 #: Labelled texts in training and calibration, at most, for each class: those with the smallest hashes.
 MAX_PER_CLASS = 4000
+#: Bytes of their texts for each class, at most; a text that doesn't fit any more is left out whole.
+MAX_CLASS_BYTES = 16 << 20
 BUCKET_BITS, DIM, WIDTHS, FILTERS = 15, 12, (1, 2, 3), 12
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 5, 1000, 32, 0.01, 1e-3
 #: A language needs this many texts of either class in the calibration to get a threshold of its own.
@@ -199,29 +201,48 @@ def calibrate(net: ConvNet, texts: list[np.ndarray], labels: np.ndarray, weights
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_per_class: int) -> list:
-    """Packed words of at most ``max_per_class`` labelled texts of each class, held-out ids left out, those with the smallest hashes."""
+    """Packed words of at most ``max_per_class`` labelled texts and MAX_CLASS_BYTES of each class, held-out ids left out, those with the smallest hashes.
+
+    Of several labels of an id the largest counts, of several texts that with the smallest hash.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
+    known = known.withColumn("_o", F.xxhash64("_id"))
     sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_per_class)
+        part = known.where(F.col("_y") == y).orderBy("_o", "_id").limit(max_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = materialize(chosen, "toxicity-sample")
+    chosen = materialize(chosen, "toxicity-sample")  # 2 x max_per_class ids at most
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_h"))
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).alias("size")
+    found = texts.join(F.broadcast(chosen), "_id").groupBy("_y", "_o", "_id").agg(F.min(F.struct("_h", size)).alias("t"))
+    picked, room = [], {0: MAX_CLASS_BYTES, 1: MAX_CLASS_BYTES}
+    for r in found.orderBy("_o", "_id").collect():
+        if r["t"]["size"] <= room[r["_y"]]:
+            room[r["_y"]] -= r["t"]["size"]
+            picked.append((r["_id"], r["t"]["_h"], r["_y"]))
+    if not picked:
+        return []
+    picked = docs.sparkSession.createDataFrame(picked, known.select("_id", F.lit(0).cast("long").alias("_h"), F.col("_y").cast("int")).schema)
 
     @F.pandas_udf("binary")
     def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([encode(t).tobytes() for t in part])
 
-    # The sample has 2 x max_per_class ids at most.
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("_id", "_y", packed(text_col).alias("words")).collect()
+    # Repeated rows are merged where they are.
+    own = texts.join(F.broadcast(picked), ["_id", "_h"]).groupBy("_id", "_y").agg(F.first("_text").alias("_text"))
+    rows = own.select("_id", "_y", packed("_text").alias("words")).collect()
     seen = sorted((r["_id"], r["_y"], bytes(r["words"])) for r in rows)
     weight = {y: sizes.get(y, 0) / max(1, sum(k[1] == y for k in seen)) for y in (0, 1)}
     return [(i, y, np.frombuffer(b, np.int64), weight[y]) for i, y, b in seen]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = MAX_PER_CLASS, seed: int = 1) -> ConvNet:
-    """Two thirds of the sample train, one third calibrates. Without texts of both classes every raw score is the same, below the threshold unless all labels are 1."""
+    """Two thirds of the sample train, one third calibrates. Without texts of both classes every raw score is the same, below the threshold unless all labels are 1.
+
+    Labels and ids that are null are left out, null and empty texts have no words, and other columns aren't read. Empty tables give that one score.
+    """
     require(docs, [id_col, text_col])
     require(labels, [id_col, label_col])
     text_batches(docs.sparkSession)
@@ -255,6 +276,7 @@ def toxicity_udf(net: ConvNet):
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Score of every document. Null texts score as empty ones, texts of any length are read whole, and equal texts score alike; a score of just 0.7 is toxic."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     net = fit_toxicity(docs, labels)

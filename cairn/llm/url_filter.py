@@ -2,6 +2,9 @@
 
 The trees are trained on the URLs of the table that the rules label. Where those are all of
 one class, the verdict of the method is that class; where there are none, it is ``allow``.
+
+Among the features are statistics of the host's suffix: how many labelled URLs it has and how many of them are allowed. They are
+counted over all labelled URLs, for all suffixes; a training row gets those of the other folds, so it never sees its own label.
 """
 
 from __future__ import annotations
@@ -14,12 +17,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, materialize, require
+from .shared import LOWER, UPPER, materialize, refuse, require
 
 #: Labelled URLs that the trees are fitted on, at most: those with the smallest hashes.
 MAX_TRAINING_ROWS = 100_000
-#: Host suffixes (last two labels) with statistics of their own, at most: the commonest among labelled URLs.
-MAX_SUFFIXES = 256
+#: Folds of the suffix statistics, and how many URLs of the mean class balance each suffix starts with.
+FOLDS, PRIOR_ROWS = 5, 10
 #: Characters whose frequencies give the entropy; all others count as one more symbol.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#=&%+"
 
@@ -96,60 +99,67 @@ def lexical_features() -> dict[str, Column]:
     }
 
 
+def suffix_statistics(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(suffix, rows, allowed), and the same by fold, of rows with ``_suffix``, ``_fold`` and ``label``; both in scratch tables. Partial sums leave no hot suffix."""
+    by_fold = labelled.groupBy("_suffix", "_fold").agg(F.count(F.lit(1)).alias("_fold_rows"), F.sum("label").alias("_fold_allowed"))
+    by_fold = materialize(by_fold, "suffix-folds")
+    return materialize(by_fold.groupBy("_suffix").agg(F.sum("_fold_rows").alias("_rows"), F.sum("_fold_allowed").alias("_allowed")), "suffixes"), by_fold
+
+
 def filter_urls(
-    pages: DataFrame, *, url_col: str = "url", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES,
+    pages: DataFrame, *, url_col: str = "url", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES, learn_from: Column | None = None,
     max_training_rows: int = MAX_TRAINING_ROWS, trees: int = 12, depth: int = 4, seed: int = 6,
 ) -> DataFrame:
     """The columns ``keep`` (all by default) with ``host``, ``path``, ``rule``, ``verdict`` and ``allow_score``.
 
-    ``verdict`` is the rule's, else the trees': allow if their probability is at least a half.
-    Null and malformed URLs have an empty host and path, fit no rule and are judged by the trees.
-    Repeated rows get equal verdicts. An empty table gives an empty result. Columns of ``keep`` must
-    not be called host, path, rule, verdict or allow_score.
+    ``verdict`` is the rule's, else the trees': allow if their probability is at least a half. ``learn_from`` says which
+    rows' labels may be learned; all by default. Null and malformed URLs have an empty host and path, fit no rule and are judged by the
+    trees. URLs may be of any length; the longest rule wins, at equal length that of the longer host, then block. Repeated rows get
+    equal verdicts. An empty table gives an empty result. Columns of ``keep`` with the names of the results are refused.
     """
     require(pages, [url_col])
     keep = pages.columns if keep is None else keep
-    if clash := {"host", "path", "rule", "verdict", "allow_score"} & set(keep):
-        raise ValueError(f"the table already has {sorted(clash)}")
-    base = pages.select(*keep, F.coalesce(F.col(url_col), F.lit("")).alias("_url"))
+    refuse(keep, ["host", "path", "rule", "verdict", "allow_score"])
+    learn = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept"), F.coalesce(F.col(url_col), F.lit("")).alias("_url"), learn.alias("_learn"))
     host, path = split_url(F.col("_url"))
     base = base.withColumns({"host": host, "path": path})
     rule, verdict = apply_rules(rules)
-    base = base.withColumns({"rule": rule, "_rule_verdict": verdict, "_suffix": F.substring_index("host", ".", -2)})
+    base = base.withColumns({"rule": rule, "_rule_verdict": verdict, "_suffix": F.substring_index("host", ".", -2), "_fold": F.pmod(F.xxhash64("_url"), F.lit(FOLDS))})
     features = lexical_features()
     base = base.withColumns({f"_f_{k}": v.cast("double") for k, v in features.items()})
     base = materialize(base, "urls")
 
-    labelled = base.where("_rule_verdict is not null").withColumn("label", (F.col("_rule_verdict") == "allow").cast("double"))
+    labelled = base.where("_learn and _rule_verdict is not null").withColumn("label", (F.col("_rule_verdict") == "allow").cast("double")).drop("_kept")
     seen = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
         only = 0.0 if 0.0 in seen else 1.0
         scored = base.withColumn("allow_score", F.lit(only))
     else:
         prior = seen[1.0] / (seen[0.0] + seen[1.0])
-        suffixes = (
-            labelled.groupBy("_suffix").agg(F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_allowed"))
-            .orderBy(F.desc("_n"), "_suffix").limit(MAX_SUFFIXES)
-            .select("_suffix", F.log1p("_n").alias("_f_suffix_rows"), ((F.col("_allowed") + 10 * prior) / (F.col("_n") + 10)).alias("_f_suffix_allowed"))
-        )
-        suffixes = materialize(suffixes, "suffixes")
+        suffixes, by_fold = suffix_statistics(labelled)
 
-        def with_suffix(df: DataFrame) -> DataFrame:
-            joined = df.join(F.broadcast(suffixes), "_suffix", "left")  # MAX_SUFFIXES rows at most
-            return joined.fillna({"_f_suffix_rows": 0.0, "_f_suffix_allowed": prior})
+        def with_suffix(df: DataFrame, rows: Column, allowed: Column) -> DataFrame:
+            rows, allowed = F.coalesce(rows, F.lit(0)), F.coalesce(allowed, F.lit(0.0))
+            return df.withColumns({"_f_suffix_rows": F.log1p(rows.cast("double")), "_f_suffix_allowed": (allowed + PRIOR_ROWS * prior) / (rows + PRIOR_ROWS)})
 
         inputs = [f"_f_{k}" for k in features] + ["_f_suffix_rows", "_f_suffix_allowed"]
         assembler = VectorAssembler(inputCols=inputs, outputCol="_features")
-        sample = labelled.orderBy(F.xxhash64("_url"), "_url").limit(max_training_rows)
-        train = assembler.transform(with_suffix(sample)).select("_features", "label")
-        train = materialize(train.coalesce(6), "url-training")
+        # Rows of the training sample are few, and its ties are equal URLs.
+        sample = materialize(labelled.orderBy(F.xxhash64("_url"), "_url").limit(max_training_rows), "url-sample")
+        sample = sample.join(by_fold, ["_suffix", "_fold"]).join(suffixes, "_suffix")
+        train = with_suffix(sample, F.col("_rows") - F.col("_fold_rows"), F.col("_allowed") - F.col("_fold_allowed"))
+        train = materialize(assembler.transform(train).select("_features", "label").coalesce(6), "url-training")
         boosted = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.3, seed=seed)
         model = boosted.setPredictionCol("_class").setProbabilityCol("_p").setRawPredictionCol("_raw").fit(train)
-        scored = model.transform(assembler.transform(with_suffix(base))).withColumn("allow_score", vector_to_array("_p")[1])
+        # A row for each suffix: Spark broadcasts them while they are small, and can split a hot suffix otherwise.
+        every = with_suffix(base.join(suffixes, "_suffix", "left"), F.col("_rows"), F.col("_allowed"))
+        scored = model.transform(assembler.transform(every)).withColumn("allow_score", vector_to_array("_p")[1])
     verdict = F.coalesce("_rule_verdict", F.when(F.col("allow_score") >= 0.5, "allow").otherwise("block"))
-    return scored.select(*keep, "host", "path", "rule", verdict.alias("verdict"), "allow_score")
+    return scored.select("_kept.*", "host", "path", "rule", verdict.alias("verdict"), "allow_score")
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; null, malformed, long and repeated URLs as in :func:`filter_urls`."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return filter_urls(pages, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
