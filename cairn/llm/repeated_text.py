@@ -203,9 +203,10 @@ def settled(ranked: DataFrame) -> DataFrame:
     by_rank = Window.partitionBy("rank")
     known = F.col("done").isNotNull()
     differ = [F.min(F.when(~known, F.col(c))).over(by_rank) != F.max(F.when(~known, F.col(c))).over(by_rank) for c in ("one", "two")]
+    # The wider groups come first, so that their exchange serves both.
     judged = (
-        ranked.withColumn("first", F.first(place).over(by_pair))
-        .withColumn("others", differ[0] | differ[1])
+        ranked.withColumn("others", differ[0] | differ[1])
+        .withColumn("first", F.first(place).over(by_pair))
         .withColumn("repeats", place != F.col("first"))
         .where("repeats or others or more_runs is not null or done is not null")
     )
