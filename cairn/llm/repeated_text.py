@@ -272,7 +272,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     doc = F.coalesce(F.col(id_col).cast("long"), no_id)
     unique = docs.groupBy(doc.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     # Zero, but no literal, which would drop out of the join and deal groups by document and tie a second time.
-    zero = F.pmod(doc, F.lit(1)).cast("int")
+    zero = F.coalesce(F.pmod(doc, F.lit(1)), F.lit(0)).cast("int")  # never null, so all joins read the texts alike
     tie = zero if unique else F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     texts = docs.select(doc.alias("_doc"), tie.alias("_tie"), text.alias("_text"))
     copy = F.lit(False)
