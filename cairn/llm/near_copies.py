@@ -157,7 +157,9 @@ def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
             rest = materialize(verified(materialize(all_pairs(crowd), "near-pairs"), texts), "near-links")
             return links.unionByName(rest)
         own = crowd.groupBy("_row").agg(F.first("size").alias("size"), F.first("comp").alias("comp"))
-        sketched = texts.join(own, "_row").select("_row", "size", "comp", sketch_udf(round_no + 1)("_text").alias("s"))
+        # A table of these rows alone: within one plan the new bands would be made for all rows, below the join.
+        held = materialize(texts.join(materialize(own, "near-own"), "_row"), "near-texts")
+        sketched = held.select("_row", "size", "comp", sketch_udf(round_no + 1)("_text").alias("s"))
         spread = sketched.select(F.explode("s.bands").alias("key"), "_row", "size", "comp")
     return links
 
