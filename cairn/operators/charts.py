@@ -50,9 +50,9 @@ def line(df: DataFrame, x: str, y: str, bucket: str | None = None) -> DataFrame:
     return df.groupBy(F.date_trunc(bucket, F.col(x)).cast("date").alias("x")).agg(F.round(F.sum(y), 2).alias("y")).orderBy("x")
 
 
-def box(df: DataFrame, column: str) -> DataFrame:
+def box(df: DataFrame, column: str, *, exact: bool = True) -> DataFrame:
     """(stat, value): quartiles, whiskers to the furthest values within 1.5 interquartile ranges, number of fliers."""
-    rows = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(bounds(df, [column])))
+    rows = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(bounds(df, [column], exact)))
     low, high = fences(column)
     inside = F.col(column).between(low, high)
     row = rows.agg(F.first("_s").alias("_s"), F.min(F.when(inside, F.col(column))).cast("double").alias("lo"), F.max(F.when(inside, F.col(column))).cast("double").alias("hi"), F.count_if(~inside).cast("double").alias("fliers"))
@@ -65,3 +65,34 @@ def chart_type(df: DataFrame) -> str:
     if len(with_role(df, "numeric")) >= 2:
         return "scatter"
     return "bar" if with_role(df, "text") else "line"
+
+
+def default_columns(df: DataFrame, kind: str, x: str | None = None, y: str | None = None) -> dict[str, str]:
+    """The columns of a chart: ``x`` and ``y`` where the table has them, else the first that fit.
+
+    histogram and box: the first numeric column; scatter: the first two; bar and pie: the first text column, else the first column; line: the first column over
+    the first numeric one.
+    """
+    numeric, texts = with_role(df, "numeric"), with_role(df, "text")
+    least = {"histogram": 1, "box": 1, "scatter": 2, "line": 1}.get(kind, 0)
+    if len(numeric) < least:
+        raise ValueError(f"a {kind} chart needs {least} numeric column(s); the table has {numeric}")
+    own = lambda c, other: c if c in df.columns else other
+    if kind in ("histogram", "box"):
+        return {"column": own(x, numeric[0])}
+    if kind == "scatter":
+        return {"x": own(x, numeric[0]), "y": own(y, numeric[1])}
+    if kind == "line":
+        return {"x": own(x, df.columns[0]), "y": own(y, numeric[0])}
+    return {"column": own(x, texts[0] if texts else df.columns[0])}
+
+
+def auto_chart(df: DataFrame, kind: str | None = None, x: str | None = None, y: str | None = None, **more) -> DataFrame:
+    """The series of a chart, of the kind and columns that fit the table unless given; ``more`` goes to its function."""
+    kind = kind or chart_type(df)
+    makers = {"histogram": histogram, "scatter": scatter, "bar": bar, "pie": pie, "line": line, "box": box}
+    if kind not in makers:
+        raise ValueError(f"unknown chart {kind!r}; there are {', '.join(makers)}")
+    if kind == "scatter":
+        more.setdefault("key", df.columns[0])
+    return makers[kind](df, **default_columns(df, kind, x, y), **more)

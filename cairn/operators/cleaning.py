@@ -7,11 +7,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import DATE_HINTS, roles, standardise_names, with_role
 from ..functions.values import currency_number, looks_numeric, to_date
 from .anomalies import iqr_counts, zscore_counts
-from .describe import melt, nulls_by_column
+from .describe import categorical_profile, melt, nulls_by_column, stats_row
 
 ACTIONS = "step string, column string, action string, n long"
 Step = Callable[[DataFrame], tuple[DataFrame, DataFrame | None]]
@@ -67,8 +68,21 @@ def fix_types(df: DataFrame, *, min_number_ratio: float = 1.0, min_date_ratio: f
 
 
 def drop_duplicates(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    n = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"))
-    return df.dropDuplicates(), actions(n.select(F.lit(None).cast("string").alias("column"), "n"), "duplicates", "removed")
+    """Distinct rows, and how many went. The rows are grouped once: they are kept (memory, then disk) for the steps that follow."""
+    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    n = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n"))
+    return groups.drop("_n"), actions(n.select(F.lit(None).cast("string").alias("column"), "n"), "duplicates", "removed")
+
+
+def fillers(df: DataFrame, numeric: Sequence[str], texts: Sequence[str]) -> dict:
+    """The median of numeric columns, the commonest value of text columns (ties: the smallest); both by counts, so no task holds all values of a column."""
+    out = {}
+    if numeric:
+        row = stats_row(df, numeric).first()
+        out |= {c: row[c]["p50"] for c in numeric}
+    if texts:
+        out |= {r["column"]: r["top_value"] for r in categorical_profile(df, texts).collect()}  # a row for each column
+    return out
 
 
 def impute(df: DataFrame, form: str = "v1") -> tuple[DataFrame, DataFrame | None]:
@@ -79,11 +93,11 @@ def impute(df: DataFrame, form: str = "v1") -> tuple[DataFrame, DataFrame | None
     r = {c: k for c, k in roles(df).items() if k in ("numeric", "text")}
     if not r:
         return df, None
-    row = df.agg(*[(F.percentile(c, 0.5) if k == "numeric" else F.mode(c, True)).alias(c) for c, k in r.items()]).first()
+    known = fillers(df, [c for c, k in r.items() if k == "numeric"], [c for c, k in r.items() if k == "text"])
     types = dict(df.dtypes)
     fill = {}
     for c, k in r.items():
-        value = row[c] if row[c] is not None else {"v1": {"numeric": 0.0, "text": "Unknown"}, "v2": {"numeric": None, "text": ""}}[form][k]
+        value = known[c] if known.get(c) is not None else {"v1": {"numeric": 0.0, "text": "Unknown"}, "v2": {"numeric": None, "text": ""}}[form][k]
         if value is not None:
             fill[c] = F.coalesce(F.col(c).cast("double"), F.lit(value)) if k == "numeric" and types[c] in ("int", "bigint", "smallint", "tinyint") and value != int(value) else F.coalesce(F.col(c), F.lit(value).cast(types[c]))
     filled = nulls_by_column(df).where(F.col("column").isin(*fill)).select("column", F.col("n_null").alias("n"))

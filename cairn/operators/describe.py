@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import roles, with_role
 
@@ -19,21 +20,57 @@ def melt(row: DataFrame, names: Sequence[str], rows: list[tuple]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(*[lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in rows])).alias("r")).select("r.*")
 
 
-def quartiles(c: str, exact: bool = True) -> Column:
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    return F.percentile(c, at) if exact else F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)
+#: Fixed by the report: the shares of the quartiles. SKETCH bounds the error of the brackets that exact ones are sought in.
+SHARES, SKETCH = (0.25, 0.5, 0.75), 10_000
+
+
+def number(c: str) -> Column:
+    return F.col(f"`{c}`").cast("double")
+
+
+def moments_row(df: DataFrame, columns: Sequence[str], exact: bool) -> DataFrame:
+    """One row with a struct for each column: count, mean, std, min, max and ``q``, approximate quartiles or the edges of the brackets around each."""
+    shares = [min(1.0, max(0.0, p + d)) for p in SHARES for d in (-2 / SKETCH, 2 / SKETCH)] if exact else list(SHARES)
+    return df.agg(*[F.struct(
+        F.count(f"`{c}`").cast("double").alias("count"), F.avg(f"`{c}`").alias("mean"), F.stddev_samp(f"`{c}`").alias("std"), F.min(f"`{c}`").cast("double").alias("min"),
+        F.max(f"`{c}`").cast("double").alias("max"), F.percentile_approx(number(c), shares, SKETCH).alias("q")).alias(c) for c in columns])
 
 
 def stats_row(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """One row with a struct of STATS for each column."""
-    aggs = []
-    for c in columns:
-        q = quartiles(c, exact)
-        aggs.append(F.struct(
-            F.count(c).cast("double").alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-            F.get(q, F.lit(0)).cast("double").alias("p25"), F.get(q, F.lit(1)).cast("double").alias("p50"), F.get(q, F.lit(2)).cast("double").alias("p75"), F.max(c).cast("double").alias("max"),
-        ).alias(c))
-    return df.agg(*aggs)
+    """One row with a struct of STATS for each column.
+
+    Exact quartiles take a second pass. A sketch of bounded size brackets each; values within the brackets are counted one by one, all
+    others by the interval between brackets, so no task holds the distinct values of a column. Running counts then give the ranks.
+    """
+    row = moments_row(df, columns, exact)
+    own = lambda c, s: F.col(f"`{c}`.{s}")
+    if not exact:
+        return row.select(*[F.struct(*[own(c, s).alias(s) for s in ("count", "mean", "std", "min")], *[F.get(own(c, "q"), F.lit(k)).alias(p) for k, p in enumerate(("p25", "p50", "p75"))], own(c, "max").alias("max")).alias(c) for c in columns])
+    edges = row.select(*[F.get(own(c, "q"), F.lit(i)).alias(f"_e{k}_{i}") for k, c in enumerate(columns) for i in range(6)])
+    held = df.select(*[number(c).alias(f"_v{k}") for k, c in enumerate(columns)]).crossJoin(F.broadcast(edges))  # one row
+    cells = []
+    for k in range(len(columns)):
+        v, edge = F.col(f"_v{k}"), [F.col(f"_e{k}_{i}") for i in range(6)]
+        # Even zones lie between brackets. Brackets may overlap or be one value.
+        zone = F.when(v < edge[0], 0).when(v <= edge[1], 1).when(v < edge[2], 2).when(v <= edge[3], 3).when(v < edge[4], 4).when(v <= edge[5], 5).otherwise(6)
+        cells.append(F.struct(F.lit(k).alias("k"), v.alias("v"), zone.alias("zone")))
+    cells = held.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("v is not null")
+    groups = cells.groupBy("k", "zone", F.when(F.col("zone") % 2 == 1, F.col("v")).alias("kept")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    by_value = Window.partitionBy("k").orderBy("low")
+    ranked = groups.withColumn("stop", F.sum("n").over(by_value.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(Window.partitionBy("k")))
+    # A rank is in a bracket, or next to one: the first or last of an interval.
+    at = lambda rank: F.max(F.when((F.col("stop") > rank) & (F.col("stop") - F.col("n") <= rank), F.when(F.col("stop") - F.col("n") == rank, F.col("low")).otherwise(F.col("high"))))
+    ends = []
+    for p in SHARES:
+        place = (F.col("total") - 1) * p
+        ends += [at(F.floor(place)), at(F.floor(place) + 1), F.max(place - F.floor(place))]
+    found = ranked.groupBy("k").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)])
+    between = [(F.col(f"e{i}") + F.coalesce((F.col(f"e{i + 1}") - F.col(f"e{i}")) * F.col(f"e{i + 2}"), F.lit(0.0))).alias(p) for i, p in zip((0, 3, 6), ("p25", "p50", "p75"), strict=True)]
+    found = found.select(F.struct("k", F.struct(*between).alias("q")).alias("e")).agg(F.map_from_entries(F.collect_list("e")).alias("_q"))  # a row for each column
+    quartile = lambda k, p: F.try_element_at("_q", F.lit(k)).getField(p)
+    return row.crossJoin(F.broadcast(found)).select(*[
+        F.struct(*[own(c, s).alias(s) for s in ("count", "mean", "std", "min")], *[quartile(k, p).alias(p) for p in ("p25", "p50", "p75")], own(c, "max").alias("max")).alias(c)
+        for k, c in enumerate(columns)])
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, *, exact: bool = True, digits: int = 4) -> DataFrame:

@@ -18,12 +18,15 @@ from .describe import melt
 
 
 def positions(df: DataFrame, bucket: str, key: str, value: str) -> DataFrame:
-    """(x, y): place 0, 1, ... by (bucket, key). Buckets are counted and summed up, so no task sorts all rows."""
+    """(x, y): place 0, 1, ... by (bucket, key). Days are counted and summed up, so no task sorts all rows, nor all time stamps; a bucket that is no date counts as its value's whole part."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(bucket).alias("b"), F.col(key).alias("k"), F.col(value).cast("double").alias("y"))
-    sizes = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("o"))
-    inner = F.row_number().over(Window.partitionBy("b").orderBy("k")) - 1
-    return rows.withColumn("i", inner).join(offsets, "b").select((F.col("i") + F.col("o")).cast("double").alias("x"), "y")
+    day = F.col("b").cast("date") if roles(df)[bucket] == "date" else F.floor(F.col("b").cast("double"))
+    rows = rows.withColumn("d", day)
+    sizes = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("d", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("d")) - F.col("n")).alias("o"))  # a row for each day
+    inner = F.row_number().over(Window.partitionBy("d").orderBy("b", "k")) - 1
+    same = F.col("r.d").eqNullSafe(F.col("s.d"))
+    return rows.withColumn("i", inner).alias("r").join(offsets.alias("s"), same).select((F.col("i") + F.col("o")).cast("double").alias("x"), "y")
 
 
 def fit_row(points: DataFrame) -> DataFrame:
@@ -45,28 +48,49 @@ def forecast_stats(df: DataFrame, target: str, date: str, key: str, periods: int
     return melt(fit, ("metric", "value"), [("n", F.col("n").cast("double")), ("slope", r(F.col("slope"))), ("intercept", r(F.col("intercept"), 4)), ("last_value", F.col("last")), ("up", (F.col("slope") > 0).cast("double")), ("change_pct", r(F.try_divide(end - F.col("last"), F.col("last")) * 100, 4))])
 
 
+#: A numeric target of so many distinct values at most is a class; a model needs so many complete rows.
+MAX_CLASSES, LEAST_ROWS = 10, 10
+
+
 def choose_target(df: DataFrame, target: str | None = None) -> str:
+    """``target`` if the table has it, else the last of two or more numeric columns, else the first text column."""
     r = roles(df)
     numeric = [c for c, k in r.items() if k == "numeric"]
     if target in r:
         return target
-    return numeric[-1] if len(numeric) >= 2 else next(c for c, k in r.items() if k == "text")
+    found = numeric[-1] if len(numeric) >= 2 else next((c for c, k in r.items() if k == "text"), None)
+    if found is None:
+        raise ValueError("a prediction needs two numeric columns or a text column")
+    return found
+
+
+def is_class(df: DataFrame, target: str) -> bool:
+    """Whether a target is a class: text, or at most MAX_CLASSES distinct values."""
+    return roles(df)[target] == "text" or df.select(target).where(F.col(target).isNotNull()).distinct().limit(MAX_CLASSES + 1).count() <= MAX_CLASSES
+
 
+def prepared(df: DataFrame, target: str, features: Sequence[str], key: str, classes: bool = False):
+    """Rows with complete numeric features and an assembled vector; every fifth key hash is test data.
 
-def prepared(df: DataFrame, target: str, features: Sequence[str], key: str):
-    """Complete rows with an assembled vector; every fifth key hash is test data."""
+    Text is coded by the order of its values, a missing one as the text "nan". So is the missing target of a classification; a regression drops it.
+    """
     r = roles(df)
-    rows = df.dropna(subset=[target, *[c for c in features if r[c] == "numeric"]]).withColumn("_test", F.pmod(F.xxhash64(key), F.lit(5)) == 0)
+    rows = df.dropna(subset=[*([] if classes else [target]), *[c for c in features if r[c] == "numeric"]]).withColumn("_test", F.pmod(F.xxhash64(key), F.lit(5)) == 0)
+    if classes:
+        rows = rows.withColumn(target, F.coalesce(F.col(target).cast("string"), F.lit("nan")))
     texts = [c for c in features if r[c] == "text"]
     rows = rows.fillna("nan", texts) if texts else rows
+    n = {x["_test"]: x["n"] for x in rows.groupBy("_test").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(n.values()) < LEAST_ROWS:
+        raise ValueError(f"a prediction needs at least {LEAST_ROWS} complete rows; there are {sum(n.values())}")
     stages = [StringIndexer(inputCols=texts, outputCols=[f"_x_{c}" for c in texts], stringOrderType="alphabetAsc", handleInvalid="keep")] if texts else []
     stages.append(VectorAssembler(inputCols=[f"_x_{c}" if c in texts else c for c in features], outputCol="_features"))
-    return rows, stages
+    return rows, stages, n
 
 
 def predict_regression(df: DataFrame, target: str, features: Sequence[str], key: str) -> DataFrame:
-    """(metric, value): r2, mse, intercept and a coefficient for each feature, over held-out rows; needs 10 rows."""
-    rows, stages = prepared(df, target, features, key)
+    """(metric, value): r2, mse, intercept and a coefficient for each feature, over held-out rows; an error for fewer than 10 complete rows."""
+    rows, stages, _ = prepared(df, target, features, key)
     model = Pipeline(stages=[*stages, LinearRegression(featuresCol="_features", labelCol=target, solver="normal")]).fit(rows.where("not _test"))
     scored = model.transform(rows.where("_test"))
     of = lambda m: RegressionEvaluator(labelCol=target, metricName=m).evaluate(scored)
@@ -76,12 +100,28 @@ def predict_regression(df: DataFrame, target: str, features: Sequence[str], key:
 
 
 def predict_classification(df: DataFrame, target: str, features: Sequence[str], key: str) -> DataFrame:
-    """(metric, value): accuracy over held-out rows, classes, rows of either part."""
-    rows, stages = prepared(df, target, features, key)
-    stages.append(StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"))
+    """(metric, value): accuracy over held-out rows, classes of all rows, rows of either part; an error for fewer than 10 complete rows."""
+    rows, stages, n = prepared(df, target, features, key, classes=True)
+    # The indexer sees all rows, so no class of the test part is unknown.
+    labels = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="error").fit(rows)
+    rows = labels.transform(rows)
     model = Pipeline(stages=[*stages, LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=50, regParam=0.01)]).fit(rows.where("not _test"))
     scored = model.transform(rows.where("_test"))
     accuracy = MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy").evaluate(scored)
-    n = {r["_test"]: r["n"] for r in rows.groupBy("_test").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = [("accuracy", accuracy), ("classes", model.stages[-1].numClasses), ("train_rows", n.get(False, 0)), ("test_rows", n.get(True, 0))]
+    out = [("accuracy", accuracy), ("classes", len(labels.labels)), ("train_rows", n.get(False, 0)), ("test_rows", n.get(True, 0))]
     return df.sparkSession.createDataFrame([(m, float(v)) for m, v in out], "metric string, value double")
+
+
+def predict(df: DataFrame, target: str | None = None, *, key: str | None = None) -> DataFrame:
+    """(task, target, metric, value) of a model that chooses its target, its task and, from all other numeric and text columns, its features.
+
+    ``key`` (by default the first column) only deals rows to the training and the test part.
+    """
+    target = choose_target(df, target)
+    r = roles(df)
+    features = [c for c in df.columns if c != target and r[c] in ("numeric", "text")]
+    if not features:
+        raise ValueError("a prediction needs a feature besides its target")
+    task = "classification" if is_class(df, target) else "regression"
+    made = {"classification": predict_classification, "regression": predict_regression}[task](df, target, features, key or df.columns[0])
+    return made.select(F.lit(task).alias("task"), F.lit(target).alias("target"), "metric", "value")

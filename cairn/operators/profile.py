@@ -20,7 +20,10 @@ def grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def duplicate_analysis(df: DataFrame, *, id_columns: Sequence[str] | None = None, name_columns: Sequence[str] | None = None) -> DataFrame:
-    """(kind, n): rows in any group of repeats, repeats after the first, repeats over the id and over the name columns."""
+    """(kind, n): rows in any group of repeats, repeats after the first, repeats over the id and over the name columns.
+
+    Unless given, those are the columns with "id" or "name" anywhere in their names, ``paid`` and ``width`` among them.
+    """
     ids = list(id_columns if id_columns is not None else [c for c in df.columns if "id" in c.lower()])
     names = list(name_columns if name_columns is not None else [c for c in df.columns if "name" in c.lower()])
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")

@@ -7,14 +7,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
 
-from ..operators import charts, cleaning, describe, insights, profile
+from ..functions.columns import with_role
+from ..operators import charts, cleaning, describe, insights, models, profile
 
 ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "describe": describe.describe, "nulls": describe.nulls_by_column, "correlation": describe.correlation_pairs, "unique": describe.unique_counts,
     "overview": describe.overview, "metrics": describe.key_metrics, "profile": profile.column_profile, "duplicates": profile.duplicate_analysis,
     "quality": profile.quality, "recommendations": profile.recommendations, "summary_insights": insights.summary_insights,
+    "chart": charts.auto_chart, "predict": models.predict,
 }
 
 
@@ -36,21 +39,71 @@ def over_tables(tables: dict[str, DataFrame], analysis: Callable[[DataFrame], Da
     return reduce(DataFrame.unionByName, [analysis(df).withColumn("table_name", F.lit(name)) for name, df in tables.items()])
 
 
-def upload_profile(df: DataFrame) -> DataFrame:
-    """(section, item, value): overview, missing cells, numeric profile, duplicates and quality before and after cleaning."""
-    value = F.col("value").cast("double").alias("value")
-    cleaned, _ = cleaning.clean(df, cleaning.V2)
+PROFILE = ("section", "item", "metric", "value", "text")
+
+
+def entries(df: DataFrame, section: str, item, metric, value=None, text=None) -> DataFrame:
+    """Rows of (section, item, metric, value, text); strings are column names, other values are taken as they are."""
+    col = lambda x: F.lit(x) if x is None else F.col(x) if isinstance(x, str) else x
+    return df.select(F.lit(section).alias("section"), col(item).cast("string").alias("item"), col(metric).cast("string").alias("metric"), col(value).cast("double").alias("value"), col(text).cast("string").alias("text"))
+
+
+def cells(df: DataFrame, section: str, order_by: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows by ``order_by`` (a report), one entry for each cell: the row's number, the column and the value as text."""
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order_by))  # of n rows
+    rows = df.orderBy(*order_by).limit(n).withColumn("_row", number)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("text")) for c in df.columns])
+    return entries(rows.select("_row", F.explode(pairs).alias("c")).select("_row", "c.*"), section, "_row", "column", None, "text")
+
+
+def summary(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
+    """(section, item, metric, value, text): shape, types, statistics of numeric and of text columns, missing cells, and the first ``n`` rows by ``order_by``."""
+    shape = describe.overview(df).where("metric in ('rows', 'columns')")
+    types = df.limit(1).agg(F.count(F.lit(1))).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype")) for c, t in df.dtypes])).alias("d")).select("d.*")
+    parts = [
+        entries(shape, "shape", None, "metric", "value"),
+        entries(types, "dtypes", "column", F.lit("dtype"), None, "dtype"),
+        entries(describe.nulls_by_column(df), "nulls", "column", F.lit("n_null"), "n_null"),
+        cells(df, "head", order_by, n),
+    ]
+    if with_role(df, "numeric"):
+        parts.append(entries(describe.describe(df), "describe", "column", "stat", "value"))
+    if with_role(df, "text"):
+        parts += categories(df, "describe")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def categories(df: DataFrame, section: str) -> list[DataFrame]:
+    """Entries of the number of values of each text column, and of its commonest with its count."""
+    top = describe.categorical_profile(df)
+    return [entries(top, section, "column", F.lit("unique"), "n_categories"), entries(top, section, "column", F.lit("top"), "top_n", "top_value")]
+
+
+def upload_profile(df: DataFrame, order_by: Sequence[str], *, preview: int = 20) -> DataFrame:
+    """(section, item, metric, value, text): all that is said of a new table.
+
+    Overview, columns (type, missing cells, distinct values), numeric and text columns, repeats, quality before and after cleaning with what the
+    cleaning did, recommendations, and the first ``preview`` rows by ``order_by``.
+    """
+    cleaned, done = cleaning.clean(df, cleaning.V2)
+    columns = profile.column_profile(df)
     parts = [
-        describe.overview(df).select(F.lit("overview").alias("section"), F.col("metric").alias("item"), value),
-        describe.nulls_by_column(df).select(F.lit("missing").alias("section"), F.col("column").alias("item"), F.col("n_null").cast("double").alias("value")),
-        profile.duplicate_analysis(df).select(F.lit("duplicates").alias("section"), F.col("kind").alias("item"), F.col("n").cast("double").alias("value")),
-        profile.quality(df, "clean").select(F.lit("quality").alias("section"), F.lit("before").alias("item"), F.col("score").cast("double").alias("value")),
-        profile.quality(cleaned, "clean").select(F.lit("quality").alias("section"), F.lit("after").alias("item"), F.col("score").cast("double").alias("value")),
+        entries(describe.overview(df), "overview", None, "metric", "value"),
+        *[entries(columns, "columns", "column", F.lit(m), m, "dtype") for m in ("n_null", "pct", "n_unique")],
+        entries(profile.duplicate_analysis(df), "duplicates", None, "kind", "n"),
+        entries(profile.quality(df, "clean"), "quality", None, F.lit("before"), "score"),
+        entries(profile.quality(cleaned, "clean"), "quality", None, F.lit("after"), "score"),
+        entries(done, "cleaning", "column", F.concat_ws(".", "step", "action"), "n"),
+        entries(profile.recommendations(df), "recommendations", "column", F.lit("priority"), "priority", "text"),
+        cells(df, "preview", order_by, preview),
     ]
+    if with_role(df, "numeric"):
+        parts.append(entries(describe.describe(df), "numeric", "column", "stat", "value"))
+    if with_role(df, "text"):
+        parts += categories(df, "categorical")
     return reduce(DataFrame.unionByName, parts)
 
 
 def chart(df: DataFrame, kind: str | None = None, **arguments) -> DataFrame:
-    """The series of a chart, of the kind that fits the table unless given."""
-    makers = {"histogram": charts.histogram, "scatter": charts.scatter, "bar": charts.bar, "pie": charts.pie, "line": charts.line, "box": charts.box}
-    return makers[kind or charts.chart_type(df)](df, **arguments)
+    """The series of a chart, of the kind and columns that fit the table unless given."""
+    return charts.auto_chart(df, kind, **arguments)

@@ -303,6 +303,16 @@ def anomalies_rows(s, d):
     return an.anomalies_rows(table(s, d, "events"), "value", ["event_id"])
 
 
+def odd_rows_sql(column: str, key: str, source: str) -> str:
+    fence = f"(SELECT count({column}) AS k, avg({column}) AS m, stddev_samp({column}) AS sd, quantile_cont({column}, 0.25) AS q1, quantile_cont({column}, 0.75) AS q3 FROM {source})"
+    return f"SELECT * FROM (SELECT '{column}' AS \"column\", {key}, {column}::DOUBLE AS value FROM {source}, {fence} WHERE {ODD_SQL.replace('value', column)} ORDER BY {key} LIMIT 20)"
+
+
+@query(union_sql(odd_rows_sql(c, "event_id", "events") for c in ("user_id", "value")))
+def anomalies_all(s, d):
+    return an.anomalies_all(table(s, d, "events").drop("props"), ["event_id"])
+
+
 @query("SELECT event_id, value, round((value - m) / sd, 4) AS z_score FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM events) WHERE abs(round((value - m) / sd, 4)) > 2.5")
 def txn_anomalies(s, d):
     return an.txn_anomalies(table(s, d, "events").select("event_id", "value"), "value")
@@ -403,6 +413,11 @@ def scatter(s, d):
     return ch.scatter(table(s, d, "part"), "p_size", "p_retailprice", "p_partkey")
 
 
+@query("SELECT p_partkey AS x, p_size AS y FROM part ORDER BY md5(p_partkey::VARCHAR), p_partkey LIMIT 1000")
+def chart_auto(s, d):
+    return pl.chart(table(s, d, "part"))
+
+
 @query("SELECT c_nationkey::VARCHAR AS value, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 def bar15(s, d):
     return ch.bar(table(s, d, "customer"), "c_nationkey")
@@ -484,7 +499,8 @@ def statement_lines(s, d) -> DataFrame:
     return e.select(F.col("user_id").alias("statement_id"), F.posexplode(parts).alias("k", "text"), "event_id").select("statement_id", (F.col("event_id") * 4 + F.col("k")).alias("line_no"), "text")
 
 
-@query("SELECT *, score >= 2 AS is_statement FROM (SELECT user_id AS statement_id, (max((event_id * 4 + 1 <= 200 AND event_id % 3 <> 0)::INT) + max((event_id * 4 + 1 <= 200 AND event_id % 3 = 0)::INT))::INT AS score FROM events WHERE event_id * 4 <= 200 GROUP BY 1)")
+@query("""SELECT *, score >= 2 AS is_statement FROM (SELECT user_id AS statement_id, (max((event_id % 3 <> 0)::INT) + max((event_id % 3 = 0)::INT))::INT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events) WHERE nth <= 50 GROUP BY 1)""")
 def statement_detect(s, d):
     return st.detect_statements(statement_lines(s, d))
 
@@ -519,15 +535,37 @@ def predict_classification(s, d):
     return md.predict_classification(table(s, d, "events").select("event_id", "user_id", "event_type", "value"), "event_type", ["value", "user_id"], "event_id")
 
 
-# -- compositions -------------------------------------------------------------
+@query()
+def predict_auto(s, d):
+    return md.predict(table(s, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_extendedprice"))
 
 
-@query()
+# -- compositions -------------------------------------------------------------
+
+_NUMBERS, _FIRST_LAST = ("o_orderkey", "o_custkey", "o_totalprice"), "o_orderdate, o_orderkey"
+_METRIC_NAMES = "['rows', 'columns', 'numeric_columns', 'text_columns', 'missing_cells', 'repeated_rows']"
+ORDERS_OVERVIEW_SQL = f"(SELECT unnest({_METRIC_NAMES}) AS metric, unnest([count(*), 6, 3, 2, 0, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders))]) AS value FROM orders)"
+_ENDS_SQL = union_sql(f"SELECT '{c}' AS c, (SELECT {c} FROM orders ORDER BY {_FIRST_LAST} LIMIT 1)::DOUBLE AS a, (SELECT {c} FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)::DOUBLE AS b" for c in _NUMBERS)
+_TOTALS_SQL = union_sql(f"SELECT '{c}' AS c, round(sum({c}), 2)::DOUBLE AS v FROM orders" for c in _NUMBERS)
+_ODD_COUNTS_SQL = union_sql(f"SELECT '{c}' AS c, count(*) FILTER (abs(({c} - m) / nullif(sd, 0)) > 3) AS n FROM orders, (SELECT avg({c}) AS m, stddev_samp({c}) AS sd FROM orders)" for c in _NUMBERS)
+INSIGHTS_SQL = f"""SELECT 1 AS seq, 'overview' AS kind, NULL::VARCHAR AS "column", metric, value::DOUBLE AS value, metric || ': ' || value AS text FROM {ORDERS_OVERVIEW_SQL}
+UNION ALL SELECT * FROM (SELECT 2, 'driver', c, 'total', v, c || ' has the largest total' FROM ({_TOTALS_SQL}) ORDER BY v DESC, c LIMIT 1)
+UNION ALL SELECT 3, 'trend', c, 'change_pct', p, c || ' went ' || CASE WHEN b > a THEN 'up' WHEN b < a THEN 'down' ELSE 'flat' END FROM (SELECT *, round((b - a) / abs(a) * 100, 2) AS p FROM ({_ENDS_SQL})) WHERE abs(p) > 20
+UNION ALL SELECT * FROM (SELECT 4, 'correlation', col_a || '~' || col_b, 'r', r, col_a || ' and ' || col_b || ' move together' FROM (SELECT * FROM ({corr_sql(_NUMBERS, "orders")}) WHERE r IS NOT NULL ORDER BY abs(r) DESC, col_a, col_b LIMIT 1) WHERE abs(r) >= 0.5)
+UNION ALL SELECT 5, 'anomaly', c, 'outliers', n, c || ' has ' || n || ' outliers' FROM ({_ODD_COUNTS_SQL}) WHERE n > 0
+UNION ALL SELECT * FROM (SELECT 6, 'category', "column", 'categories', n_categories, "column" || ' has the most values, ' || top_value || ' leads' FROM ({categorical_sql(("o_orderstatus", "o_orderpriority"), "orders")}) ORDER BY n_categories DESC, "column" LIMIT 1)"""
+_KEY_SQL = union_sql(f"SELECT '{c}' AS c, '{m}' AS m, round({f}({c}), 2)::DOUBLE + 0.0 AS v FROM orders" for c in _NUMBERS for m, f in (("total", "sum"), ("average", "avg"), ("min", "min"), ("max", "max")))
+REPORT_SQL = f"""SELECT 'overview' AS section, metric AS item, value::DOUBLE AS value FROM {ORDERS_OVERVIEW_SQL}
+UNION ALL SELECT 'key_metrics', c || '.' || m, v FROM ({_KEY_SQL})
+UNION ALL SELECT 'insights', concat_ws('.', kind, "column", metric), value FROM ({INSIGHTS_SQL}) WHERE seq > 1"""
+
+
+@query(INSIGHTS_SQL)
 def insights(s, d):
     return ins.insights(table(s, d, "orders"), ["o_orderdate", "o_orderkey"])
 
 
-@query()
+@query(REPORT_SQL)
 def report(s, d):
     return ins.report(table(s, d, "orders"), ["o_orderdate", "o_orderkey"])
 
@@ -540,9 +578,49 @@ def summary_insights(s, d):
     return ins.summary_insights(table(s, d, "orders"))
 
 
-@query()
+_COLUMNS = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_totalprice", "double"), ("o_orderpriority", "string"))
+_REPEAT_NAMES = [c for c, _ in _COLUMNS]
+
+
+def entries_sql(section: str, source: str, item: str = "NULL::VARCHAR", metric: str = "metric", value: str = "NULL::DOUBLE", text: str = "NULL::VARCHAR") -> str:
+    return f"SELECT '{section}' AS section, {item} AS item, {metric} AS metric, ({value})::DOUBLE AS value, {text} AS text FROM ({source})"
+
+
+def cells_sql(section: str, n: int, source: str) -> str:
+    rows = f"SELECT *, row_number() OVER (ORDER BY o_orderkey, o_custkey) AS r FROM {source} ORDER BY o_orderkey, o_custkey LIMIT {n}"
+    return union_sql(f"SELECT '{section}', r::VARCHAR, '{c}', NULL::DOUBLE, {c}::VARCHAR FROM ({rows})" for c in _REPEAT_NAMES)
+
+
+def categories_sql(section: str, source: str) -> str:
+    top = categorical_sql(("o_orderpriority",), source)
+    return union_sql((entries_sql(section, top, '"column"', "'unique'", "n_categories"), entries_sql(section, top, '"column"', "'top'", "top_n", "top_value")))
+
+
+_PROFILE_SQL = union_sql(f"SELECT '{c}' AS c, '{t}' AS t, count(*) - count({c}) AS n_null, round((count(*) - count({c})) * 100.0 / count(*), 2)::DOUBLE AS pct, count(DISTINCT {c}) AS n_unique FROM {REPEATS_SQL}" for c, t in _COLUMNS)
+_GROUPS_SQL = f"(SELECT count(*) AS n FROM {REPEATS_SQL} GROUP BY o_orderkey, o_custkey, o_totalprice, o_orderpriority)"
+_CLEAN_FENCE = union_sql(f"SELECT '{c}' AS c, count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS n FROM ({ORACLES['clean_v2']}), (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM ({ORACLES['clean_v2']}))" for c in _REPEAT_NAMES[:3])
+
+
+@query(union_sql((
+    entries_sql("shape", f"SELECT unnest(['rows', 'columns']) AS metric, unnest([count(*), 4]) AS value FROM {REPEATS_SQL}", value="value"),
+    entries_sql("dtypes", union_sql(f"SELECT '{c}' AS c, '{t}' AS t" for c, t in _COLUMNS), "c", "'dtype'", text="t"),
+    entries_sql("nulls", _PROFILE_SQL, "c", "'n_null'", "n_null"), cells_sql("head", 10, REPEATS_SQL),
+    entries_sql("describe", describe_sql(_REPEAT_NAMES[:3], REPEATS_SQL), '"column"', "stat", "value"), categories_sql("describe", REPEATS_SQL))))
+def summary(s, d):
+    return pl.summary(orders_repeats(s, d), ["o_orderkey", "o_custkey"])
+
+
+@query(union_sql((
+    entries_sql("overview", ORACLES["overview"], value="value"), *[entries_sql("columns", _PROFILE_SQL, "c", f"'{m}'", m, "t") for m in ("n_null", "pct", "n_unique")],
+    entries_sql("duplicates", f"SELECT sum(n) FILTER (n > 1) AS g, sum(n - 1) AS p FROM {_GROUPS_SQL}", metric="'rows_in_groups'", value="coalesce(g, 0)"),
+    entries_sql("duplicates", f"SELECT sum(n - 1) AS p FROM {_GROUPS_SQL}", metric="'repeats'", value="p"),
+    entries_sql("quality", ORACLES["quality_clean"], metric="'before'", value="score"),
+    entries_sql("quality", ORACLES["quality_clean"].replace(REPEATS_SQL, f"({ORACLES['clean_v2']})"), metric="'after'", value="score"),
+    entries_sql("cleaning", ORACLES["clean_report"], '"column"', "step || '.' || action", "n"), entries_sql("cleaning", f"SELECT * FROM ({_CLEAN_FENCE}) WHERE n > 0", "c", "'outliers.flagged'", "n"),
+    entries_sql("recommendations", ORACLES["recommendations"], '"column"', "'priority'", "priority", "text"), cells_sql("preview", 20, REPEATS_SQL),
+    entries_sql("numeric", describe_sql(_REPEAT_NAMES[:3], REPEATS_SQL), '"column"', "stat", "value"), categories_sql("categorical", REPEATS_SQL))))
 def upload_profile(s, d):
-    return pl.upload_profile(orders_repeats(s, d))
+    return pl.upload_profile(orders_repeats(s, d), ["o_orderkey", "o_custkey"])
 
 
 @query("SELECT table_name, metric, value FROM (SELECT 'region' AS table_name, unnest(['rows', 'columns', 'numeric_columns', 'text_columns', 'missing_cells', 'repeated_rows']) AS metric, unnest([count(*), 2, 1, 1, 0, 0]) AS value FROM region UNION ALL SELECT 'nation', unnest(['rows', 'columns', 'numeric_columns', 'text_columns', 'missing_cells', 'repeated_rows']), unnest([count(*), 3, 2, 1, 0, 0]) FROM nation)")

@@ -43,6 +43,20 @@ def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 
 
+def catalog_tables(spark: SparkSession, database: str | None = None, names: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The tables of a database in Spark's catalog (by default the current one), all or those named; views too."""
+    found = [t.name for t in spark.catalog.listTables(database) if names is None or t.name in names]
+    if not found:
+        raise ValueError(f"no tables in {database or spark.catalog.currentDatabase()!r}")
+    views = {t.name for t in spark.catalog.listTables(database) if t.isTemporary}
+    return {n: spark.table(n if database is None or n in views else f"{database}.`{n}`") for n in sorted(found)}
+
+
+def jdbc_tables(spark: SparkSession, url: str, names: Sequence[str], **options: str) -> dict[str, DataFrame]:
+    """Named tables of a database behind JDBC, whose driver the session has; ``options`` may tell how to read in parallel (``partitionColumn`` and its bounds)."""
+    return {n: spark.read.format("jdbc").options(url=url, dbtable=n, **options).load() for n in names}
+
+
 def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, text): the stripped, non-blank lines of each document; ``line_no`` counts all lines from 0."""
     lines = docs.select(id_col, F.posexplode(F.split(text_col, r"\R")).alias("line_no", "text"))
@@ -50,13 +64,13 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def detect_delimiter(lines: DataFrame, col: str, probe: int = 20) -> str | None:
-    """The first delimiter that gives the probed lines (any 20) one number of fields, two or more. A bounded look at the format."""
-    head = [r[0] for r in lines.select(col).limit(probe).collect()]
+    """The first delimiter that gives the probed lines (any 20 that aren't NULL) one number of fields, two or more. A bounded look at the format."""
+    head = [r[0] for r in lines.select(col).where(F.col(col).isNotNull()).limit(probe).collect()]
     return next((d for d in DELIMITERS if head and len(n := {len(x.split(d)) for x in head}) == 1 and min(n) >= 2), None)
 
 
 def split_delimited(lines: DataFrame, col: str, delimiter: str | None = None) -> DataFrame:
-    """Every line split into col_0, col_1, ..., as many as the longest line has; short lines give NULL. Without a delimiter the lines stay as they are."""
+    """Every line split into col_0, col_1, ..., as many as the longest line has; short and NULL lines give NULL. Without a delimiter the lines stay as they are."""
     delimiter = delimiter or detect_delimiter(lines, col)
     if delimiter is None:
         return lines.select(col)
