@@ -3,8 +3,9 @@
 The trees are trained on the URLs of the table that the rules label. Where those are all of
 one class, the verdict of the method is that class; where there are none, it is ``allow``.
 
-Among the features are statistics of the host's suffix: how many labelled URLs it has and how many of them are allowed. They are
-counted over all labelled URLs, for all suffixes; a training row gets those of the other folds, so it never sees its own label.
+Among the features are statistics of the host's suffix, alone and with the first segment of the path: how many labelled URLs it has and how many of
+them are allowed. They are counted over all labelled URLs, for all suffixes; a training row gets those of the other folds, so it never
+sees its own label.
 """
 
 from __future__ import annotations
@@ -99,11 +100,16 @@ def lexical_features() -> dict[str, Column]:
     }
 
 
-def suffix_statistics(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(suffix, rows, allowed), and the same by fold, of rows with ``_suffix``, ``_fold`` and ``label``; both in scratch tables. Partial sums leave no hot suffix."""
-    by_fold = labelled.groupBy("_suffix", "_fold").agg(F.count(F.lit(1)).alias("_fold_rows"), F.sum("label").alias("_fold_allowed"))
-    by_fold = materialize(by_fold, "suffix-folds")
-    return materialize(by_fold.groupBy("_suffix").agg(F.sum("_fold_rows").alias("_rows"), F.sum("_fold_allowed").alias("_allowed")), "suffixes"), by_fold
+#: Columns with statistics: the last two labels of the host, and those with the first segment of the path.
+COUNTED = ("suffix", "segment")
+
+
+def suffix_statistics(labelled: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, rows, allowed), and the same by fold, of rows with ``_<key>``, ``_fold`` and ``label``; both in scratch tables. Partial sums leave no hot suffix."""
+    by_fold = labelled.groupBy(f"_{key}", "_fold").agg(F.count(F.lit(1)).alias(f"_{key}_fold_rows"), F.sum("label").alias(f"_{key}_fold_allowed"))
+    by_fold = materialize(by_fold, f"{key}-folds")
+    total = by_fold.groupBy(f"_{key}").agg(F.sum(f"_{key}_fold_rows").alias(f"_{key}_rows"), F.sum(f"_{key}_fold_allowed").alias(f"_{key}_allowed"))
+    return materialize(total, key), by_fold
 
 
 def filter_urls(
@@ -126,6 +132,7 @@ def filter_urls(
     base = base.withColumns({"host": host, "path": path})
     rule, verdict = apply_rules(rules)
     base = base.withColumns({"rule": rule, "_rule_verdict": verdict, "_suffix": F.substring_index("host", ".", -2), "_fold": F.pmod(F.xxhash64("_url"), F.lit(FOLDS))})
+    base = base.withColumn("_segment", F.concat("_suffix", F.lit("/"), F.regexp_extract("path", r"(?s)^/?([^/]*)", 1)))
     features = lexical_features()
     base = base.withColumns({f"_f_{k}": v.cast("double") for k, v in features.items()})
     base = materialize(base, "urls")
@@ -137,23 +144,25 @@ def filter_urls(
         scored = base.withColumn("allow_score", F.lit(only))
     else:
         prior = seen[1.0] / (seen[0.0] + seen[1.0])
-        suffixes, by_fold = suffix_statistics(labelled)
+        statistics = {key: suffix_statistics(labelled, key) for key in COUNTED}
 
-        def with_suffix(df: DataFrame, rows: Column, allowed: Column) -> DataFrame:
+        def with_share(df: DataFrame, key: str, rows: Column, allowed: Column) -> DataFrame:
             rows, allowed = F.coalesce(rows, F.lit(0)), F.coalesce(allowed, F.lit(0.0))
-            return df.withColumns({"_f_suffix_rows": F.log1p(rows.cast("double")), "_f_suffix_allowed": (allowed + PRIOR_ROWS * prior) / (rows + PRIOR_ROWS)})
+            return df.withColumns({f"_f_{key}_rows": F.log1p(rows.cast("double")), f"_f_{key}_allowed": (allowed + PRIOR_ROWS * prior) / (rows + PRIOR_ROWS)})
 
-        inputs = [f"_f_{k}" for k in features] + ["_f_suffix_rows", "_f_suffix_allowed"]
+        inputs = [f"_f_{k}" for k in features] + [f"_f_{key}_{x}" for key in COUNTED for x in ("rows", "allowed")]
         assembler = VectorAssembler(inputCols=inputs, outputCol="_features")
         # Rows of the training sample are few, and its ties are equal URLs.
-        sample = materialize(labelled.orderBy(F.xxhash64("_url"), "_url").limit(max_training_rows), "url-sample")
-        sample = sample.join(by_fold, ["_suffix", "_fold"]).join(suffixes, "_suffix")
-        train = with_suffix(sample, F.col("_rows") - F.col("_fold_rows"), F.col("_allowed") - F.col("_fold_allowed"))
+        train = materialize(labelled.orderBy(F.xxhash64("_url"), "_url").limit(max_training_rows), "url-sample")
+        every = base
+        for key, (total, by_fold) in statistics.items():
+            train = train.join(by_fold, [f"_{key}", "_fold"]).join(total, f"_{key}")
+            train = with_share(train, key, F.col(f"_{key}_rows") - F.col(f"_{key}_fold_rows"), F.col(f"_{key}_allowed") - F.col(f"_{key}_fold_allowed"))
+            # A row for each suffix: Spark broadcasts them while they are small, and can split a hot suffix otherwise.
+            every = with_share(every.join(total, f"_{key}", "left"), key, F.col(f"_{key}_rows"), F.col(f"_{key}_allowed"))
         train = materialize(assembler.transform(train).select("_features", "label").coalesce(6), "url-training")
         boosted = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.3, seed=seed)
         model = boosted.setPredictionCol("_class").setProbabilityCol("_p").setRawPredictionCol("_raw").fit(train)
-        # A row for each suffix: Spark broadcasts them while they are small, and can split a hot suffix otherwise.
-        every = with_suffix(base.join(suffixes, "_suffix", "left"), F.col("_rows"), F.col("_allowed"))
         scored = model.transform(assembler.transform(every)).withColumn("allow_score", vector_to_array("_p")[1])
     verdict = F.coalesce("_rule_verdict", F.when(F.col("allow_score") >= 0.5, "allow").otherwise("block"))
     return scored.select("_kept.*", "host", "path", "rule", verdict.alias("verdict"), "allow_score")
