@@ -139,8 +139,8 @@ def first_of(column: str, n: int) -> list[Column]:
     return [F.min(F.when(F.lit(k == 0) | (F.pmod(F.xxhash64(F.lit(k), f"{column}.row"), F.lit(2)) == 0), F.col(column))).alias(f"r{k}") for k in range(n)]
 
 
-def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between rows (_row, _fp, bands, size) of similar texts (_row, _text), enough to connect all that are."""
+def similar_roots(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(v, root) of each row (_row, _fp, bands, size) that is in a component with others, by links between similar texts (_row, _text)."""
     spread, links = buckets(rows).withColumn("comp", F.col("_row")), None
     for round_no in range(len(BAND_ROWS)):
         counts = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"), "near-counts")
@@ -148,25 +148,24 @@ def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
         crowd = members.where(F.col("n") > PAIRED_AT_MOST).drop("n")
         found = materialize(verified(materialize(candidates(members, crowd), "near-pairs"), texts), "near-links")
         links = found if links is None else links.unionByName(found)
+        roots = materialize(components(links), "near-roots")
         if crowd.isEmpty():
-            break
-        crowd = open_buckets(crowd, links)
+            return roots
+        crowd = open_buckets(crowd, roots)
         if crowd.isEmpty():
-            break
+            return roots
         if round_no + 1 == len(BAND_ROWS):
             rest = materialize(verified(materialize(all_pairs(crowd), "near-pairs"), texts), "near-links")
-            return links.unionByName(rest)
+            return materialize(components(links.unionByName(rest)), "near-roots")
         own = crowd.groupBy("_row").agg(F.first("size").alias("size"), F.first("comp").alias("comp"))
         # A table of these rows alone: within one plan the new bands would be made for all rows, below the join.
         held = materialize(texts.join(materialize(own, "near-own"), "_row"), "near-texts")
         sketched = held.select("_row", "size", "comp", sketch_udf(round_no + 1)("_text").alias("s"))
         spread = sketched.select(F.explode("s.bands").alias("key"), "_row", "size", "comp")
-    return links
 
 
-def open_buckets(crowd: DataFrame, links: DataFrame) -> DataFrame:
+def open_buckets(crowd: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of large buckets that aren't one component yet, with their components ``comp``."""
-    roots = materialize(components(links), "near-roots")
     with_comp = crowd.drop("comp").join(roots.withColumnRenamed("v", "_row"), "_row", "left").withColumn("comp", F.coalesce("root", "_row")).drop("root")
     with_comp = materialize(with_comp, "near-open")
     unlike = materialize(with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "near-open")
@@ -210,8 +209,7 @@ def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     row, fp, sketch = free_name(docs, "_row"), free_name(docs, "_fp"), free_name(docs, "_sketch")
     numbered = tagged(docs.withColumns({fp: fingerprint_udf()(text_col), sketch: sketch_udf()(text_col)}), "near-input", row)
     rows = numbered.select(F.col(row).alias("_row"), F.col(fp).alias("_fp"), F.col(f"{sketch}.bands").alias("bands"), F.col(f"{sketch}.size").alias("size"))
-    links = similar_links(rows, numbered.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")))
-    roots = components(links)
+    roots = similar_roots(rows, numbered.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")))
     of = numbered.select(F.col(row).alias("_row"), F.col(id_col).alias("_id")).join(roots.withColumnRenamed("v", "_row"), "_row")
     of = materialize(of, "near-roots")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
