@@ -12,7 +12,7 @@ what the disk limit allows in one round alone. So here positions stand for their
    cell share 88 bytes; cells are ranked by (those, the bytes that the cell covers) and settled likewise.
 4. The strings of the cells that are left are ranked by their 100 bytes; all but the first of a rank are repeats.
 
-In steps 2 to 4 bytes are equal if their keyed BLAKE2b digests of 128 bits are. The key is drawn anew by each job, so no
+In steps 2 to 4 bytes are equal if their salted BLAKE2b digests of 128 bits are. The salt is drawn anew by each job, so no
 text can be made to collide. Every byte is looked at; nothing is sampled. Copies within a batch are merged before they are sorted.
 """
 
@@ -41,7 +41,7 @@ CORE = LENGTH - CELL + 1
 #: Strings of a text that are hashed at once; runs end at the cuts, which moves work to later steps and changes no result.
 SEGMENT = 1 << 18
 #: Ranked rows that are merged at once, and the groups that known repeats of one anchor are spread over.
-MERGED, SALTS = 50_000, 256
+MERGED, SALTS = 200_000, 256
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
@@ -108,35 +108,41 @@ def anchor_runs(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-#: (rank, digest of the covered bytes, packed run)
-Ranked = tuple[int, bytes, int]
+#: Of the rows of a text: ranks, digests of the covered bytes (16 each, joined), packed runs.
+Ranked = tuple[np.ndarray, bytes, np.ndarray]
 
 
-def _rank(data: bytes, seed: int = 0) -> int:
-    return xxhash.xxh64_intdigest(data, seed) - (1 << 63)
+def _ranked(data: bytes, salt: bytes, at: np.ndarray, length: int, seeds: np.ndarray, start: np.ndarray, stop: np.ndarray, runs: np.ndarray) -> Ranked:
+    """Ranks are hashes of ``length`` bytes at ``at``; they only tell which rows to look at together."""
+    ranks = [xxhash.xxh64_intdigest(data[a : a + length], k) for a, k in zip(at.tolist(), seeds.tolist(), strict=True)]
+    digests = [blake2b(data[a:b], digest_size=16, salt=salt).digest() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+    return np.array(ranks, np.uint64).view(np.int64), b"".join(digests), runs
 
 
-def ranked_runs(data: bytes, runs: np.ndarray, key: bytes) -> Iterator[Ranked]:
+def ranked_runs(data: bytes, runs: np.ndarray, salt: bytes) -> Ranked:
     """Step 2: runs of a text, by their anchors."""
-    for run, start, far, count in zip(runs.tolist(), *(x.tolist() for x in unpack(runs)), strict=True):
-        yield _rank(data[start + far : start + far + HALF]), blake2b(data[start : start + count + LENGTH - 1], digest_size=16, key=key).digest(), run
+    start, far, count = unpack(runs)
+    return _ranked(data, salt, start + far, HALF, np.zeros_like(start), start, start + count + LENGTH - 1, runs)
 
 
-def ranked_cells(data: bytes, runs: np.ndarray, key: bytes) -> Iterator[Ranked]:
+def ranked_cells(data: bytes, runs: np.ndarray, salt: bytes) -> Ranked:
     """Step 3: cells of runs."""
-    for start, far, count in zip(*(x.tolist() for x in unpack(runs)), strict=True):
-        for cell in range((far - count + 1) // CELL, far // CELL + 1):
-            core = start + far - cell * CELL
-            x, end = max(start, core - CELL + 1), min(start + count, core + 1)
-            yield _rank(data[core : core + CORE], cell), blake2b(data[x : end + LENGTH - 1], digest_size=16, key=key).digest(), pack(x, start + far - x, end - x)
-
-
-def ranked_strings(data: bytes, cells: np.ndarray, key: bytes) -> Iterator[Ranked]:
+    start, far, count = unpack(runs)
+    low, high = (far - count + 1) // CELL, far // CELL
+    n = high - low + 1
+    r = np.repeat(np.arange(len(n)), n)
+    cell = high[r] - (np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n))
+    anchor = start[r] + far[r]
+    core = anchor - cell * CELL
+    x, end = np.maximum(start[r], core - CELL + 1), np.minimum(start[r] + count[r], core + 1)
+    return _ranked(data, salt, core, CORE, cell, x, end + LENGTH - 1, pack(x, anchor - x, end - x))
+
+
+def ranked_strings(data: bytes, cells: np.ndarray, salt: bytes) -> Ranked:
     """Step 4: strings of cells."""
-    for start, _, count in zip(*(x.tolist() for x in unpack(cells)), strict=True):
-        for x in range(start, start + count):
-            digest = blake2b(data[x : x + LENGTH], digest_size=16, key=key).digest()
-            yield int.from_bytes(digest[:8], "little", signed=True), digest, pack(x, 0, 1)
+    start, _, count = unpack(cells)
+    x = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return _ranked(data, salt, x, LENGTH, np.zeros_like(x), x, x + LENGTH, pack(x, 0, 1))
 
 
 def spans_of(n: int, starts: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
@@ -154,45 +160,48 @@ def _bytes(text) -> bytes:
 
 
 RANKED = "rank long, one long, two long, _doc long, _tie int, run long, more_docs array<long>, more_ties array<int>, more_runs array<long>, done array<long>"
-_NAMES = [c.split()[0] for c in RANKED.split(", ")]
-_MORE = (("more_docs", np.int64), ("more_ties", np.int32), ("more_runs", np.int64))
-
-
-def gathered(texts: Iterable[tuple[int, int, Iterable[Ranked], list[int]]]) -> Iterator[pd.DataFrame]:
-    """RANKED frames of (doc, tie, ranked rows, known repeats) of texts. Rows of one digest are one row: the first place, with the others, which repeat it, in its lists."""
-
-    def frame(groups: dict, done: list) -> pd.DataFrame:
-        halves = np.frombuffer(b"".join([d for d, _ in groups] + [bytes(16)] * len(done)), np.int64).reshape(-1, 2)
-        more = {name: [None] * len(halves) for name, _ in _MORE}
-        firsts = []
-        for k, places in enumerate(groups.values()):
-            if len(places) > 1:
-                places = sorted(set(places))
-                if len(places) > 1:
-                    for (name, kind), values in zip(_MORE, zip(*places[1:], strict=True), strict=True):
-                        more[name][k] = np.array(values, kind)
-                    more["more_runs"][k] |= 1
-            firsts.append(places[0])
-        firsts += [(doc, tie, 1) for doc, tie, _ in done]
-        columns = dict(zip(("_doc", "_tie", "run"), zip(*firsts, strict=True), strict=True))
-        ranks = [r for _, r in groups] + [_rank(b"%d" % doc) for doc, _, _ in done]
-        return pd.DataFrame({"rank": ranks, "one": halves[:, 0], "two": halves[:, 1], **columns, **more, "done": [None] * len(groups) + [np.array(runs) for _, _, runs in done]})[_NAMES]
-
-    groups: dict[tuple[bytes, int], list[tuple[int, int, int]]] = {}
-    done: list[tuple[int, int, list[int]]] = []
+
+
+def gathered(texts: Iterable[tuple[int, int, Ranked, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """RANKED frames of (doc, tie, ranked rows, known repeats) of texts. Rows of one rank and digest are one row: the first place, with the others, which repeat it, in its lists."""
+
+    def frame(parts: list, done: list) -> pd.DataFrame:
+        sizes = [len(p[2][2]) for p in parts]
+        rank, run = (np.concatenate([p[2][k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 2))
+        digest = np.frombuffer(b"".join(p[2][1] for p in parts), np.int64).reshape(-1, 2)
+        docs, ties = (np.repeat(np.array([p[k] for p in parts], kind), sizes) for k, kind in ((0, np.int64), (1, np.int32)))
+        order = np.lexsort((run, ties, docs, digest[:, 1], digest[:, 0], rank))
+        rank, run, docs, ties, one, two = (x[order] for x in (rank, run, docs, ties, digest[:, 0], digest[:, 1]))
+        new = np.ones(len(rank), bool)
+        new[1:] = (rank[1:] != rank[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        first = np.flatnonzero(new)
+        stop = np.append(first[1:], len(rank))
+        more = {name: [None] * (len(first) + len(done)) for name in ("more_docs", "more_ties", "more_runs")}
+        odd = run | 1
+        for k in np.flatnonzero(stop - first > 1).tolist():
+            for name, values in (("more_docs", docs), ("more_ties", ties), ("more_runs", odd)):
+                more[name][k] = values[first[k] + 1 : stop[k]]
+        end = np.array([(d, t) for d, t, _ in done], np.int64).reshape(-1, 2)
+        zero = np.zeros(len(done), np.int64)
+        # Known repeats are spread by their documents.
+        columns = {"rank": np.append(rank[first], end[:, 0] * np.int64(0x5851F42D4C957F2D)), "one": np.append(one[first], zero), "two": np.append(two[first], zero)}
+        columns |= {"_doc": np.append(docs[first], end[:, 0]), "_tie": np.append(ties[first], end[:, 1]).astype(np.int32), "run": np.append(run[first], zero + 1)}
+        return pd.DataFrame({**columns, **more, "done": [None] * len(first) + [runs for _, _, runs in done]})
+
+    parts: list = []
+    done: list = []
     size = 0
     for doc, tie, rows, repeats in texts:
-        if repeats:
+        if len(repeats):
             done.append((doc, tie, repeats))
-        for rank, digest, run in rows:
-            groups.setdefault((digest, rank), []).append((doc, tie, run))
-            size += 1
-        size += len(repeats)
+        if len(rows[2]):
+            parts.append((doc, tie, rows))
+        size += len(rows[2]) + len(repeats)
         if size >= MERGED:
-            yield frame(groups, done)
-            groups, done, size = {}, [], 0
-    if groups or done:
-        yield frame(groups, done)
+            yield frame(parts, done)
+            parts, done, size = [], [], 0
+    if parts or done:
+        yield frame(parts, done)
 
 
 def settled(ranked: DataFrame) -> DataFrame:
@@ -218,13 +227,13 @@ def settled(ranked: DataFrame) -> DataFrame:
     return every.groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
 
 
-def next_step(texts: DataFrame, runs: DataFrame, cut: Callable[[bytes, np.ndarray, bytes], Iterator[Ranked]], key: bytes) -> DataFrame:
+def next_step(texts: DataFrame, runs: DataFrame, cut: Callable[[bytes, np.ndarray, bytes], Ranked], salt: bytes) -> DataFrame:
     """(_doc, _tie, _runs) after one more step: even runs are cut and ranked anew, odd ones are passed on."""
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = zip(b["_doc"].tolist(), b["_tie"].tolist(), b["_text"], b["_runs"], strict=True)
-            yield from gathered((doc, tie, cut(_bytes(text), np.sort(runs[runs % 2 == 0]), key), runs[runs % 2 == 1].tolist()) for doc, tie, text, runs in rows)
+            yield from gathered((doc, tie, cut(_bytes(text), np.sort(runs[runs % 2 == 0]), salt), runs[runs % 2 == 1]) for doc, tie, text, runs in rows)
 
     known = texts.join(runs, ["_doc", "_tie"]).select("_doc", "_tie", "_text", "_runs")
     return settled(known.mapInPandas(ranked, RANKED))
@@ -283,10 +292,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         texts = materialize(texts.join(materialize(firsts, "repeat-firsts"), ["_doc", "_tie"], "left").withColumn("_copy", F.coalesce(F.col("_tag") > F.col("_first"), F.lit(False))).drop("_tag", "_first"), "repeat-tagged")
         copy = F.col("_copy")
     runs = materialize(surviving_runs((texts if unique else texts.where("not _copy")).select("_doc", "_tie", "_text")), "runs")
-    key = os.urandom(16)
+    salt = os.urandom(blake2b.SALT_SIZE)
     # The texts are moved once: the plan reads this exchange again for each join.
     for cut_further in (ranked_runs, ranked_cells, ranked_strings):
-        runs = next_step(texts, runs, cut_further, key)
+        runs = next_step(texts, runs, cut_further, salt)
     judged = texts.join(runs, ["_doc", "_tie"], "left")
 
     @F.pandas_udf("spans array<struct<start: long, stop: long>>, kept binary")

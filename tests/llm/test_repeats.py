@@ -75,11 +75,14 @@ def test_one_rank_for_everything_changes_nothing(spark, monkeypatch, docs):
     import numpy as np
 
     rows = [(i, t or "") for i, t in enumerate(sorted({r.text or "" for r in docs.select("text").limit(60).collect()}))]
-    monkeypatch.setattr(rt, "_rank", lambda data, seed=0: 5)
+    class Alike:
+        xxh64_intdigest = staticmethod(lambda data, seed=0: 5)
+
+    monkeypatch.setattr(rt, "xxhash", Alike)
     plain = lambda x: x.tolist() if isinstance(x, np.ndarray) else x
     runs = {i: np.concatenate([r for _, r in rt.anchor_runs(t.encode())] or [np.zeros(0, np.int64)]) for i, t in rows}
     for cut in (rt.ranked_runs, rt.ranked_cells, rt.ranked_strings):
-        given = [(i, 0, cut(t.encode(), runs[i][runs[i] % 2 == 0], b"key"), runs[i][runs[i] % 2 == 1].tolist()) for i, t in rows if i in runs]
+        given = [(i, 0, cut(t.encode(), runs[i][runs[i] % 2 == 0], b"salt"), runs[i][runs[i] % 2 == 1]) for i, t in rows if i in runs]
         frames = [tuple(map(plain, r)) for f in rt.gathered(given) for r in f.itertuples(index=False)]
         runs = {r._doc: np.array(r._runs) for r in rt.settled(spark.createDataFrame(frames, rt.RANKED)).collect()}
     want = brute([(i, 0, t) for i, t in rows])
@@ -126,15 +129,16 @@ def test_segments_change_nothing(monkeypatch):
         rt._powers.cache_clear()
         runs = np.concatenate([r for _, r in rt.anchor_runs(data)])
         assert sorted(p for r in runs.tolist() for p in range(r >> 13, (r >> 13) + (r >> 1 & 63))) == starts
-        cells = list(rt.ranked_cells(data, runs, b"key"))
-        assert sorted(p for _, _, c in cells for p in range(c >> 13, (c >> 13) + (c >> 1 & 63))) == starts
+        ranks, _, packed = rt.ranked_cells(data, runs, b"salt")
+        cells = packed.tolist()
+        assert sorted(p for c in cells for p in range(c >> 13, (c >> 13) + (c >> 1 & 63))) == starts
         shared = {}
-        for rank, _, c in cells:  # all strings of cells of one rank have 88 bytes in common
+        for rank, c in zip(ranks.tolist(), cells):  # all strings of cells of one rank have 88 bytes in common
             for p in range(c >> 13, (c >> 13) + (c >> 1 & 63)):
                 found = {data[x : x + rt.CORE] for x in range(p, p + rt.CELL)}
                 shared[rank] = shared.get(rank, found) & found
         assert all(shared.values())
-        assert sorted(c >> 13 for _, _, c in rt.ranked_strings(data, np.array([c for _, _, c in cells]), b"key")) == starts
+        assert sorted((rt.ranked_strings(data, packed, b"salt")[2] >> 13).tolist()) == starts
     rt._powers.cache_clear()
 
 
