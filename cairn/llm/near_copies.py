@@ -6,7 +6,7 @@ probability 0.9996. Each candidate pair is verified on the shingles themselves,
 
 A bucket of at most PAIRED_AT_MOST rows is paired wholly. The rows of a larger one meet REPS of them, such as are in the most large buckets and
 so the likest to all others. Mostly that makes the bucket one component, and then it has nothing more to say. Otherwise its rows get new bands of more
-values, at the same probability, in which unlike rows part; pairs already linked are left out. What is still open after the last round is
+values, at the same probability, in which unlike rows part; pairs already linked are left out. What is still open after that round is
 settled exactly: each row outside a bucket's largest component meets all rows of the bucket in other components.
 
 Components are of rows, not of ids, so null and repeated ids are no different from others.
@@ -22,13 +22,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import free_name, materialize, require, tagged, text_batches
 from .simhash import components, fingerprint_links, fingerprint_udf
 
 SHINGLE, SIMILAR, SEED = 5, 0.8, 43
 #: Values of a band in each round, and the probability with which a pair of similarity SIMILAR shares a band.
-BAND_ROWS, SHARED = (5, 10, 15), 0.9996
+BAND_ROWS, SHARED = (5, 12), 0.9996
 PAIRED_AT_MOST, REPS, SALTS = 32, 4, 64
 #: Values of hash functions that are computed at once.
 CHUNK = 1 << 19
@@ -125,8 +126,8 @@ def candidates(members: DataFrame, crowd: DataFrame) -> DataFrame:
     small = members.where(F.col("n") <= PAIRED_AT_MOST).select("key", "_row", "size", "comp")
     other = small.select("key", F.col("_row").alias("row2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
     pairs = small.join(other, "key").where("_row < row2 and comp <> comp2").where(fits()).select(F.col("_row").alias("a"), F.col("row2").alias("b"))
-    often = materialize(crowd.groupBy("_row").agg(F.count(F.lit(1)).alias("times")), "near-often")
-    ranked = crowd.join(often, "_row").select("key", F.struct((-F.col("times")).alias("o"), F.xxhash64("_row").alias("h"), F.col("_row").alias("row"), "size", "comp").alias("r"))
+    often = F.count(F.lit(1)).over(Window.partitionBy("_row"))  # a row is in as many buckets as it has bands at most
+    ranked = crowd.select("key", F.struct((-often).alias("o"), F.xxhash64("_row").alias("h"), F.col("_row").alias("row"), "size", "comp").alias("r"))
     # Partial minima leave no hot key.
     reps = ranked.groupBy("key").agg(*first_of("r", REPS)).select("key", F.array_distinct(F.array_compact(F.array(*[f"r{k}" for k in range(REPS)]))).alias("reps"))
     large = crowd.join(materialize(reps, "near-reps"), "key").select("_row", "size", "comp", F.explode("reps").alias("rep"))

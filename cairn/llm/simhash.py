@@ -31,8 +31,8 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 2
 COVER, GROUPS, RANDOM_PIVOTS = 2, 4, 16
 #: A bucket of more fingerprints is split, and one that is still larger is linked through one-bit neighbours.
 PAIRED_AT_MOST = 64
-#: Fingerprints whose keys a task makes, and links that one task can hold: of fewer no hub has too many.
-TASK_ROWS, TASK_LINKS = 20_000, 1_000_000
+#: Fingerprints whose keys a task makes, and links (16 bytes each) that one task joins without an exchange.
+TASK_ROWS, TASK_LINKS = 20_000, 200_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -145,7 +145,8 @@ def components(links: DataFrame) -> DataFrame:
     """(v, root) for each end of a link; root is the smallest v of its component.
 
     Alternates large-star and small-star steps until the links no longer change; links stay distributed, each round is a
-    table in the shared folder. Beyond TASK_LINKS minima are tables of their own, so a hub of very many links can be split when it is joined to its own.
+    table in the shared folder. Minima are tables of their own, so a hub of very many links can be split when it is joined to its own.
+    Links that have been counted to be no more than TASK_LINKS are one partition, whose rounds need no exchange.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
 
@@ -155,14 +156,16 @@ def components(links: DataFrame) -> DataFrame:
     before = sign(edges)
     if before[0] == 0:
         return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
+    few = before[0] <= TASK_LINKS
+    whole = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    held = (lambda df, _: df) if few else materialize
     while True:
-        held = materialize if before[0] > TASK_LINKS else lambda df, _: df
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = whole(edges).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = held(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "links-low")
         large = held(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links-large")
         low = held(large.groupBy("u").agg(F.min("v").alias("m")), "links-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "links")
+        edges = materialize(whole(small.where("u <> v")).distinct(), "links")
         after = sign(edges)
         if after == before:
             break

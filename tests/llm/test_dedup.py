@@ -102,6 +102,28 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
         assert got == want, most
 
 
+def test_components_of_few_and_of_many_links(spark, monkeypatch):
+    import random
+
+    rng = random.Random(21)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(80)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {(v, find(v)) for v in root}
+    for most in (200_000, 3):
+        monkeypatch.setattr(sh, "TASK_LINKS", most)
+        assert {tuple(r) for r in sh.components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+
+
 def test_drop_near_copies(spark, docs):
     kept = sh.drop_near_copies(docs)
     assert kept.columns == docs.columns
