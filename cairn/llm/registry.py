@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op11_byte_bpe
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .packing import op3_packing
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_repeated_text": op8_repeated_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_shuffle_shards": op10_shuffle_shards,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 ORACLES = {"op5_decontaminate": OP5_SQL, "op9_exact_dedup": OP9_SQL}
