@@ -61,7 +61,7 @@ def test_table(spark, docs, empty):
     assert [r.decoded for r in rows] == texts and all(4 * r.n_tokens == len(r.ids) for r in rows)
     assert decode_ids(encode_texts(empty)).count() == 0
     assert decode_ids(spark.createDataFrame([(None,)], "ids binary")).first().decoded is None
-    with pytest.raises(ValueError, match="ids"):
+    with pytest.raises(ValueError, match="IDS"):
         encode_texts(docs.withColumn("IDS", F.lit(1)))
 
 
