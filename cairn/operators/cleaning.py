@@ -67,9 +67,11 @@ def fix_types(df: DataFrame, *, min_number_ratio: float = 1.0, min_date_ratio: f
     return df.withColumns(out) if out else df, None
 
 
-def drop_duplicates(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct rows, and how many went. The rows are grouped once: they are kept (memory, then disk) for the steps that follow."""
+def drop_duplicates(df: DataFrame, kept: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct rows, and how many went. The rows are grouped once: they are kept (memory, then disk) for the steps that follow, and put into ``kept`` for who releases them."""
     groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    if kept is not None:
+        kept.append(groups)
     n = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n"))
     return groups.drop("_n"), actions(n.select(F.lit(None).cast("string").alias("column"), "n"), "duplicates", "removed")
 
@@ -124,11 +126,14 @@ V1: tuple[Step, ...] = (trim_text, coerce_numbers, coerce_dates, drop_duplicates
 V2: tuple[Step, ...] = (names_step, impute_v2, drop_duplicates, fix_types, iqr_step)
 
 
-def clean(df: DataFrame, steps: Sequence[Step] = V1) -> tuple[DataFrame, DataFrame]:
-    """The cleaned table and (step, column, action, n); ``steps`` are callables from a table to a table and its report rows."""
+def clean(df: DataFrame, steps: Sequence[Step] = V1, *, kept: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table and (step, column, action, n); ``steps`` are callables from a table to a table and its report rows.
+
+    Tables that are kept meanwhile go into ``kept``; ``unpersist`` them after the last use of the results.
+    """
     reports = []
     for step in steps:
-        df, report = step(df)
+        df, report = step(df, kept) if step is drop_duplicates else step(df)
         if report is not None:
             reports.append(report)
     empty = df.sparkSession.createDataFrame([], ACTIONS)

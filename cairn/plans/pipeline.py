@@ -10,28 +10,127 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
 
-from ..functions.columns import with_role
-from ..operators import charts, cleaning, describe, insights, models, profile
+from ..functions.columns import AMOUNT_HINTS, DATE_HINTS, resolve_column, roles, with_role
+from ..operators import anomalies, association, charts, cleaning, describe, findings, insights, models, profile, retention, segments, series, text
+from ..sources import readers
 
-ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "describe": describe.describe, "nulls": describe.nulls_by_column, "correlation": describe.correlation_pairs, "unique": describe.unique_counts,
+
+def default_order(df: DataFrame) -> list[str]:
+    """Date columns, then all others that can be sorted: an order of rows that names no column."""
+    dates = with_role(df, "date")
+    return [*dates, *[c for c, r in roles(df).items() if r in ("numeric", "text", "boolean") and c not in dates]] or df.columns[:1]
+
+
+def pick(df: DataFrame, name: str | None, hints: Sequence[str], role: str, what: str) -> str:
+    found = resolve_column(df, name, hints, role=role)
+    if found is None:
+        raise ValueError(f"{what} needs a {role} column")
+    return found
+
+
+def text_report(df: DataFrame, column: str | None = None) -> DataFrame:
+    """(metric, value, text): statistics of a text column, by default the first, and its commonest words."""
+    column = column or pick(df, None, (), "text", "text")
+    words = text.common_words(df, column)
+    return text.text_stats(df, column).select("metric", F.col("value").cast("long").alias("value"), F.lit(None).cast("string").alias("text")).unionByName(words.select(F.lit("common_word").alias("metric"), F.col("n").alias("value"), F.col("word").alias("text")))
+
+
+def forecast(df: DataFrame, target: str | None = None, *, date: str | None = None, key: str | None = None, periods: int = 5, level: float = 0.95) -> DataFrame:
+    """(period, forecast, low, high): of ``target``, by default a column whose name speaks of amounts, else the last numeric one, over the first date column."""
+    date = date or pick(df, None, DATE_HINTS, "date", "a forecast")
+    numeric = [c for c in with_role(df, "numeric") if c != date]
+    hinted = [c for c in numeric if c.lower() in AMOUNT_HINTS]
+    if not numeric:
+        raise ValueError("a forecast needs a numeric column")
+    target = target if target in numeric else (hinted or numeric)[-1]
+    return models.forecast_interval(df, target, date, key or next((c for c in df.columns if c not in (date, target)), date), periods, level=level)
+
+
+def keyed(df: DataFrame, key: str | None = None) -> str:
+    return key or df.columns[0]
+
+
+#: Every action by name; each takes a table and its own arguments.
+ANALYSES: dict[str, Callable[..., DataFrame]] = {
+    "summary": lambda df, order_by=None, **a: summary(df, order_by or default_order(df), **a),
+    "describe": describe.describe, "stats": describe.describe, "nulls": describe.nulls_by_column, "correlation": describe.correlation_pairs, "unique": describe.unique_counts,
+    "head": lambda df, order_by=None, n=10: readers.head(df, n, order_by or default_order(df)),
     "overview": describe.overview, "metrics": describe.key_metrics, "profile": profile.column_profile, "duplicates": profile.duplicate_analysis,
     "quality": profile.quality, "recommendations": profile.recommendations, "summary_insights": insights.summary_insights,
-    "chart": charts.auto_chart, "predict": models.predict,
+    "chart": charts.auto_chart, "predict": models.predict, "forecast": forecast,
+    "insights": lambda df, order_by=None: insights.insights(df, order_by or default_order(df)),
+    "report": lambda df, order_by=None: insights.report(df, order_by or default_order(df)),
+    "anomalies": anomalies.anomalies_summary, "text": text_report,
+    "upload_profile": lambda df, order_by=None, **a: upload_profile(df, order_by or default_order(df), **a),
+    "quality_issues": findings.quality_issues, "heatmap": association.heatmap, "chart_choice": association.chart_choice,
+    "segments": lambda df, key=None, **a: segments.segments(df, keyed(df, key), **a),
+    "growth": lambda df, date=None, value=None, **a: series.growth(df, date or pick(df, None, DATE_HINTS, "date", "growth"), value, **a),
+    "seasonality": lambda df, date=None, value=None, **a: series.seasonality(df, date or pick(df, None, DATE_HINTS, "date", "seasonality"), value, **a),
+    "retention": lambda df, user=None, date=None, **a: retention.retention(df, keyed(df, user), date or pick(df, None, DATE_HINTS, "date", "retention"), **a),
 }
 
+#: The steps of a run that names none.
+DEFAULT_STEPS = ("clean", "summary", "insights")
+
+
+class Results(dict):
+    """Results by step. They are lazy and read the cleaned table, which is kept until :meth:`release` or the end of a ``with`` block."""
 
-def run(df: DataFrame, steps: Sequence[str] = ("clean", "describe", "summary_insights"), cleaning_steps: Sequence[cleaning.Step] = cleaning.V1) -> dict[str, DataFrame]:
-    """Results by step; after ``clean`` the steps see the cleaned table, which is kept while they run."""
-    out = {}
-    for step in steps:
+    def __init__(self) -> None:
+        super().__init__()
+        self.kept: list[DataFrame] = []
+
+    def release(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+        self.kept.clear()
+
+    def __enter__(self) -> Results:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
+
+
+def run(df: DataFrame, steps: Sequence[str] = DEFAULT_STEPS, cleaning_steps: Sequence[cleaning.Step] = cleaning.V1, *, arguments: dict[str, dict] | None = None) -> Results:
+    """Results by step. After ``clean`` the steps see the cleaned table, which is kept while they run; its report is ``clean_report``.
+
+    ``arguments`` has keyword arguments by step, such as ``{"forecast": {"target": "sales", "periods": 3}}``. An unknown step gives a summary. A step that the table has no columns
+    for raises its ValueError, once the tables kept so far are released.
+    """
+    out = Results()
+    try:
+        for step in steps:
+            given = (arguments or {}).get(step, {})
+            if step == "clean":
+                df, out["clean_report"] = cleaning.clean(df, cleaning_steps, kept=out.kept)
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+                out.kept.append(df)
+                out["clean"] = df
+            else:
+                out[step] = ANALYSES.get(step, ANALYSES["summary"])(df, **given)
+    except Exception:
+        out.release()
+        raise
+    return out
+
+
+def steps_report(results: dict[str, DataFrame]) -> DataFrame:
+    """(step, section, item, metric, value, text): every result of a run as one table, but for the cleaned rows. A result of other columns gives an entry for each cell: the row's number, the column and the value as text."""
+    parts = []
+    for step, rows in results.items():
         if step == "clean":
-            df, out["clean_report"] = cleaning.clean(df, cleaning_steps)
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            out["clean"] = df
+            continue
+        if step == "clean_report":
+            made = rows.select(F.col("step").alias("section"), F.col("column").alias("item"), F.col("action").alias("metric"), F.col("n").cast("double").alias("value"), F.lit(None).cast("string").alias("text"))
+        elif tuple(rows.columns) == PROFILE:
+            made = rows
+        elif {"kind", "column", "metric", "value", "text"} <= set(rows.columns):
+            made = rows.select(F.col("kind").alias("section"), F.col("column").alias("item"), "metric", "value", "text")
         else:
-            out[step] = ANALYSES[step](df)
-    return out
+            made = cells(rows, step, [F.col(f"`{c}`").asc_nulls_first() for c in rows.columns], None)
+        parts.append(made.select(F.lit(step).alias("step"), *PROFILE))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def over_tables(tables: dict[str, DataFrame], analysis: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -48,10 +147,10 @@ def entries(df: DataFrame, section: str, item, metric, value=None, text=None) ->
     return df.select(F.lit(section).alias("section"), col(item).cast("string").alias("item"), col(metric).cast("string").alias("metric"), col(value).cast("double").alias("value"), col(text).cast("string").alias("text"))
 
 
-def cells(df: DataFrame, section: str, order_by: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows by ``order_by`` (a report), one entry for each cell: the row's number, the column and the value as text."""
+def cells(df: DataFrame, section: str, order_by: Sequence, n: int | None) -> DataFrame:
+    """The first ``n`` rows by ``order_by`` (all rows of a report without ``n``), one entry for each cell: the row's number, the column and the value as text."""
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order_by))  # of n rows
-    rows = df.orderBy(*order_by).limit(n).withColumn("_row", number)
+    rows = (df if n is None else df.orderBy(*order_by).limit(n)).withColumn("_row", number)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("text")) for c in df.columns])
     return entries(rows.select("_row", F.explode(pairs).alias("c")).select("_row", "c.*"), section, "_row", "column", None, "text")
 

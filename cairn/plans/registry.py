@@ -20,27 +20,12 @@ from ..operators import profile as pf
 from ..operators import statements as st
 from ..operators import text as tx
 from ..sources import readers as rd
+from . import discovery  # noqa: F401  registers its queries
 from . import pipeline as pl
+from .base import ORACLES, QUERIES, query, table, union_sql
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "group_total_top15"
 
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(s: SparkSession, d: str, name: str) -> DataFrame:
-    return s.read.parquet(f"{d}/{name}.parquet")
-
-
 # -- derived inputs -----------------------------------------------------------
 
 ORDERS_NULLS_SQL = "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders)"
@@ -80,10 +65,6 @@ def event_amounts(s, d) -> DataFrame:
     return table(s, d, "events").select("event_id", "user_id", (F.col("value") - 50).alias("amount"), F.col("event_type").alias("category"), F.col("ts").alias("date"))
 
 
-def union_sql(parts) -> str:
-    return " UNION ALL ".join(parts)
-
-
 # -- aggregates ---------------------------------------------------------------
 
 
@@ -525,7 +506,23 @@ def forecast_stats(s, d):
     return md.forecast_stats(table(s, d, "orders"), "o_totalprice", "o_orderdate", "o_orderkey")
 
 
-@query()
+def least_squares_sql(source: str, target: str, features: tuple[str, ...], head: str = "") -> str:
+    """Normal equations by elimination, a CTE for each feature; every fifth key ``k`` is held out."""
+    n = len(features)
+    cell = lambda i, j: f"covar_pop({features[i]}, {features[j] if j < n else target})"
+    steps = [f"a0 AS MATERIALIZED (SELECT {', '.join(f'{cell(i, j)} AS a{i}_{j}' for i in range(n) for j in range(n + 1))}, {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate((*features, target)))} FROM f WHERE k % 5 <> 0)"]
+    for k in range(n):
+        made = [f"a{k}_{j} / a{k}_{k}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k}" for i in range(n) for j in range(n + 1)]
+        steps.append(f"a{k + 1} AS MATERIALIZED (SELECT {', '.join(f'{x} AS a{i // (n + 1)}_{i % (n + 1)}' for i, x in enumerate(made))}, {', '.join(f'm{i}' for i in range(n + 1))} FROM a{k})")
+    line = f"(m{n}" + "".join(f" - a{i}_{n} * m{i}" for i in range(n)) + ")"
+    short = lambda v: f"round({v}, (6 - floor(log10(abs({v}))))::INT)"
+    error = f"({target} - {line}" + "".join(f" - a{i}_{n} * {c}" for i, c in enumerate(features)) + ")"
+    coefficients = union_sql(f"SELECT {head}'coefficient_{c}' AS metric, {short(f'a{i}_{n}')} AS value FROM a{n}" for i, c in enumerate(features))
+    return f"""WITH f AS MATERIALIZED ({source}), {", ".join(steps)}, s AS (SELECT avg({error} ** 2) AS mse, var_pop({target}) AS v FROM f, a{n} WHERE k % 5 = 0)
+SELECT {head}'r2' AS metric, round(1 - mse / v, 6) AS value FROM s UNION ALL SELECT {head}'mse', {short("mse")} FROM s UNION ALL SELECT {head}'intercept', {short(line)} FROM a{n} UNION ALL {coefficients}"""
+
+
+@query(least_squares_sql("SELECT l_orderkey AS k, * FROM lineitem", "l_extendedprice", ("l_quantity", "l_discount")))
 def predict_regression(s, d):
     return md.predict_regression(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], "l_orderkey")
 
@@ -535,7 +532,10 @@ def predict_classification(s, d):
     return md.predict_classification(table(s, d, "events").select("event_id", "user_id", "event_type", "value"), "event_type", ["value", "user_id"], "event_id")
 
 
-@query()
+_CODED = "SELECT l_orderkey AS k, l_orderkey, l_quantity, l_discount, (dense_rank() OVER (ORDER BY l_returnflag) - 1)::DOUBLE AS l_returnflag, l_extendedprice FROM lineitem"
+
+
+@query(least_squares_sql(_CODED, "l_extendedprice", ("l_orderkey", "l_quantity", "l_discount", "l_returnflag"), "'regression' AS task, 'l_extendedprice' AS target, "))
 def predict_auto(s, d):
     return md.predict(table(s, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_extendedprice"))
 
@@ -623,6 +623,33 @@ def upload_profile(s, d):
     return pl.upload_profile(orders_repeats(s, d), ["o_orderkey", "o_custkey"])
 
 
+_ORDER_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+_FIRST_ORDERS = "(SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS r FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 10)"
+_ORDER_TOPS = categorical_sql(("o_orderstatus", "o_orderpriority"), "orders")
+
+
+def _step_sql(step: str, parts) -> str:
+    return f"SELECT '{step}' AS step, * FROM ({union_sql(parts)})"
+
+
+@query(union_sql((
+    _step_sql("clean_report", (
+        entries_sql("duplicates", "SELECT count(*) AS n FROM orders WHERE o_orderkey % 10 = 0", metric="'removed'", value="n") + " WHERE n > 0",
+        entries_sql("outliers", f"SELECT * FROM ({_ODD_COUNTS_SQL}) WHERE n > 0", "c", "'flagged'", "n"))),
+    _step_sql("summary", (
+        entries_sql("shape", "SELECT unnest(['rows', 'columns']) AS metric, unnest([count(*), 6]) AS value FROM orders", value="value"),
+        entries_sql("dtypes", union_sql(f"SELECT '{c}' AS c, '{t}' AS t" for c, t in _ORDER_TYPES.items()), "c", "'dtype'", text="t"),
+        entries_sql("nulls", union_sql(f"SELECT '{c}' AS c, 0 AS n" for c in _ORDER_TYPES), "c", "'n_null'", "n"),
+        union_sql(f"SELECT 'head', r::VARCHAR, '{c}', NULL::DOUBLE, {c}::VARCHAR FROM {_FIRST_ORDERS}" for c in _ORDER_TYPES),
+        entries_sql("describe", describe_sql(_NUMBERS, "orders"), '"column"', "stat", "value"), entries_sql("describe", _ORDER_TOPS, '"column"', "'unique'", "n_categories"),
+        entries_sql("describe", _ORDER_TOPS, '"column"', "'top'", "top_n", "top_value"))),
+    f"SELECT 'insights', kind, \"column\", metric, value, text FROM ({INSIGHTS_SQL})")))
+def pipeline_steps(s, d):
+    """The default chain (clean, summary, insights) over orders of which a tenth is repeated."""
+    orders = table(s, d, "orders")
+    return pl.steps_report(pl.run(orders.unionByName(orders.where("o_orderkey % 10 = 0"))))
+
+
 @query("SELECT table_name, metric, value FROM (SELECT 'region' AS table_name, unnest(['rows', 'columns', 'numeric_columns', 'text_columns', 'missing_cells', 'repeated_rows']) AS metric, unnest([count(*), 2, 1, 1, 0, 0]) AS value FROM region UNION ALL SELECT 'nation', unnest(['rows', 'columns', 'numeric_columns', 'text_columns', 'missing_cells', 'repeated_rows']), unnest([count(*), 3, 2, 1, 0, 0]) FROM nation)")
 def tables_overview(s, d):
     return pl.over_tables(rd.read_tables(s, d, ["region", "nation"]), ds.overview)
