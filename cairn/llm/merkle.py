@@ -13,9 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import materialize, refuse, require
+from .shared import materialize, placed, refuse, require
 
 DIGEST_BYTES = 32
 #: Joins of the way down between two tables in the scratch folder.
@@ -38,21 +37,6 @@ def hex_text(raw: Column) -> Column:
     return F.lower(F.hex(raw))
 
 
-def placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``rows`` with ``_i``, the place in its group ``_g`` by ``order``, and ``_n``, the group's rows.
-
-    Rows are range-partitioned and sorted; a part knows the places of its own rows, and running sums over the parts (a row for each part and group) give the rest.
-    """
-    by = [F.col(c).asc_nulls_first() for c in ("_g", *order)]
-    ranged = materialize(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "merkle-sorted")
-    part = F.shiftright("_at", 33).alias("_part")
-    parts = ranged.groupBy("_g", part).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_rows"))
-    group = Window.partitionBy("_g")
-    before = F.sum("_rows").over(group.orderBy("_part")) - F.col("_rows")
-    parts = parts.select("_g", "_part", (before - F.col("_from")).alias("_shift"), F.sum("_rows").over(group).alias("_n"))
-    return ranged.withColumn("_part", part).join(parts, ["_g", "_part"]).withColumn("_i", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
-
-
 def slot(arity: int) -> Column:
     return F.pmod("_i", F.lit(arity))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize, require, text_batches, whole_text
+from .shared import materialize, placed, require, text_batches, whole_text
 
 LENGTH, HALF = 100, 50
 #: Hashes in a string: its anchor is the least of them.
@@ -266,12 +266,25 @@ def surviving_runs(texts: DataFrame) -> DataFrame:
     return rows.withColumn("n", n).where("kind > 0 or n > 1").groupBy("_doc", "_tie").agg(F.collect_set("run").alias("_runs"))
 
 
+def numbered(texts: DataFrame) -> DataFrame:
+    """(_id, _text) with ``_doc``, a number for each different text of each id in their order, and ``_copy``, true for all but one of wholly repeated rows.
+
+    Different texts of an id are told apart by SHA-256 and ordered by a hash, then by that digest; numbers come from ranges of this order, so an id with any number
+    of texts is split. Partial minima leave no hot key.
+    """
+    texts = materialize(texts.withColumns({"_hash": F.xxhash64("_text").bitwiseAND(F.lit(0x7FFFFFFF)), "_digest": F.unhex(F.sha2("_text", 256)), "_tag": F.monotonically_increasing_id()}), "repeat-input")
+    firsts = texts.groupBy("_id", "_hash", "_digest").agg(F.min("_tag").alias("_first")).withColumn("_g", F.lit(0))
+    order = placed(firsts, ["_id", "_hash", "_digest"]).select("_id", "_digest", "_first", F.col("_i").alias("_doc"))
+    known = texts.join(materialize(order, "repeat-firsts"), ["_id", "_digest"])
+    return materialize(known.select("_id", "_text", "_doc", (F.col("_tag") > F.col("_first")).alias("_copy")), "repeat-tagged")
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: the id, ``n_bytes``, ``spans`` (removed, start and stop in UTF-8 bytes) and ``kept`` (the remaining bytes).
 
     A byte goes if a 100-byte string over it also starts earlier: in a document of smaller id or earlier in the same
-    one. Strings never cross documents and are judged on the input. Null texts are empty; null ids come first. Different texts of one id
-    are ordered by a hash; of wholly repeated rows one is judged as if it were alone, and the others repeat it. Kept bytes may end within a
+    one. Strings never cross documents and are judged on the input. Null texts are empty; null ids come first. Different texts of one id,
+    or of none, are ordered by a hash and then a digest; of wholly repeated rows one is judged as if it were alone, and the others repeat it. Kept bytes may end within a
     character. Texts may be of any length. Other columns aren't read. An empty table gives an empty result.
     """
     require(docs, [id_col, text_col])
@@ -281,16 +294,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     doc = F.coalesce(F.col(id_col).cast("long"), no_id)
     unique = docs.groupBy(doc.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     # Zero, but no literal, which would drop out of the join and deal groups by document and tie a second time.
-    zero = F.coalesce(F.pmod(doc, F.lit(1)), F.lit(0)).cast("int")  # never null, so all joins read the texts alike
-    tie = zero if unique else F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    texts = docs.select(doc.alias("_doc"), tie.alias("_tie"), text.alias("_text"))
-    copy = F.lit(False)
-    if not unique:
-        texts = materialize(texts.withColumn("_tag", F.monotonically_increasing_id()), "repeat-input")
-        # Of each wholly repeated row that with the smallest tag is the first. Partial minima leave no hot key.
-        firsts = texts.groupBy("_doc", "_tie").agg(F.min("_tag").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-        texts = materialize(texts.join(materialize(firsts, "repeat-firsts"), ["_doc", "_tie"], "left").withColumn("_copy", F.coalesce(F.col("_tag") > F.col("_first"), F.lit(False))).drop("_tag", "_first"), "repeat-tagged")
-        copy = F.col("_copy")
+    zero = lambda c: F.coalesce(F.pmod(c, F.lit(1)), F.lit(0)).cast("int")  # noqa: E731  never null, so all joins read the texts alike
+    texts = docs.select(doc.alias("_doc"), zero(doc).alias("_tie"), text.alias("_text"), doc.alias("_id")) if unique else numbered(docs.select(doc.alias("_id"), text.alias("_text"))).withColumn("_tie", zero(F.col("_doc")))
+    copy = F.lit(False) if unique else F.col("_copy")
     runs = materialize(surviving_runs((texts if unique else texts.where("not _copy")).select("_doc", "_tie", "_text")), "runs")
     salt = os.urandom(blake2b.SALT_SIZE)
     # The texts are moved once: the plan reads this exchange again for each join.
@@ -320,7 +326,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pd.DataFrame({"spans": spans, "kept": kept})
 
     done = judged.withColumn("_cut", cut("_text", "_runs", copy))
-    own_id = F.when(F.col("_doc") != no_id, F.col("_doc")).cast(docs.schema[id_col].dataType)
+    own_id = F.when(F.col("_id") != no_id, F.col("_id")).cast(docs.schema[id_col].dataType)
     return done.select(own_id.alias(id_col), F.octet_length("_text").cast("long").alias("n_bytes"), "_cut.spans", "_cut.kept")
 
 

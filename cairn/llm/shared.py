@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of an Arrow batch for Python workers, beyond one row.
 BATCH_BYTES = "8m"
@@ -111,6 +112,21 @@ def finish_groups(part: DataFrame, keys: list[str], merge: Column) -> DataFrame:
     return total.withColumn("_salt", F.explode("_salts")).drop("_salts")
 
 
+def placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_i``, the place in its group ``_g`` by ``order``, and ``_n``, the group's rows.
+
+    Rows are range-partitioned and sorted; a part knows the places of its own rows, and running sums over the parts (a row for each part and group) give the rest.
+    """
+    by = [F.col(c).asc_nulls_first() for c in ("_g", *order)]
+    ranged = materialize(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33).alias("_part")
+    parts = ranged.groupBy("_g", part).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_rows"))
+    group = Window.partitionBy("_g")
+    before = F.sum("_rows").over(group.orderBy("_part")) - F.col("_rows")
+    parts = parts.select("_g", "_part", (before - F.col("_from")).alias("_shift"), F.sum("_rows").over(group).alias("_n"))
+    return ranged.withColumn("_part", part).join(parts, ["_g", "_part"]).withColumn("_i", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python workers of this session get so many rows at a time at most: whole texts are long, and two workers share an executor's memory.
 

@@ -144,3 +144,17 @@ def test_segments_change_nothing(monkeypatch):
 
 def test_empty(empty):
     assert rt.remove_repeats(empty).count() == 0
+
+
+def test_texts_of_one_id_with_one_hash_keep_their_bytes(spark):
+    """Different texts under null or equal ids whose ordering hash is the same are different texts."""
+    from pyspark.sql import functions as F
+
+    said = F.concat(*[F.sha2(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")), 256) for k in range(3)])
+    found = spark.range(150_000).select(said.alias("text")).withColumn("h", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
+    pairs = [r.texts for r in found.groupBy("h").agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").collect()]
+    assert pairs
+    for doc_id in (None, 7):
+        rows = [(doc_id, t) for pair in pairs for t in pair] * 2
+        got = Counter((len(r.kept), len(r.spans)) for r in rt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+        assert got == {(192, 0): len(rows) // 2, (0, 1): len(rows) // 2}  # of each text once whole, once as a copy
