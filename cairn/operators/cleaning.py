@@ -12,7 +12,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions.columns import DATE_HINTS, roles, standardise_names, with_role
 from ..functions.values import currency_number, looks_numeric, to_date
 from .anomalies import iqr_counts, zscore_counts
-from .describe import categorical_profile, melt, nulls_by_column, stats_row
+from .describe import categorical_profile, melt, stats_row
 
 ACTIONS = "step string, column string, action string, n long"
 Step = Callable[[DataFrame], tuple[DataFrame, DataFrame | None]]
@@ -23,6 +23,29 @@ def actions(counted: DataFrame, step: str, action: str) -> DataFrame:
     return counted.where("n > 0").select(F.lit(step).alias("step"), "column", F.lit(action).alias("action"), F.col("n").cast("long").alias("n"))
 
 
+def counted(df: DataFrame, step: str, action: str, n: dict[str | None, int]) -> DataFrame:
+    """Report rows of counts that a scan has brought to the driver, one for each column."""
+    return df.sparkSession.createDataFrame([(step, c, action, k) for c, k in n.items() if k], ACTIONS)
+
+
+def numeric_enough(row, ratio: float) -> bool:
+    return bool(row["n"]) and row["number"] >= ratio * row["n"]
+
+
+def tidy_text(df: DataFrame, *, ratio: float = 0.8) -> tuple[DataFrame, DataFrame | None]:
+    """:func:`trim_text`, :func:`coerce_numbers` and :func:`coerce_dates` one after another, decided and counted in one scan of the table."""
+    texts = with_role(df, "text")
+    if not texts:
+        return df, None
+    plain = {c: F.trim(F.col(f"`{c}`")) for c in texts}
+    dates = [c for c in texts if c.lower() in DATE_HINTS]
+    row = df.agg(*[F.struct(
+        F.count(plain[c]).alias("n"), F.count_if(F.col(f"`{c}`") != plain[c]).alias("trimmed"), F.count_if(looks_numeric(plain[c])).alias("number"),
+        (F.count(to_date(plain[c])) if c in dates else F.lit(0)).alias("date")).alias(c) for c in texts]).first()
+    made = {c: currency_number(plain[c]) if numeric_enough(row[c], ratio) else to_date(plain[c]) if row[c]["date"] else plain[c] for c in texts}
+    return df.withColumns(made), counted(df, "trim", "trimmed", {c: row[c]["trimmed"] for c in texts})
+
+
 def trim_text(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Text without outer blanks; NULL stays NULL."""
     texts = with_role(df, "text")
@@ -37,8 +60,8 @@ def coerce_numbers(df: DataFrame, *, ratio: float = 0.8, columns: Sequence[str]
     texts = list(columns if columns is not None else with_role(df, "text"))
     if not texts:
         return df, None
-    row = df.agg(*[F.struct(F.count(c).alias("n"), F.count_if(looks_numeric(F.col(c))).alias("k")).alias(c) for c in texts]).first()
-    chosen = [c for c in texts if row[c]["n"] and row[c]["k"] >= ratio * row[c]["n"]]
+    row = df.agg(*[F.struct(F.count(c).alias("n"), F.count_if(looks_numeric(F.col(c))).alias("number")).alias(c) for c in texts]).first()
+    chosen = [c for c in texts if numeric_enough(row[c], ratio)]
     return df.withColumns({c: currency_number(F.col(c)) for c in chosen}) if chosen else df, None
 
 
@@ -90,20 +113,21 @@ def fillers(df: DataFrame, numeric: Sequence[str], texts: Sequence[str]) -> dict
 def impute(df: DataFrame, form: str = "v1") -> tuple[DataFrame, DataFrame | None]:
     """Numeric columns get the median, text the commonest value (ties: the smallest); dates stay.
 
-    Where a column has no value at all, v1 fills 0 and "Unknown", v2 leaves numbers and fills "".
+    Where a column has no value at all, v1 fills 0 and "Unknown", v2 leaves numbers and fills "". Missing cells are counted first, and only columns that have some are looked at again.
     """
     r = {c: k for c, k in roles(df).items() if k in ("numeric", "text")}
     if not r:
         return df, None
-    known = fillers(df, [c for c, k in r.items() if k == "numeric"], [c for c, k in r.items() if k == "text"])
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(f"`{c}`").alias(c) for c in r]).first()
+    missing = {c: row["_rows"] - row[c] for c in r if row[c] < row["_rows"]}
+    known = fillers(df, [c for c in missing if r[c] == "numeric"], [c for c in missing if r[c] == "text"])
     types = dict(df.dtypes)
     fill = {}
-    for c, k in r.items():
-        value = known[c] if known.get(c) is not None else {"v1": {"numeric": 0.0, "text": "Unknown"}, "v2": {"numeric": None, "text": ""}}[form][k]
+    for c in missing:
+        value = known[c] if known.get(c) is not None else {"v1": {"numeric": 0.0, "text": "Unknown"}, "v2": {"numeric": None, "text": ""}}[form][r[c]]
         if value is not None:
-            fill[c] = F.coalesce(F.col(c).cast("double"), F.lit(value)) if k == "numeric" and types[c] in ("int", "bigint", "smallint", "tinyint") and value != int(value) else F.coalesce(F.col(c), F.lit(value).cast(types[c]))
-    filled = nulls_by_column(df).where(F.col("column").isin(*fill)).select("column", F.col("n_null").alias("n"))
-    return df.withColumns(fill), actions(filled, "impute", "filled")
+            fill[c] = F.coalesce(F.col(c).cast("double"), F.lit(value)) if r[c] == "numeric" and types[c] in ("int", "bigint", "smallint", "tinyint") and value != int(value) else F.coalesce(F.col(c), F.lit(value).cast(types[c]))
+    return df.withColumns(fill) if fill else df, counted(df, "impute", "filled", {c: missing[c] for c in fill})
 
 
 def names_step(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -122,7 +146,7 @@ def impute_v2(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return impute(df, "v2")
 
 
-V1: tuple[Step, ...] = (trim_text, coerce_numbers, coerce_dates, drop_duplicates, impute, z_step)
+V1: tuple[Step, ...] = (tidy_text, drop_duplicates, impute, z_step)
 V2: tuple[Step, ...] = (names_step, impute_v2, drop_duplicates, fix_types, iqr_step)
 
 

@@ -22,6 +22,9 @@ def melt(row: DataFrame, names: Sequence[str], rows: list[tuple]) -> DataFrame:
 
 #: Fixed by the report: the shares of the quartiles. SKETCH bounds the error of the brackets that exact ones are sought in.
 SHARES, SKETCH = (0.25, 0.5, 0.75), 10_000
+#: Values that a bracket may keep, the points of a pass that narrows it, and the values of a column up to which the first sketch's brackets keep few enough: their ranks span 6 / SKETCH of the column.
+KEPT, GRID = 60_000, 200
+DIRECT = KEPT * SKETCH // 6
 
 
 def number(c: str) -> Column:
@@ -36,27 +39,54 @@ def moments_row(df: DataFrame, columns: Sequence[str], exact: bool) -> DataFrame
         F.max(f"`{c}`").cast("double").alias("max"), F.percentile_approx(number(c), shares, SKETCH).alias("q")).alias(c) for c in columns])
 
 
-def stats_row(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """One row with a struct of STATS for each column.
+def between(v: Column, low: float | None, high: float | None) -> Column:
+    return F.lit(False) if low is None else v.between(F.lit(low), F.lit(high))
+
 
-    Exact quartiles take a second pass. A sketch of bounded size brackets each; values within the brackets are counted one by one, all
-    others by the interval between brackets, so no task holds the distinct values of a column. Running counts then give the ranks.
+def narrowed(df: DataFrame, columns: Sequence[str], brackets: dict[tuple[str, int], tuple[float, float]], counts: dict[str, int]) -> None:
+    """Narrow the brackets of columns of over DIRECT values until each has at most KEPT of them, or one value.
+
+    A pass over the table counts what is below and in each bracket, and sketches GRID points of what is in it; the bracket shrinks to the points around the wanted rank, to
+    some 2 percent of its values.
     """
-    row = moments_row(df, columns, exact)
-    own = lambda c, s: F.col(f"`{c}`.{s}")
-    if not exact:
-        return row.select(*[F.struct(*[own(c, s).alias(s) for s in ("count", "mean", "std", "min")], *[F.get(own(c, "q"), F.lit(k)).alias(p) for k, p in enumerate(("p25", "p50", "p75"))], own(c, "max").alias("max")).alias(c) for c in columns])
-    edges = row.select(*[F.get(own(c, "q"), F.lit(i)).alias(f"_e{k}_{i}") for k, c in enumerate(columns) for i in range(6)])
-    held = df.select(*[number(c).alias(f"_v{k}") for k, c in enumerate(columns)]).crossJoin(F.broadcast(edges))  # one row
+    open_ = [b for b in brackets if counts[b[0]] > DIRECT]
+    while open_:
+        points = [k / GRID for k in range(GRID + 1)]
+        row = df.agg(*[F.struct(
+            F.count_if(number(c) < F.lit(brackets[c, k][0])).alias("below"), F.count_if(between(number(c), *brackets[c, k])).alias("inside"),
+            F.percentile_approx(F.when(between(number(c), *brackets[c, k]), number(c)), points, SKETCH).alias("grid")).alias(f"b{i}") for i, (c, k) in enumerate(open_)]).first()
+        still = []
+        for i, (c, k) in enumerate(open_):
+            found = row[f"b{i}"]
+            if found["inside"] <= KEPT or brackets[c, k][0] == brackets[c, k][1]:
+                continue
+            at = (SHARES[k] * (counts[c] - 1) - found["below"]) / found["inside"] * GRID  # two neighbouring ranks are wanted
+            low, high = max(0, min(GRID, int(at) - 1)), max(0, min(GRID, int(at) + 3))
+            new = (found["grid"][low], found["grid"][high])
+            if new == brackets[c, k]:
+                continue  # a few values fill it
+            brackets[c, k] = new
+            still.append((c, k))
+        open_ = still
+
+
+def quartiles(df: DataFrame, columns: Sequence[str], row) -> dict[str, list[float | None]]:
+    """Exact quartiles by column, from the sketched brackets of :func:`moments_row`'s row."""
+    known = [c for c in columns if row[c]["count"]]
+    counts = {c: int(row[c]["count"]) for c in known}
+    brackets = {(c, k): (row[c]["q"][2 * k], row[c]["q"][2 * k + 1]) for c in known for k in range(len(SHARES))}
+    narrowed(df, known, brackets, counts)
+    if not known:
+        return {c: [None] * 3 for c in columns}
     cells = []
-    for k in range(len(columns)):
-        v, edge = F.col(f"_v{k}"), [F.col(f"_e{k}_{i}") for i in range(6)]
+    for i, c in enumerate(known):
+        v, edge = number(c), [F.lit(x) for k in range(len(SHARES)) for x in brackets[c, k]]
         # Even zones lie between brackets. Brackets may overlap or be one value.
         zone = F.when(v < edge[0], 0).when(v <= edge[1], 1).when(v < edge[2], 2).when(v <= edge[3], 3).when(v < edge[4], 4).when(v <= edge[5], 5).otherwise(6)
-        cells.append(F.struct(F.lit(k).alias("k"), v.alias("v"), zone.alias("zone")))
-    cells = held.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("v is not null")
+        cells.append(F.struct(F.lit(i).alias("k"), v.alias("v"), zone.alias("zone")))
+    cells = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("v is not null")
     groups = cells.groupBy("k", "zone", F.when(F.col("zone") % 2 == 1, F.col("v")).alias("kept")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    by_value = Window.partitionBy("k").orderBy("low")
+    by_value = Window.partitionBy("k").orderBy("low")  # the values kept in three brackets
     ranked = groups.withColumn("stop", F.sum("n").over(by_value.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(Window.partitionBy("k")))
     # A rank is in a bracket, or next to one: the first or last of an interval.
     at = lambda rank: F.max(F.when((F.col("stop") > rank) & (F.col("stop") - F.col("n") <= rank), F.when(F.col("stop") - F.col("n") == rank, F.col("low")).otherwise(F.col("high"))))
@@ -65,12 +95,28 @@ def stats_row(df: DataFrame, columns: Sequence[str], exact: bool = True) -> Data
         place = (F.col("total") - 1) * p
         ends += [at(F.floor(place)), at(F.floor(place) + 1), F.max(place - F.floor(place))]
     found = ranked.groupBy("k").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)])
-    between = [(F.col(f"e{i}") + F.coalesce((F.col(f"e{i + 1}") - F.col(f"e{i}")) * F.col(f"e{i + 2}"), F.lit(0.0))).alias(p) for i, p in zip((0, 3, 6), ("p25", "p50", "p75"), strict=True)]
-    found = found.select(F.struct("k", F.struct(*between).alias("q")).alias("e")).agg(F.map_from_entries(F.collect_list("e")).alias("_q"))  # a row for each column
-    quartile = lambda k, p: F.try_element_at("_q", F.lit(k)).getField(p)
-    return row.crossJoin(F.broadcast(found)).select(*[
-        F.struct(*[own(c, s).alias(s) for s in ("count", "mean", "std", "min")], *[quartile(k, p).alias(p) for p in ("p25", "p50", "p75")], own(c, "max").alias("max")).alias(c)
-        for k, c in enumerate(columns)])
+    middle = [(F.col(f"e{i}") + F.coalesce((F.col(f"e{i + 1}") - F.col(f"e{i}")) * F.col(f"e{i + 2}"), F.lit(0.0))).alias(p) for i, p in zip((0, 3, 6), ("p25", "p50", "p75"), strict=True)]
+    rows = {known[r["k"]]: [r["p25"], r["p50"], r["p75"]] for r in found.select("k", *middle).collect()}  # a row for each column
+    return {c: rows.get(c, [None] * 3) for c in columns}
+
+
+def stats_row(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
+    """One row with a struct of STATS for each column.
+
+    Exact quartiles take a job now: a sketch of bounded size brackets each, brackets of very many values are narrowed by further passes, and values within the
+    brackets (at most KEPT each) are counted one by one, all others by the interval between brackets. So no task holds a share of the rows. Running counts give the ranks.
+    """
+    row = moments_row(df, columns, exact)
+    own = lambda c, s: F.col(f"`{c}`.{s}")
+    if not exact:
+        return row.select(*[F.struct(*[own(c, s).alias(s) for s in ("count", "mean", "std", "min")], *[F.get(own(c, "q"), F.lit(k)).alias(p) for k, p in enumerate(("p25", "p50", "p75"))], own(c, "max").alias("max")).alias(c) for c in columns])
+    if not columns:
+        return row
+    moments = row.first()
+    middle = quartiles(df, columns, moments)
+    value = lambda x: F.lit(x).cast("double")
+    made = [F.struct(*[value(moments[c][s]).alias(s) for s in ("count", "mean", "std", "min")], *[value(x).alias(p) for x, p in zip(middle[c], ("p25", "p50", "p75"), strict=True)], value(moments[c]["max"]).alias("max")).alias(c) for c in columns]
+    return df.sparkSession.range(1).select(*made)
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, *, exact: bool = True, digits: int = 4) -> DataFrame:
@@ -169,11 +215,17 @@ def most_diverse(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return categorical_profile(df, columns).orderBy(F.desc("n_categories"), "column").limit(1)
 
 
-def overview(df: DataFrame) -> DataFrame:
-    """(metric, value): rows, columns, numeric and text columns, missing cells, repeated rows."""
+def grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of each key, ``_n``; equal NULLs are equal."""
+    types = dict(df.dtypes)
+    cols = [F.to_json(c).alias(c) if types[c].startswith("map") else F.col(f"`{c}`") for c in keys]
+    return df.select(*cols).groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def overview(df: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(metric, value): rows, columns, numeric and text columns, missing cells, repeated rows. ``groups`` are those of whole rows, where they are at hand."""
     r = roles(df)
-    keys = [F.to_json(c).alias(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes]
-    groups = df.select(*keys).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    groups = grouped(df, df.columns) if groups is None else groups
     missing = sum((F.col(f"`{c}`").isNull().cast("long") for c in df.columns[1:]), F.col(f"`{df.columns[0]}`").isNull().cast("long"))
     row = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(missing * F.col("_n")), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeats"))
     count = lambda role: F.lit(sum(x == role for x in r.values())).cast("long")

@@ -8,15 +8,13 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import DATE_HINTS, roles
 from ..functions.values import MISSING, looks_numeric, to_date
-from .describe import melt
-from .profile import grouped
+from .describe import grouped
 
 SEVERITIES = ("critical", "warning", "informational")
 #: Words of a column's name whose values can't be negative.

@@ -9,25 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import roles
 from ..functions.values import to_date
-from .describe import melt, nulls_by_column, unique_counts
+from .describe import grouped, melt, nulls_by_column, unique_counts
 
 
-def grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of each key; equal NULLs are equal."""
-    types = dict(df.dtypes)
-    cols = [F.to_json(c).alias(c) if types[c].startswith("map") else F.col(c) for c in keys]
-    return df.select(*cols).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def duplicate_analysis(df: DataFrame, *, id_columns: Sequence[str] | None = None, name_columns: Sequence[str] | None = None) -> DataFrame:
+def duplicate_analysis(df: DataFrame, *, id_columns: Sequence[str] | None = None, name_columns: Sequence[str] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(kind, n): rows in any group of repeats, repeats after the first, repeats over the id and over the name columns.
 
     Unless given, those are the columns with "id" or "name" anywhere in their names, ``paid`` and ``width`` among them.
+    ``groups`` are those of whole rows, where they are at hand.
     """
     ids = list(id_columns if id_columns is not None else [c for c in df.columns if "id" in c.lower()])
     names = list(name_columns if name_columns is not None else [c for c in df.columns if "name" in c.lower()])
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    whole = grouped(df, df.columns).agg(zero(F.sum(F.when(F.col("_n") > 1, F.col("_n")))).alias("a"), zero(F.sum(F.col("_n") - 1)).alias("b"))
+    groups = grouped(df, df.columns) if groups is None else groups
+    whole = groups.agg(zero(F.sum(F.when(F.col("_n") > 1, F.col("_n")))).alias("a"), zero(F.sum(F.col("_n") - 1)).alias("b"))
     out = melt(whole, ("kind", "n"), [("rows_in_groups", F.col("a")), ("repeats", F.col("b"))])
     for kind, keys in (("id_repeats", ids), ("name_repeats", names)):
         if keys:
@@ -35,13 +30,13 @@ def duplicate_analysis(df: DataFrame, *, id_columns: Sequence[str] | None = None
     return out
 
 
-def quality(df: DataFrame, form: str = "profile") -> DataFrame:
+def quality(df: DataFrame, form: str = "profile", groups: DataFrame | None = None) -> DataFrame:
     """(score): 100 less missing and repeated shares, 0 to 100.
 
     profile: the sum of the columns' missing percentages and the percentage of rows in groups of repeats;
     clean: the mean of the former and the percentage of repeats after the first.
     """
-    groups = grouped(df, df.columns)
+    groups = grouped(df, df.columns) if groups is None else groups
     missing = sum((F.col(f"`{c}`").isNull().cast("long") for c in df.columns[1:]), F.col(f"`{df.columns[0]}`").isNull().cast("long"))
     bad = F.when(F.col("_n") > 1, F.col("_n")).otherwise(0) if form == "profile" else F.col("_n") - 1
     row = groups.agg(F.sum("_n").alias("n"), F.sum(missing * F.col("_n")).alias("m"), F.sum(bad).alias("d"))
@@ -65,11 +60,11 @@ def examples(df: DataFrame, columns: Sequence[str], n: int = 5) -> DataFrame:
     return out
 
 
-def recommendations(df: DataFrame) -> DataFrame:
+def recommendations(df: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(priority, column, text) by five rules over missing cells, repeats and dates kept as text."""
     nulls = nulls_by_column(df)
     order = F.create_map(*[F.lit(x) for k, c in enumerate(df.columns) for x in (c, k)])
-    repeats = duplicate_analysis(df, id_columns=[], name_columns=[]).where("kind = 'repeats' and n > 0").select(F.lit(1).alias("priority"), F.lit(None).cast("string").alias("column"), F.format_string("Remove %d repeated rows", "n").alias("text"))
+    repeats = duplicate_analysis(df, id_columns=[], name_columns=[], groups=groups).where("kind = 'repeats' and n > 0").select(F.lit(1).alias("priority"), F.lit(None).cast("string").alias("column"), F.format_string("Remove %d repeated rows", "n").alias("text"))
     high = nulls.where("pct > 20").select(F.lit(2).alias("priority"), "column", F.format_string("Review column %s: %.2f%% missing", "column", "pct").alias("text"))
     low = nulls.where("pct > 0 and pct <= 20").orderBy(order[F.col("column")]).limit(1).select(F.lit(3).alias("priority"), "column", F.format_string("Fill missing values of %s", "column").alias("text"))
     out = repeats.unionByName(high).unionByName(low)

@@ -182,25 +182,34 @@ def upload_profile(df: DataFrame, order_by: Sequence[str], *, preview: int = 20)
     """(section, item, metric, value, text): all that is said of a new table.
 
     Overview, columns (type, missing cells, distinct values), numeric and text columns, repeats, quality before and after cleaning with what the
-    cleaning did, recommendations, and the first ``preview`` rows by ``order_by``.
+    cleaning did, recommendations, and the first ``preview`` rows by ``order_by``. The report is made now, from the table and its groups of whole rows, which are kept
+    meanwhile and released.
     """
-    cleaned, done = cleaning.clean(df, cleaning.V2)
-    columns = profile.column_profile(df)
-    parts = [
-        entries(describe.overview(df), "overview", None, "metric", "value"),
-        *[entries(columns, "columns", "column", F.lit(m), m, "dtype") for m in ("n_null", "pct", "n_unique")],
-        entries(profile.duplicate_analysis(df), "duplicates", None, "kind", "n"),
-        entries(profile.quality(df, "clean"), "quality", None, F.lit("before"), "score"),
-        entries(profile.quality(cleaned, "clean"), "quality", None, F.lit("after"), "score"),
-        entries(done, "cleaning", "column", F.concat_ws(".", "step", "action"), "n"),
-        entries(profile.recommendations(df), "recommendations", "column", F.lit("priority"), "priority", "text"),
-        cells(df, "preview", order_by, preview),
-    ]
-    if with_role(df, "numeric"):
-        parts.append(entries(describe.describe(df), "numeric", "column", "stat", "value"))
-    if with_role(df, "text"):
-        parts += categories(df, "categorical")
-    return reduce(DataFrame.unionByName, parts)
+    kept = [df.persist(StorageLevel.MEMORY_AND_DISK)]
+    try:
+        groups = describe.grouped(df, df.columns).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(groups)
+        cleaned, done = cleaning.clean(df, cleaning.V2, kept=kept)
+        columns = profile.column_profile(df)
+        parts = [
+            entries(describe.overview(df, groups), "overview", None, "metric", "value"),
+            entries(columns.select("column", "dtype", F.explode(F.create_map(*[x for m in ("n_null", "pct", "n_unique") for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value")), "columns", "column", "metric", "value", "dtype"),
+            entries(profile.duplicate_analysis(df, groups=groups), "duplicates", None, "kind", "n"),
+            entries(profile.quality(df, "clean", groups), "quality", None, F.lit("before"), "score"),
+            entries(profile.quality(cleaned, "clean"), "quality", None, F.lit("after"), "score"),
+            entries(done, "cleaning", "column", F.concat_ws(".", "step", "action"), "n"),
+            entries(profile.recommendations(df, groups), "recommendations", "column", F.lit("priority"), "priority", "text"),
+            cells(df, "preview", order_by, preview),
+        ]
+        if with_role(df, "numeric"):
+            parts.append(entries(describe.describe(df), "numeric", "column", "stat", "value"))
+        if with_role(df, "text"):
+            parts += categories(df, "categorical")
+        made = reduce(DataFrame.unionByName, parts)
+        return df.sparkSession.createDataFrame(made.collect(), made.schema)  # some 30 entries for each column
+    finally:
+        for x in kept:
+            x.unpersist()
 
 
 def chart(df: DataFrame, kind: str | None = None, **arguments) -> DataFrame:

@@ -100,3 +100,63 @@ def test_summary_of_an_empty_table(spark):
     rows = {(r.section, r.item, r.metric): r.value for r in pipeline.summary(df, ["a"]).collect()}
     assert rows["shape", None, "rows"] == 0 and rows["nulls", "a", "n_null"] == 0 and rows["describe", "a", "count"] == 0
     assert pipeline.upload_profile(df, ["a"]).where("section = 'quality'").count() == 2
+
+
+def test_narrowed_brackets_are_exact(spark, monkeypatch):
+    """Limits so low that brackets are narrowed several times."""
+    for name, value in (("KEPT", 12), ("GRID", 20), ("SKETCH", 200), ("DIRECT", 100)):
+        monkeypatch.setattr(describe, name, value)
+    passes = []
+    narrowed = describe.narrowed
+    monkeypatch.setattr(describe, "narrowed", lambda df, *a: (passes.append(1), narrowed(df, *a))[1])
+    rng = random.Random(5)
+    for draw in (lambda: rng.lognormvariate(0, 2), lambda: float(rng.randint(0, 4)), lambda: round(rng.gauss(0, 1), 2) if rng.random() < 0.6 else 0.25):
+        df = spark.createDataFrame([(draw(), None if rng.random() < 0.2 else draw(), 1.0) for _ in range(6000)], "a double, b double, c double")
+        row, want = describe.stats_row(df, ["a", "b", "c"]).first(), df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in "abc"]).first()
+        for c in "abc":
+            assert all(math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-12) for g, w in zip([row[c][p] for p in ("p25", "p50", "p75")], want[c], strict=True))
+    assert len(passes) == 3
+
+
+def test_brackets_keep_few_values(spark, monkeypatch):
+    for name, value in (("KEPT", 12), ("GRID", 20), ("SKETCH", 200), ("DIRECT", 100)):
+        monkeypatch.setattr(describe, name, value)
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("v"))
+    brackets, counts = {("v", k): (float(20_000 * p - 400), float(20_000 * p + 400)) for k, p in enumerate(describe.SHARES)}, {"v": 20_000}
+    describe.narrowed(df, ["v"], brackets, counts)
+    assert all(b - a <= 12 and a <= 19_999 * p <= b for (a, b), p in zip(brackets.values(), describe.SHARES, strict=True))
+
+
+def test_types_stay_where_nothing_is_missing(spark):
+    df = spark.createDataFrame([(1, 2), (2, None), (4, 5)], "a int, b int")
+    filled, report = cleaning.impute(df)
+    assert dict(filled.dtypes) == {"a": "int", "b": "double"} and [tuple(r) for r in report.collect()] == [("impute", "b", "filled", 1)]
+    same, report = cleaning.impute(df.select("a"))
+    assert same.dtypes == [("a", "int")] and report.count() == 0
+
+
+def test_tidy_is_the_three_steps(spark):
+    df = spark.createDataFrame([(" a ", "$1,200", "2024/01/02", "7"), ("b", " 30 ", "none", None), (None, "5", "2024-02-03", "x")], "t string, n string, date string, m string")
+    tidy, report = cleaning.tidy_text(df)
+    plain, counted = cleaning.trim_text(df)
+    plain = cleaning.coerce_dates(cleaning.coerce_numbers(plain)[0])[0]
+    assert tidy.dtypes == plain.dtypes and sorted(map(str, tidy.collect())) == sorted(map(str, plain.collect()))
+    assert sorted(map(tuple, report.collect())) == sorted(map(tuple, counted.collect())) == [("trim", "n", "trimmed", 1), ("trim", "t", "trimmed", 1)]
+
+
+def test_run_names_every_action_and_releases(spark):
+    import datetime as dt
+
+    rows = [(dt.date(2024, 1, 1 + k % 28), k % 9, f"word{k % 4} and more.", float(k % 17), k % 3) for k in range(80)]
+    df = spark.createDataFrame(rows, "day date, user int, note string, amount double, units int")
+    with pipeline.run(df) as made:
+        assert list(made) == ["clean_report", "clean", "summary", "insights"]
+        assert made["clean"].storageLevel.useMemory and made["clean"].count() == 80 and {r.step for r in pipeline.steps_report(made).collect()} >= {"summary", "insights"}
+        cleaned = made["clean"]
+    assert not cleaned.storageLevel.useMemory and not made.kept
+    every = pipeline.run(df, [n for n in pipeline.ANALYSES if n not in ("predict", "segments")], arguments={"forecast": {"target": "units", "periods": 2}, "head": {"n": 3}, "retention": {"user": "user"}})
+    counts = {name: rows.count() for name, rows in every.items()}
+    assert counts["forecast"] == 2 and counts["head"] == 3 and all(n > 0 for name, n in counts.items() if name not in ("anomalies", "quality_issues", "duplicates"))
+    assert {r.section for r in pipeline.run(df, ["no such step"])["no such step"].collect()} >= {"shape", "describe"}
+    with pytest.raises(ValueError, match="needs a date column"):
+        pipeline.run(df.drop("day"), ["clean", "growth"])
