@@ -295,7 +295,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     unique = docs.groupBy(doc.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     # Zero, but no literal, which would drop out of the join and deal groups by document and tie a second time.
     zero = lambda c: F.coalesce(F.pmod(c, F.lit(1)), F.lit(0)).cast("int")  # noqa: E731  never null, so all joins read the texts alike
-    texts = docs.select(doc.alias("_doc"), zero(doc).alias("_tie"), text.alias("_text"), doc.alias("_id")) if unique else numbered(docs.select(doc.alias("_id"), text.alias("_text"))).withColumn("_tie", zero(F.col("_doc")))
+    texts = docs.select(doc.alias("_doc"), zero(doc).alias("_tie"), text.alias("_text")) if unique else numbered(docs.select(doc.alias("_id"), text.alias("_text"))).withColumn("_tie", zero(F.col("_doc")))
     copy = F.lit(False) if unique else F.col("_copy")
     runs = materialize(surviving_runs((texts if unique else texts.where("not _copy")).select("_doc", "_tie", "_text")), "runs")
     salt = os.urandom(blake2b.SALT_SIZE)
@@ -326,7 +326,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pd.DataFrame({"spans": spans, "kept": kept})
 
     done = judged.withColumn("_cut", cut("_text", "_runs", copy))
-    own_id = F.when(F.col("_id") != no_id, F.col("_id")).cast(docs.schema[id_col].dataType)
+    # Where ids are numbers of texts already, all joins need the same columns of them, so that the texts are moved once.
+    given = F.col("_doc" if unique else "_id")
+    own_id = F.when(given != no_id, given).cast(docs.schema[id_col].dataType)
     return done.select(own_id.alias(id_col), F.octet_length("_text").cast("long").alias("n_bytes"), "_cut.spans", "_cut.kept")
 
 
