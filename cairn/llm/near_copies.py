@@ -5,9 +5,9 @@ SimHash pivot tables, are candidates; a pair of Jaccard 0.8 shares one of the 20
 probability 0.9996. Each candidate pair is verified on the shingles themselves, so nothing is linked by a hash alone.
 
 A bucket of at most PAIRED_AT_MOST rows is paired wholly. The rows of a larger one meet REPS of them, such as are in the most large buckets and
-so the likest to all others. Mostly that makes the bucket one component, and then it has nothing more to say. Otherwise its rows get new bands of more
-values, at the same probability, in which unlike rows part; pairs already linked are left out. What is still open after that round is
-settled exactly: each row outside a bucket's largest component meets all rows of the bucket in other components.
+so the likest to all others. Mostly that makes the bucket one component, and then it has nothing more to say. What is still open is settled exactly, by rare shingles:
+among the rows of open buckets shingles are ordered by how many rows have them, the rarest first. Two texts of Jaccard 0.8 share one of the first ninth of the smaller one's
+shingles, and the first fifth of the larger one's; else too few are left to share. So pages of one template whose own words make a ninth of them meet nowhere, however many they are.
 
 Components are of rows, not of ids, so null and repeated ids are no different from others.
 """
@@ -28,8 +28,8 @@ from .shared import free_name, materialize, require, tagged, text_batches
 from .simhash import components, fingerprint_links, fingerprint_udf
 
 SHINGLE, SIMILAR, SEED = 5, 0.8, 43
-#: Values of a band in each round, and the probability with which a pair of similarity SIMILAR shares a band.
-BAND_ROWS, SHARED = (5, 12), 0.9996
+#: Values of a band, and the probability with which a pair of similarity SIMILAR shares one.
+BAND_ROWS, SHARED = (5,), 0.9996
 PAIRED_AT_MOST, REPS, SALTS = 32, 4, 64
 #: Values of hash functions that are computed at once.
 CHUNK = 1 << 19
@@ -129,9 +129,10 @@ def candidates(members: DataFrame, crowd: DataFrame) -> DataFrame:
     often = F.count(F.lit(1)).over(Window.partitionBy("_row"))  # a row is in as many buckets as it has bands at most
     ranked = crowd.select("key", F.struct((-often).alias("o"), F.xxhash64("_row").alias("h"), F.col("_row").alias("row"), "size", "comp").alias("r"))
     # Partial minima leave no hot key.
-    reps = ranked.groupBy("key").agg(*first_of("r", REPS)).select("key", F.array_distinct(F.array_compact(F.array(*[f"r{k}" for k in range(REPS)]))).alias("reps"))
-    large = crowd.join(materialize(reps, "near-reps"), "key").select("_row", "size", "comp", F.explode("reps").alias("rep"))
-    large = large.where("_row <> rep.row and comp <> rep.comp").withColumn("size2", F.col("rep.size")).where(fits())
+    reps = materialize(ranked.groupBy("key").agg(*first_of("r", REPS)).select("key", F.array_distinct(F.array_compact(F.array(*[f"r{k}" for k in range(REPS)]))).alias("reps")), "near-reps")
+    # Buckets of a row mostly have the same representatives; it meets each of them once.
+    met = crowd.join(reps, "key").groupBy("_row").agg(F.first("size").alias("size"), F.first("comp").alias("comp"), F.array_distinct(F.flatten(F.collect_list("reps"))).alias("reps"))
+    large = met.select("_row", "size", "comp", F.explode("reps").alias("rep")).where("_row <> rep.row and comp <> rep.comp").withColumn("size2", F.col("rep.size")).where(fits())
     return pairs.unionByName(large.select(F.least("_row", "rep.row").alias("a"), F.greatest("_row", "rep.row").alias("b"))).distinct()
 
 
@@ -142,45 +143,65 @@ def first_of(column: str, n: int) -> list[Column]:
 
 def similar_roots(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(v, root) of each row (_row, _fp, bands, size) that is in a component with others, by links between similar texts (_row, _text)."""
-    spread, links = buckets(rows).withColumn("comp", F.col("_row")), None
-    for round_no in range(len(BAND_ROWS)):
-        counts = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"), "near-counts")
-        members = materialize(spread.join(counts, "key"), "near-buckets")
-        crowd = members.where(F.col("n") > PAIRED_AT_MOST).drop("n")
-        found = materialize(verified(materialize(candidates(members, crowd), "near-pairs"), texts), "near-links")
-        links = found if links is None else links.unionByName(found)
-        roots = materialize(components(links), "near-roots")
-        if crowd.isEmpty():
-            return roots
-        crowd = open_buckets(crowd, roots)
-        if crowd.isEmpty():
-            return roots
-        if round_no + 1 == len(BAND_ROWS):
-            rest = materialize(verified(materialize(all_pairs(crowd), "near-pairs"), texts), "near-links")
-            return materialize(components(links.unionByName(rest)), "near-roots")
-        own = crowd.groupBy("_row").agg(F.first("size").alias("size"), F.first("comp").alias("comp"))
-        # A table of these rows alone: within one plan the new bands would be made for all rows, below the join.
-        held = materialize(texts.join(materialize(own, "near-own"), "_row"), "near-texts")
-        sketched = held.select("_row", "size", "comp", sketch_udf(round_no + 1)("_text").alias("s"))
-        spread = sketched.select(F.explode("s.bands").alias("key"), "_row", "size", "comp")
-
-
-def open_buckets(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of large buckets that aren't one component yet, with their components ``comp``."""
+    spread = buckets(rows).withColumn("comp", F.col("_row"))
+    counts = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"), "near-counts")
+    members = materialize(spread.join(counts, "key"), "near-buckets")
+    crowd = members.where(F.col("n") > PAIRED_AT_MOST).drop("n")
+    links = materialize(verified(materialize(candidates(members, crowd), "near-pairs"), texts), "near-links")
+    roots = materialize(components(links), "near-roots")
+    if crowd.isEmpty():
+        return roots
+    own = open_rows(crowd, roots)
+    if own.isEmpty():
+        return roots
+    rest = materialize(verified(materialize(rare_pairs(own, texts), "near-pairs"), texts), "near-links")
+    return materialize(components(links.unionByName(rest)), "near-roots")
+
+
+def open_rows(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """(_row, size, comp): rows of large buckets that aren't one component yet, with their components."""
     with_comp = crowd.drop("comp").join(roots.withColumnRenamed("v", "_row"), "_row", "left").withColumn("comp", F.coalesce("root", "_row")).drop("root")
     with_comp = materialize(with_comp, "near-open")
     unlike = materialize(with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "near-open")
-    return materialize(with_comp.join(unlike, "key"), "near-open")
+    return materialize(with_comp.join(unlike, "key").groupBy("_row").agg(F.first("size").alias("size"), F.first("comp").alias("comp")), "near-open")
 
 
-def all_pairs(crowd: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each row outside its bucket's largest component and all rows of the bucket in other components."""
-    sizes = crowd.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = materialize(sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("most")), "near-largest")
-    outside = crowd.join(largest, "key").where("comp <> most").select("key", "_row", "size", "comp")
-    other = crowd.select("key", F.col("_row").alias("row2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
-    pairs = outside.join(other, "key").where("comp <> comp2").where(fits())
-    return pairs.select(F.least("_row", "row2").alias("a"), F.greatest("_row", "row2").alias("b")).distinct()
+def hashes_udf():
+    """Sorted hashes of a text's shingles."""
+
+    @F.pandas_udf("array<bigint>")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(t)), np.uint64)).view(np.int64) for t in part])
+
+    return of
+
+
+def needed(size: Column, other: Column) -> Column:
+    """Shingles that texts of two sizes share if they are similar, at least."""
+    return F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (size + other) - 1e-9)
+
+
+def rare_pairs(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (_row, size, comp) of two components that hold all similar ones: those that share one of the first shingles, rare ones before common ones.
+
+    A shingle that one row has joins nothing, nor does one whose rows are one component.
+    """
+    hashed = materialize(texts.join(own, "_row").select("_row", "comp", hashes_udf()("_text").alias("h")).withColumn("size", F.size("h")), "near-hashes")
+    each = hashed.select("_row", "comp", F.explode("h").alias("h"))
+    counts = each.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n"), (F.min("comp") != F.max("comp")).alias("mixed")).where("n > 1")
+    ordered = each.join(materialize(counts, "near-shingles"), "h").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("n", "h", "mixed"))).alias("shared"))
+    first = F.col("size") - F.size("shared")  # a row's own shingles come first
+    placed = hashed.select("_row", "comp", "size").join(ordered, "_row").select("_row", "comp", "size", first.alias("first"), F.posexplode("shared").alias("k", "s"))
+    placed = placed.select(F.col("s.h").alias("h"), "_row", "comp", "size", (F.col("first") + F.col("k")).alias("at"), F.col("s.mixed").alias("mixed"))
+    placed = placed.where("mixed").where(F.col("at") <= F.col("size") - F.ceil(SIMILAR * F.col("size") - 1e-9)).drop("mixed")
+    placed = materialize(placed, "near-first")
+    small = placed.where(F.col("at") <= F.col("size") - needed(F.col("size"), F.col("size")))
+    large = placed.select("h", *[F.col(c).alias(f"{c}2") for c in ("_row", "comp", "size", "at")])
+    left = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))  # shared, if this is the first that they share
+    met = small.join(large, "h").where("comp <> comp2").where((F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("_row") < F.col("_row2"))))
+    met = met.where(fits()).where(left >= needed(F.col("size"), F.col("size2")))
+    return met.select(F.least("_row", "_row2").alias("a"), F.greatest("_row", "_row2").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -97,3 +97,38 @@ def test_rows_of_null_and_repeated_ids_stay(spark):
     kept = nc.drop_similar(spark.createDataFrame([*rows, (5, copied)], SCHEMA)).collect()
     assert Counter(r.doc_id for r in kept) == Counter({None: 11, 7: 12, 5: 1})
     assert {r.text for r in kept} == {t for _, t in rows[1:]} | {copied}
+
+
+def test_rare_pairs_hold_all_similar_ones(spark):
+    """The candidates of the last step against all pairs, over families of similar texts of many sizes with repeated words."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(40)}" for _ in range(rng.choice([6, 12, 40, 120, 300]))]
+        texts += [" ".join(base)] + [" ".join(changed(rng, base, rng.randint(0, max(1, len(base) // 20))) + prose(rng, rng.choice([0, 0, 1, 3, len(base) // 6]))) for _ in range(14)]
+    texts += ["a b", "a b", "a b c", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_row long, _text string").repartition(3)
+    sets = [nc.shingles(t) for t in texts]
+    own = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "_row long, size int, comp long")
+    found = {(r.a, r.b) for r in nc.rare_pairs(own, rows).collect()}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j] and nc.similar(sets[i], sets[j])}
+    assert len(want) > 150 and want <= found and len(found) < len(sets) ** 2 / 4
+    # Pairs of one component aren't asked for.
+    one = own.withColumn("comp", F.lit(7).cast("long"))
+    assert nc.rare_pairs(one, rows).count() == 0
+
+
+def test_pages_of_one_template_meet_nowhere(spark, monkeypatch):
+    """A thousand texts just below the similarity give few pairs, and all stay."""
+    rng = random.Random(17)
+    base, rows = prose(rng, 300), []
+    for i in range(1000):
+        at = rng.randrange(266)
+        rows.append((i, " ".join([*base[:at], *[f"own{i}x{k}" for k in range(34)], *base[at + 34 :]])))  # similarity 0.77 or less
+    pairs = []
+    verified = nc.verified
+    monkeypatch.setattr(nc, "verified", lambda found, texts: (pairs.append(found.count()), verified(found, texts))[1])
+    assert nc.drop_similar(spark.createDataFrame(rows, SCHEMA)).count() == 1000
+    assert len(pairs) == 2 and pairs[1] == 0 and pairs[0] < 40_000
