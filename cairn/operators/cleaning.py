@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import DATE_HINTS, roles, standardise_names, with_role
-from ..functions.values import currency_number, looks_numeric, to_date
+from ..functions.values import currency_number, looks_numeric, to_date, to_number
 from .anomalies import iqr_counts, zscore_counts
 from .describe import categorical_profile, melt, stats_row
 
@@ -74,6 +74,16 @@ def coerce_dates(df: DataFrame, *, columns: Sequence[str] | None = None) -> tupl
     return df.withColumns({c: to_date(F.col(c)) for c in texts if row[c]}), None
 
 
+def to_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The named columns as numbers, NULL where a text is none; outer blanks don't matter, currency signs and thousands commas do."""
+    return df.withColumns({c: to_number(F.trim(F.col(f"`{c}`").cast("string"))) for c in columns})
+
+
+def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows that have a value in all of ``columns`` (by default in every one); NaN is no value."""
+    return df.dropna(subset=list(columns or df.columns))
+
+
 def fix_types(df: DataFrame, *, min_number_ratio: float = 1.0, min_date_ratio: float = 0.0) -> tuple[DataFrame, DataFrame | None]:
     """A text column becomes numbers if enough values are, else timestamps if enough (by default any) parse."""
     texts = with_role(df, "text")

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import roles
 from ..functions.statistics import t_quantile
+from .cleaning import drop_missing
 from .describe import melt
 
 
@@ -138,7 +139,8 @@ def prepared(df: DataFrame, target: str, features: Sequence[str], key: str, clas
     commonest class). A missing one is the text "nan". So is the missing target of a classification; a regression drops it.
     """
     r = roles(df)
-    rows = df.dropna(subset=[*([] if classes else [target]), *[c for c in features if r[c] == "numeric"]]).withColumn("_test", in_test(df, key))
+    numeric = [*([] if classes else [target]), *[c for c in features if r[c] == "numeric"]]
+    rows = (drop_missing(df, numeric) if numeric else df).withColumn("_test", in_test(df, key))
     if classes:
         rows = rows.withColumn(target, F.coalesce(F.col(target).cast("string"), F.lit("nan")))
     texts = [c for c in features if r[c] == "text"]
@@ -159,6 +161,14 @@ def prepared(df: DataFrame, target: str, features: Sequence[str], key: str, clas
     return rows, stages, n
 
 
+def split_counts(df: DataFrame, target: str, features: Sequence[str], key: str) -> DataFrame:
+    """(metric, value): classes of all complete rows of a classification, and the rows that it trains on and is tested on."""
+    numeric = [c for c in features if roles(df)[c] == "numeric"]
+    rows = drop_missing(df, numeric) if numeric else df
+    row = rows.select(F.coalesce(F.col(target).cast("string"), F.lit("nan")).alias("c"), in_test(df, key).alias("t")).agg(F.count_distinct("c").alias("n"), F.count_if(~F.col("t")).alias("train"), F.count_if(F.col("t")).alias("test"))
+    return melt(row, ("metric", "value"), [(m, F.col(c).cast("double")) for m, c in (("classes", "n"), ("train_rows", "train"), ("test_rows", "test"))])
+
+
 def predict_regression(df: DataFrame, target: str, features: Sequence[str], key: str) -> DataFrame:
     """(metric, value): r2, mse, intercept and a coefficient for each feature, to seven digits (r2: six decimals), over held-out rows; an error for fewer than 10 complete rows."""
     rows, stages, _ = prepared(df, target, features, key)

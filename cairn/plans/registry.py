@@ -379,6 +379,17 @@ def clean_report(s, d):
     return cn.clean(orders_repeats(s, d), (cn.names_step, cn.impute_v2, cn.drop_duplicates, cn.fix_types))[1]
 
 
+@query(f"SELECT * FROM {ORDERS_NULLS_SQL} WHERE o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL")
+def drop_missing(s, d):
+    return cn.drop_missing(orders_nulls(s, d))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN substr(o_orderpriority, 1, 1)::DOUBLE END AS priority, NULL::DOUBLE AS status FROM orders")
+def to_numbers(s, d):
+    priority = F.when(F.col("o_orderkey") % 9 > 0, F.concat(F.lit(" "), F.substring("o_orderpriority", 1, 1))).otherwise("n/a")
+    return cn.to_numbers(table(s, d, "orders").select("o_orderkey", priority.alias("priority"), F.col("o_orderstatus").alias("status")), ["priority", "status"])
+
+
 # -- chart series -------------------------------------------------------------
 
 
@@ -466,6 +477,14 @@ def text_lines(s, d):
     return rd.document_lines(table(s, d, "documents"), "doc_id", "text")
 
 
+@query(r"""SELECT doc_id, page::INT AS page, line_no::INT AS line_no, trim(line, ' ') AS text
+FROM (SELECT doc_id, page, unnest(string_split_regex(p, '\r\n|[\n\x0B\x0C\r\x{0085}\x{2028}\x{2029}]')) AS line, generate_subscripts(string_split_regex(p, '\r\n|[\n\x0B\x0C\r\x{0085}\x{2028}\x{2029}]'), 1) - 1 AS line_no
+FROM (SELECT doc_id, unnest(string_split(replace(text, '. ', chr(12)), chr(12))) AS p, generate_subscripts(string_split(replace(text, '. ', chr(12)), chr(12)), 1) AS page FROM documents)) WHERE trim(line, ' ') <> ''""")
+def text_pages(s, d):
+    """Documents whose sentences stand on pages of their own."""
+    return rd.page_lines(table(s, d, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit("\f"))), "doc_id", "text")
+
+
 # -- statements ---------------------------------------------------------------
 
 
@@ -532,6 +551,12 @@ def predict_classification(s, d):
     return md.predict_classification(table(s, d, "events").select("event_id", "user_id", "event_type", "value"), "event_type", ["value", "user_id"], "event_id")
 
 
+@query("SELECT unnest(['classes', 'train_rows', 'test_rows']) AS metric, unnest([count(DISTINCT event_type), count(*) FILTER (event_id % 5 <> 0), count(*) FILTER (event_id % 5 = 0)])::DOUBLE AS value FROM events")
+def predict_split(s, d):
+    """What predict_classification counts besides its accuracy."""
+    return md.split_counts(table(s, d, "events"), "event_type", ["value", "user_id"], "event_id")
+
+
 _CODED = "SELECT l_orderkey AS k, l_orderkey, l_quantity, l_discount, (dense_rank() OVER (ORDER BY l_returnflag) - 1)::DOUBLE AS l_returnflag, l_extendedprice FROM lineitem"
 
 

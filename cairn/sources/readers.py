@@ -63,6 +63,13 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.withColumn("text", F.trim("text")).where("text <> ''")
 
 
+def page_lines(docs: DataFrame, id_col: str, text_col: str, *, separator: str = "\f") -> DataFrame:
+    """(id, page, line_no, text): the stripped, non-blank lines of each page. Pages are numbered from 1 and end at a form feed, as text extraction leaves them, or at another ``separator``; ``line_no`` counts the page's lines from 0."""
+    pages = docs.select(id_col, F.posexplode(F.split(text_col, "\\Q" + separator + "\\E")).alias("page", "_page"))
+    lines = pages.select(id_col, (F.col("page") + 1).alias("page"), F.posexplode(F.split("_page", r"\R")).alias("line_no", "text"))
+    return lines.withColumn("text", F.trim("text")).where("text <> ''")
+
+
 def detect_delimiter(lines: DataFrame, col: str, probe: int = 20) -> str | None:
     """The first delimiter that gives the probed lines (any 20 that aren't NULL) one number of fields, two or more. A bounded look at the format."""
     head = [r[0] for r in lines.select(col).where(F.col(col).isNotNull()).limit(probe).collect()]
