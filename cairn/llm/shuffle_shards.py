@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 
 from .shared import materialize, refuse, require, whole_text
 
+#: Copies of a wholly repeated row that one task makes.
+COPIES = 10_000
 #: Rows of a block aimed at, and the most blocks; beyond that blocks grow and sort on disk.
 BLOCK_ROWS, MAX_BLOCKS = 20_000, 4096
 
@@ -71,12 +73,31 @@ def communication_matrix(blocks: list[int], sizes: list[int], seed: int) -> list
     return matrix
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, key, rest) with ``copy``: 0, 1, ... among wholly equal rows, 0 for all others.
+
+    Equal rows are interchangeable, so they are counted, with partial counts, and as many are made anew from one of them, in parts; no task numbers a
+    repeated row's copies alone. Rows of one key and hash are told apart by SHA-256 of their values.
+    """
+    again = materialize(rows.groupBy("key", "rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), F.col("rest").alias("r")), "shard-repeats")
+    if again.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("rest") == F.col("r"))
+    once = rows.join(again, same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    more = rows.join(again, same, "left_semi")
+    groups = more.groupBy("key", "rest", F.sha2(F.to_json("row"), 256).alias("digest")).agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    parts = groups.select("row", "key", "rest", "digest", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("part"))
+    spread = parts.repartition("digest", "part")
+    made = spread.select("row", "key", "rest", F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1)).alias("copy"))
+    return once.unionByName(made)
+
+
 def shuffle_shards(df: DataFrame, key: str, *, shards: int = 16, seed: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (0, 1, ... within the shard without a gap).
 
     Shard sizes are at most one apart. The outcome is a function of the rows and the seed: it
     doesn't depend on files or partitions. Any column may be null; rows with a repeated key are
-    ordered by their other columns, and rows that are wholly the same are interchangeable; equal keys need not
+    ordered by their other columns, and rows that are wholly the same are interchangeable, but spread like any others; equal keys need not
     meet in a shard. Values may be of any length. Every column stays as it is, whatever its name, but columns
     of ``df`` named shard or slot are refused. An empty table gives an empty result.
     """
@@ -87,8 +108,8 @@ def shuffle_shards(df: DataFrame, key: str, *, shards: int = 16, seed: int = 20,
     n_blocks = max(1, min(MAX_BLOCKS, math.ceil(total / block_rows)))
     # The row is one value on the way, so its columns can't meet those made here.
     rows = df.select(F.struct(*names).alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(*names).alias("rest"))
-    draw = lambda what: F.xxhash64(F.lit(f"{seed}-{what}"), F.col("key"), F.col("rest"))
-    dealt = rows.withColumn("block", F.pmod(draw("block"), F.lit(n_blocks)).cast("int"))
+    draw = lambda what: F.xxhash64(F.lit(f"{seed}-{what}"), F.col("key"), F.col("rest"), F.col("copy"))
+    dealt = numbered_copies(rows).withColumn("block", F.pmod(draw("block"), F.lit(n_blocks)).cast("int"))
     counts = {r["block"]: r["n"] for r in dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     matrix = communication_matrix([counts.get(b, 0) for b in range(n_blocks)], shard_sizes(total, shards), seed)
     ends = [[sum(row[: s + 1]) for s in range(shards)] for row in matrix]
@@ -100,7 +121,7 @@ def shuffle_shards(df: DataFrame, key: str, *, shards: int = 16, seed: int = 20,
         .withColumn("place", F.row_number().over(local) - 1)
         .join(F.broadcast(cuts), "block")  # n_blocks rows, MAX_BLOCKS at most
         .withColumn("shard", F.size(F.filter("ends", lambda end: end <= F.col("place"))).cast("int"))
-        .select("row", "key", "rest", "shard")
+        .select("row", "key", "rest", "copy", "shard")
     )
     n_bins = max(1, math.ceil(total / shards / block_rows))
     sent = materialize(sent.withColumn("draw", draw("second")).withColumn("bin", F.pmod(F.col("draw"), F.lit(n_bins)).cast("int")), "shards")

@@ -101,3 +101,20 @@ def test_shards_do_not_depend_on_partitions(spark):
 def test_few_rows(spark, empty):
     assert ss.shuffle_shards(empty, "doc_id").count() == 0
     assert [(r.shard, r.slot) for r in ss.shuffle_shards(spark.range(1), "id").collect()] == [(0, 0)]
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """Half of the rows are wholly equal: they are numbered in parts, dealt to all blocks, and none is lost."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ss, "COPIES", 300)
+    df = spark.range(4000).select(F.when(F.col("id") < 2000, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") >= 1000, "x").alias("t"))
+    out = ss.shuffle_shards(df.repartition(3), "doc_id", block_rows=100).collect()
+    assert Counter((r.doc_id, r.t) for r in out) == Counter(tuple(r) for r in df.collect())
+    for equal in ((7, None), (7, "x")):
+        by_shard = Counter(r.shard for r in out if (r.doc_id, r.t) == equal)
+        assert len(by_shard) == 16 and all(30 < n < 100 for n in by_shard.values())  # 62.5 expected
+    rows = df.select(F.struct("doc_id", "t").alias("row"), F.col("doc_id").alias("key"), F.xxhash64("doc_id", "t").alias("rest"))
+    copies = ss.numbered_copies(rows).where("key = 7").groupBy("row").agg(F.sort_array(F.collect_list("copy")).alias("c")).collect()
+    assert [list(r.c) for r in copies] == [list(range(1000))] * 2
+    assert {tuple(r) for r in ss.shuffle_shards(df.repartition(5), "doc_id", block_rows=100).collect()} == set(map(tuple, out))
