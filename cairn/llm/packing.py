@@ -9,8 +9,8 @@ are filled on all partitions at once.
 Tasks number the tokens of each source while they tokenize; what they exchange is one sum for each task and source. Documents stay
 where they are while the table of those sums is small enough for Spark to broadcast it, else they are joined to it by task and source.
 
-The sources of most tokens have a queue each. All others share the last one, in which they are interleaved: a document's
-place is the share of its source that comes before it, so any stretch of the queue holds each of them in its proportion, to a document.
+The sources of most tokens have a queue each, as many as a window can hold a few tokens of. All others share the last queue, in which they are interleaved in parts of TAIL_PART tokens: a part's
+place is the share of its source that comes before it, so any stretch of the queue holds each of them in its proportion, to a part, however long the documents are.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,11 +30,11 @@ from .tokens import encode_in_parts, public_tokenizer_path
 
 WINDOW, END_ID = 4096, 2
 #: Queues: the sources of most tokens have one each, all further sources are interleaved in the last one. Sources that a target names always have one.
-MAX_QUEUES = 48
+MAX_QUEUES, TAIL_PART = 1024, 64
 #: Tokens of a bucket of the shared queue aimed at; buckets are summed up in parallel.
 BUCKET_TOKENS = 4_000_000
-#: Window edges of all queues that are computed at once.
-EDGE_ROWS = 8192
+#: Window edges, of all queues together, that are computed at once.
+EDGES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ def cut_pieces(queues: np.ndarray, starts: np.ndarray, counts: np.ndarray, plan:
             continue
         doc, k = near_windows(on, (a - begin)[on], (b - begin)[on], queues[on], p)
         left, right, before = (np.empty(len(k), np.int64) for _ in range(3))
-        step = max(1, EDGE_ROWS * MAX_QUEUES // max(MAX_QUEUES, len(p.take)))
+        step = max(1, EDGES // len(p.take))
         for i in range(0, len(k), step):
             at, q = slice(i, i + step), queues[doc[i : i + step], None]
             low, high = p.edges(k[at]), p.edges(k[at] + 1)
@@ -193,18 +193,31 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, source_col: str, path:
     return materialize(rows.withColumn("_n", (F.octet_length("_ids") / 4).cast("long")), "packing-tokens")
 
 
+def in_parts(tail: DataFrame) -> DataFrame:
+    """Documents as parts of TAIL_PART ids at most, each with its own ids, ``_from`` in its document, ``_part`` ids and ``_place`` in its source."""
+
+    def part(k: Column) -> Column:
+        start = k * TAIL_PART
+        n = F.least(F.col("_n") - start, F.lit(TAIL_PART).cast("long"))
+        return F.struct(start.alias("_from"), n.alias("_part"), F.col("_ids").substr((4 * start + 1).cast("int"), (4 * n).cast("int")).alias("_ids"))
+
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / TAIL_PART)), part)
+    rows = tail.withColumn("_p", F.explode(parts)).drop("_ids", "_from", "_part")
+    return rows.select("*", "_p.*").drop("_p").withColumn("_place", F.col("_place") + F.col("_from"))
+
+
 def interleaved(tail: DataFrame, total: int) -> DataFrame:
     """``tail`` with ``_start`` in the shared queue. Rows have ``_place`` and ``_all``: ids of the source before it, and in all."""
-    # The hash keeps sources of one document apart, which would all be in the middle.
+    # The hash keeps sources of one part apart, which would all be in the middle.
     jitter = F.pmod(F.xxhash64("_source"), F.lit(1 << 20)) / (1 << 20)
-    share = (F.col("_place") + jitter * F.col("_n")) / F.col("_all")
+    share = (F.col("_place") + jitter * F.col("_part")) / F.col("_all")
     buckets = max(1, -(-total // BUCKET_TOKENS))
     tail = tail.withColumn("_share", share).withColumn("_bucket", F.least(F.floor(F.col("_share") * buckets), F.lit(buckets - 1)).cast("int"))
     earlier = Window.unboundedPreceding, -1
-    sums = tail.groupBy("_bucket").agg(F.sum("_n").alias("t"))  # a row for each BUCKET_TOKENS ids
+    sums = tail.groupBy("_bucket").agg(F.sum("_part").alias("t"))  # a row for each BUCKET_TOKENS ids
     sums = sums.select("_bucket", F.coalesce(F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(*earlier)), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy("_bucket").orderBy("_share", "_source", "_task", "_at").rowsBetween(*earlier)
-    return tail.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(sums, "_bucket").withColumn("_start", F.col("_base") + F.col("_inner"))
+    inner = Window.partitionBy("_bucket").orderBy("_share", "_source", "_task", "_at", "_from").rowsBetween(*earlier)
+    return tail.withColumn("_inner", F.coalesce(F.sum("_part").over(inner), F.lit(0))).join(sums, "_bucket").withColumn("_start", F.col("_base") + F.col("_inner"))
 
 
 def pack(
@@ -242,10 +255,10 @@ def pack(
     queue = F.coalesce(F.try_element_at(F.create_map(*known), F.col("_source")), F.lit(len(top))) if known else F.lit(len(top))
     queue = F.when(F.col("_source").isNull(), number.get(None, len(top))).otherwise(queue)
     same = (F.col("r._task") == F.col("s._task")) & F.col("r._source").eqNullSafe(F.col("s._source"))
-    rows = rows.alias("r").join(sums.alias("s"), same).select("r.*", (F.col("_before") + F.col("_at")).alias("_place"), "_all").withColumn("_queue", queue.cast("int"))
+    rows = rows.alias("r").join(sums.alias("s"), same).select("r.*", (F.col("_before") + F.col("_at")).alias("_place"), "_all").withColumns({"_queue": queue.cast("int"), "_from": F.lit(0).cast("long"), "_part": F.col("_n")})
     placed = rows.where(F.col("_queue") < len(top)).withColumn("_start", F.col("_place"))
     if totals[-1]:
-        placed = placed.unionByName(interleaved(rows.where(F.col("_queue") == len(top)), totals[-1]).select(placed.columns))
+        placed = placed.unionByName(interleaved(in_parts(rows.where(F.col("_queue") == len(top))), totals[-1]).select(placed.columns))
 
     @F.pandas_udf("array<long>")
     def cut(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -253,13 +266,13 @@ def pack(
             yield pd.Series(cut_pieces(*(c.to_numpy(np.int64) for c in part), plan))
 
     # Every document has a piece at least, for its end id. Explode and the cutting of ids compile into one loop, which reads a document's ids once.
-    placed = placed.withColumn("_cut", cut("_queue", "_start", "_n"))
+    placed = placed.withColumn("_cut", cut("_queue", "_start", "_part"))
     placed = placed.select("*", F.explode(F.sequence(F.lit(0), (F.size("_cut") / 4).cast("int") - 1)).alias("_i"))
     start, length, sequence, offset = (F.get("_cut", 4 * F.col("_i") + k) for k in range(4))
     ids = F.col("_ids").substr((4 * start + 1).cast("int"), (4 * length).cast("int"))
     return placed.select(
         F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_n").alias("doc_tokens"),
-        start.alias("start"), length.alias("length"), ids.alias("ids"), sequence.alias("sequence_id"), offset.alias("offset"),
+        (F.col("_from") + start).alias("start"), length.alias("length"), ids.alias("ids"), sequence.alias("sequence_id"), offset.alias("offset"),
     )
 
 

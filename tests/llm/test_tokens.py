@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -205,3 +206,35 @@ def test_small_stores(spark, docs, empty, tmp_path, n):
 
 def test_empty_packing(empty):
     assert pk.pack(empty).count() == 0
+
+
+def test_two_hundred_sources_keep_their_shares_to_a_token():
+    """Documents of 20,000 tokens, longer than a window: each window holds of each source what is due, less than a token off; the largest fills up."""
+    rng = random.Random(30)
+    totals = [rng.randint(20_000, 60_000) for _ in range(199)] + [900_000]
+    plan = pk.phases(totals)
+    starts = [(q, at, min(20_000, t - at)) for q, t in enumerate(totals) for at in range(0, t, 20_000)]
+    found = pk.cut_pieces(*(np.array(c) for c in zip(*starts, strict=True)), plan)
+    got = defaultdict(int)
+    for (q, _, _), flat in zip(starts, found, strict=True):
+        for _, length, k, _ in flat.reshape(-1, 4).tolist():
+            got[q, k] += length
+    (full,) = [p for p in plan if p.tokens == pk.WINDOW]
+    for k in range(full.first, full.first + full.windows):
+        parts = [got[q, k] for q in range(200)]
+        assert sum(parts) == pk.WINDOW and all(abs(n - full.take[q] / full.windows) < 1 for q, n in enumerate(parts[:-1]))
+
+
+def test_long_documents_beyond_the_queues_come_in_parts(spark, monkeypatch):
+    """Of sources in the shared queue no window gets much more than its share, though a document is longer than a window."""
+    monkeypatch.setattr(pk, "MAX_QUEUES", 2)
+    sizes = {"big": 40, "a": 10, "b": 5, "c": 5}
+    rows = [(100 * k + i, "stone river cloud lamp " * 300, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    packed = pk.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), window=512).collect()
+    check_packing(rows, packed, 512)
+    got = defaultdict(int)
+    for r in packed:
+        got[r.source, r.sequence_id] += r.length
+    for k in range(1, max(r.sequence_id for r in packed) + 1):
+        for s, n in sizes.items():
+            assert abs(got[s, k] - 512 * n / 60) <= 2 * pk.TAIL_PART
