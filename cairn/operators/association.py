@@ -65,6 +65,7 @@ def associations(df: DataFrame, *, digits: int = 6) -> DataFrame:
     """(col_a, col_b, measure, association) over pairs of numeric, text and date columns, 0 to 1 but for Pearson's r, which has a sign.
 
     Two numbers (or dates, as numbers): ``pearson``; two texts: ``cramers_v``; a text and a number: ``correlation_ratio``. Pairs that never occur together have no row.
+    Categories are counted before they are exchanged; a pair of texts that are nearly all different exchanges nearly all rows, so leave such columns out of wide tables.
     """
     rows, kinds = timed(df)
     texts = [c for c, r in kinds.items() if r == "text"]
