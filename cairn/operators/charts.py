@@ -16,7 +16,8 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     v = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     ends = v.agg(F.min("v").alias("a"), F.max("v").alias("b"))
     rows = v.crossJoin(F.broadcast(ends))
-    place = F.when(F.col("a") == F.col("b"), 1).otherwise(F.least(F.expr(f"width_bucket(v, a, b, {bins})"), F.lit(bins)))
+    # Widths from the lowest value, as the edges are made: width_bucket rounds otherwise, which moves values on an edge.
+    place = F.when(F.col("a") == F.col("b"), 1).otherwise(F.least(F.floor((F.col("v") - F.col("a")) / ((F.col("b") - F.col("a")) / bins)) + 1, F.lit(bins)))
     found = rows.groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = ends.where("a is not null").select("a", ((F.col("b") - F.col("a")) / bins).alias("w"), F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     low = F.round(F.col("a") + (F.col("bin") - 1) * F.col("w"), 6)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from cairn.operators import profile as pf
 from cairn.operators import statements as st
 from cairn.operators import text as tx
 from cairn.plans import pipeline as pl
+from cairn.plans import registry
 from cairn.sources import readers as rd
 
 
@@ -111,3 +113,12 @@ def test_pipeline_steps(cleaning_frame):
 def test_windows_over_a_year_end():
     assert vl.time_window("last_month", dt.date(2024, 1, 15)) == (dt.date(2023, 12, 1), dt.date(2024, 1, 1))
     assert vl.time_window("this_quarter", dt.date(2024, 12, 31)) == (dt.date(2024, 10, 1), dt.date(2025, 1, 1))
+
+
+def test_histogram_of_values_on_edges(spark, tmp_path):
+    """Values of two digits on and around the edges of 20 bins fall where the SQL puts them."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT round(k * 30.61 + d, 2)::DOUBLE AS value FROM range(21) t(k), (VALUES (0.0), (0.01), (-0.01)) u(d) WHERE round(k * 30.61 + d, 2) BETWEEN 0 AND 612.2) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = registry.hist20(spark, str(tmp_path)).select("bin", "low", "high", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLES["hist20"]).fetchall())
