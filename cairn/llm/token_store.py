@@ -123,7 +123,7 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
     """
     require(docs, [id_col, text_col])
     spark, path = docs.sparkSession, tokenizer or public_tokenizer_path()
-    text_batches(spark, 500)
+    text_batches(spark, 1500)  # the more texts at once, the fewer words are looked up
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     raw = train_dictionary(dictionary_sample(rows, path, end_id))
     digest = dictionary_hash(raw)

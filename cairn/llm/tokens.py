@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer, pre_tokenizers
 
-#: Pre-tokens kept by a worker, and those in one call of the library.
-CACHE_WORDS, CALL_WORDS = 150_000, 1000
+#: Pre-tokens kept by a worker (some 90 MB), and those in one call of the library.
+CACHE_WORDS, CALL_WORDS = 400_000, 1000
 #: Not plain: characters from U+0250 on, controls, white space other than the four usual ones, those whose lower case is longer, and the beginning of special tokens.
 _UNUSUAL = re.compile("[^\x20-\x7e\t\n\r\xa1-\xac\xae-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]|<\\|")
 #: The parts of a tokenizer file that this module knows how to follow.
@@ -61,8 +61,8 @@ def is_known(path: str) -> bool:
     )
 
 
-def pretoken_starts(data: np.ndarray) -> np.ndarray:
-    """Where in lower-cased UTF-8 bytes of plain characters, which end in three newlines, pre-tokens and runs of white space start."""
+def pretoken_starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lower-cased UTF-8 bytes of plain characters, which end in three newlines: which are the first of a pre-token, and which belong to one."""
     kind = _BYTE_KIND[data]
     wide = np.flatnonzero(data >= 0xC2)
     kind[wide] = kind[wide + 1] = _KIND[(data[wide].astype(np.int64) & 31) << 6 | data[wide + 1] & 63]
@@ -78,7 +78,8 @@ def pretoken_starts(data: np.ndarray) -> np.ndarray:
     for found, n in ((np.isin(after, list(_SHORT_ENDINGS)), 1), (long, 2)):
         starts[marks[found] + 1] = False
         starts[marks[found] + n + 1] = True
-    return np.flatnonzero(starts)
+    inside = kind != _SPACE
+    return starts & inside, inside
 
 
 def public_tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -137,26 +138,27 @@ class WordEncoder:
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         joined = b"\n".join([*texts, b"\n\n"])
-        cuts = pretoken_starts(np.frombuffer(joined, np.uint8))
-        offsets = np.append(cuts, len(joined)).astype(np.int64)
-        coded = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
-        index, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        data = np.frombuffer(joined, np.uint8)
+        starts, inside = pretoken_starts(data)
+        # Without white space, half of all runs, pre-tokens lie side by side as Arrow keeps texts.
+        packed, cuts = data[inside], np.flatnonzero(starts)
+        offsets = np.append(np.flatnonzero(starts[inside]), len(packed)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.words.get, words))
         fresh = [i for i, b in enumerate(found) if b is None]
         if len(self.words) + len(fresh) > CACHE_WORDS:
             # Common words come early, so the older half stays.
             self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
-        self._learn([words[i] for i in fresh if not words[i].isspace()])
+        self._learn([words[i] for i in fresh])
         for i in fresh:
-            found[i] = self.words.get(words[i], b"")  # none for white space
-        flat, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
-        first, n = np.cumsum(sizes) - sizes, sizes[index]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(first[index] - ends + n, n) + np.arange(ends[-1])]
-        # A text may begin within a run of white space, which has no ids.
+            found[i] = self.words[words[i]]
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(cuts) + 1)
+        raw = memoryview(ids.buffers()[2] or b"")
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        edges = np.append(0, ends)[np.searchsorted(cuts, begins)].tolist()
-        return [ids[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+        edges = ends[np.searchsorted(cuts, begins)].tolist()
+        return [bytes(raw[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -169,7 +171,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def encode_in_parts(path: str, texts: list[str | None], characters: int = 1 << 20) -> Iterable[bytes]:
+def encode_in_parts(path: str, texts: list[str | None], characters: int = 4 << 20) -> Iterable[bytes]:
     """Ids of each text; so many characters at a time bound the memory."""
     part: list[str | None] = []
     size = 0

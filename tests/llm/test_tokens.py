@@ -60,6 +60,21 @@ def test_cache_bound(monkeypatch):
     assert got == [FULL.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_many_words_are_learned_once(monkeypatch):
+    """A worker that meets 200,000 words again and again asks the library for each of them once, and never for white space."""
+    own, learned = WordEncoder(PATH), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda fresh: (learned.extend(fresh), learn(fresh)))
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in str(n)) + "qz" for n in range(200_000)]
+    texts = [" \n ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    for _ in range(2):
+        got = [own.encode(texts[i : i + 20]) for i in range(0, len(texts), 20)]
+    assert sorted(learned) == sorted(words)
+    assert np.frombuffer(got[3][7], "<u4").tolist() == FULL.encode(texts[67], add_special_tokens=False).ids
+    assert own.encode([" ", "\n\t", "a "])[:2] == [b"", b""] and own.encode(["  "]) == [b""]
+
+
 def check_packing(rows, packed, window=pk.WINDOW):
     docs = defaultdict(list)
     for r in packed:
