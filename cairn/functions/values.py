@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,9 +42,17 @@ def looks_numeric(c: Column) -> Column:
     return F.regexp_replace(c, "[₹$€,]", "").rlike(r"^-?\d+(\.\d+)?$")
 
 
+def date_shape(pattern: str) -> str:
+    """A regular expression that every text of a date pattern fits from its beginning: digits for numbers, any text for names."""
+    parts = re.findall(r"'([^']*)'|(([A-Za-z])\3*)|([^A-Za-z'])", pattern)
+    number = lambda run: run[0] in "yuMdHhmsS" and not (run[0] == "M" and len(run) > 2)
+    return "".join((("[+-]?" if run[0] in "yu" else "") + "[0-9]+" if number(run) else ".+") if run else re.escape(quoted or other or "'") for quoted, run, _, other in parts)
+
+
 def to_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """A timestamp by the first format that fits, else NULL."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    """A timestamp by the first format that fits, else NULL. Only texts of a format's shape are parsed, as each parse that fails is dear."""
+    shaped = c.cast("string").rlike(rf"^\s*({'|'.join(map(date_shape, formats))})")
+    return F.when(shaped, F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]))
 
 
 def amount_of(text: Column) -> Column:

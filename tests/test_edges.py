@@ -1,6 +1,7 @@
 """Nulls, ties, constants, empty tables and small hand-computed cases."""
 
 import datetime as dt
+import time
 
 import duckdb
 import pytest
@@ -122,3 +123,26 @@ def test_histogram_of_values_on_edges(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     got = registry.hist20(spark, str(tmp_path)).select("bin", "low", "high", "n").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLES["hist20"]).fetchall())
+
+
+def test_only_texts_of_a_dates_shape_are_parsed(spark):
+    """The same timestamps as by parsing every text, and texts that are no dates cost less than a few parses of dates."""
+    days = ["2024-01-05", "2024/01/05", "05/01/2024", "05-01-2024", "2024-01-05 10:11:12", "2024-01-05T10:11:12", "12024-01-05", "+12024-01-05", "-2024-01-05"]
+    texts = [*days, *[f" {d}" for d in days], *[f"{d} " for d in days], *[f"{d}x" for d in days], *[d[:-1] for d in days], *[d.replace("-", "/") for d in days], "31/02/2024", "2024-13-01", "1-URGENT", "5 Aug", "", " ", "-", "1/2", "1-2-3", "٢٠٢٤-٠١-٠٥", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    every = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in vl.DATE_FORMATS])
+    assert df.where(~vl.to_date(F.col("t")).eqNullSafe(every)).count() == 0
+    assert df.where(vl.to_date(F.col("t")).isNotNull()).count() >= len(days) - 2
+    named = spark.createDataFrame([("5-Aug-2024",), ("Aug 5, 2024",), ("5-8-2024",)], "t string")
+    assert [r.d is not None for r in named.select(vl.to_date(F.col("t"), ["d-MMM-yyyy", "MMM d, yyyy"]).alias("d")).collect()] == [True, True, False]
+
+    def seconds(text):
+        rows = spark.range(0, 400_000, numPartitions=4).select(F.concat(F.lit(text), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")).alias("t")).localCheckpoint()
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            rows.agg(F.count(vl.to_date(F.col("t")))).first()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds("1-URGENT") < 2 * seconds("2024-01-") + 0.2
